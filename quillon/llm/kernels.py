@@ -82,18 +82,26 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES)
         at = to
 
 
+#: Byte classes that separate runs of letters and digits (1) from runs of other signs (2); 0 is white space.
+CLASSES = np.where(SPACED, np.where(ALNUM, 1, 2), 0).astype(np.uint8)
+
+
 class Words:
-    """Words of some texts: byte spans, and ``bounds`` with the first word of every text (n+1)."""
+    """Words of some texts: byte spans, and ``bounds`` with the first word of every text (n+1).
+
+    table: truth or a class of every byte; a word is a maximal run of one class other than 0.
+    """
 
     def __init__(self, raw: np.ndarray, offs: np.ndarray, table: np.ndarray = SPACED):
-        inside = np.zeros(len(raw) + 2, bool)
-        inside[1:-1] = table[raw]
-        edge_start = inside[1:-1] & ~inside[:-2]
-        edge_end = inside[1:-1] & ~inside[2:]
+        kind = np.zeros(len(raw) + 2, np.uint8)
+        kind[1:-1] = table[raw]
+        own = kind[1:-1]
+        edge_start = (own != kind[:-2]) & (own > 0)
+        edge_end = (own != kind[2:]) & (own > 0)
         cut = offs[1:-1]
         cut = cut[(cut > 0) & (cut < len(raw))]
-        edge_start[cut] = inside[1:-1][cut]
-        edge_end[cut - 1] = inside[1:-1][cut - 1]
+        edge_start[cut] = own[cut] > 0
+        edge_end[cut - 1] = own[cut - 1] > 0
         self.raw, self.offs = raw, offs
         self.starts = np.flatnonzero(edge_start)
         self.ends = np.flatnonzero(edge_end) + 1
@@ -179,12 +187,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def arrow_schema(text: str) -> pa.Schema:
-    """An Arrow schema for a Spark DDL string of flat columns."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+
 
-    return to_arrow_schema(StructType.fromDDL(text))
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of a Spark DDL string of the plain types used here."""
+    return pa.schema([(name, _ARROW[kind]) for name, kind in map(str.split, ddl.split(", "))])
 
 
 def spans_to_code_points(raw: np.ndarray) -> np.ndarray:

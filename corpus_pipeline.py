@@ -1,8 +1,68 @@
-"""The training-data pipeline: filter, near-dedup, secrets, mix, encode."""
+"""The training-data pipeline: quality filter, near-dedup, secrets, source mix, tokens.
 
+Every stage takes (spark, docs, sf_dir) and returns a frame; all but the last
+return the columns of documents.  ``run`` writes each stage's result to the
+shared folder and reads it again before the next, as a scheduler would between
+jobs, so a lost executor never costs more than a part of one stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from quillon.llm import bpe, minhash_dedup, mixing, quality_classifier, queries, secret_scan
+from quillon.scratch import Scratch
+
+#: The stages rest on hashes and fitted models, which SQL cannot express; the tests hold them against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows of docs whose id is among the kept ones of verdicts; rows that repeat an id share its verdict."""
+    wanted = verdicts.where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(wanted, docs.doc_id.eqNullSafe(wanted["__kept"]), "left_semi")
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance resampling keeps."""
+    return _only(docs, quality_classifier.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the smallest id."""
+    return _only(docs, minhash_dedup.near_duplicates(docs))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in the place of each secret; n_chars follows."""
+    return secret_scan.redact(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text of every row."""
+    return bpe.encode(docs, queries.tokenizer_path())
+
+
+STAGES = [
+    ("quality classifier", filter_quality),
+    ("near duplicates", drop_near_duplicates),
+    ("secrets", redact_secrets),
+    ("source mix", mix_sources),
+    ("tokens", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over the documents of ``sf_dir``."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = scratch.keep(docs, f"stage-{i}")
+    return docs

@@ -16,11 +16,13 @@ Steps, each a distributed job over all rows:
 3. *Stars.*  In each band bucket every member is paired with the bucket's
    smallest id: linear in the bucket.  Pairs that the sketches put far below
    the threshold go; the others are confirmed on the full sets.
-4. *Crossings.*  Buckets whose members still lie in several components are
-   compared across components, in blocks of bounded size, on sketches only;
-   what may be a link is confirmed on the full sets.  The first such pass keeps
-   one sure pair per member and other component, the second keeps all, so no
-   link that matters to a component is lost.
+4. *Families.*  Documents joined by pairs that the sketches let pass are a family.
+   Where a family lies in several components, its members outside the largest are
+   compared with all of it, in units of bounded size that hold the texts; only
+   links that join something are put out.
+5. *Crossings.*  Members of one bucket but of different families are compared on
+   their sketches, in such units too, and what may be a link is confirmed.  So
+   every pair that shares a bucket has been met.
 
 Defined results: a null or empty text, or one without words, has no shingles, is
 linked with nothing and is its own component.  Rows that repeat a ``doc_id`` are
@@ -52,8 +54,7 @@ class DedupConfig:
     percent: int = 75
     bands: int = 32
     rows: int = 4
-    slack: float = 0.15  # six standard errors of the sketch's estimate
-    sure: float = 0.9
+    slack: float = 0.1  # five standard errors of the sketch's estimate at 0.75
     block: int = 512
     seed: int = 7
 
@@ -183,9 +184,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, cfg: DedupConfig) -> DataFrame:
                     if role[i] == 0:
                         centre, own = a[i], mine.copy()
                     elif a[i] == centre and len(mine) and len(own):
-                        at = np.searchsorted(own, mine)
-                        both = int((own[np.minimum(at, len(own) - 1)] == mine).sum())
-                        if 100 * both >= percent * (len(own) + len(mine) - both):
+                        if _linked(own, mine, percent):
                             got.append((centre, doc[i]))
                 if got:
                     x = np.array(got, np.int64)
@@ -194,65 +193,131 @@ def confirm(pairs: DataFrame, texts: DataFrame, cfg: DedupConfig) -> DataFrame:
     return rows.select("a", "salt", "role", "doc_id", "text").mapInArrow(run, "a long, b long")
 
 
-def _crossings(members: DataFrame, signed: DataFrame, cfg: DedupConfig, all_pairs: bool) -> DataFrame:
-    """Pairs across components that share a bucket and may be links, from blocks of bounded size.
+def _blocks(members: DataFrame, part: str, least: int, cfg: DedupConfig) -> DataFrame:
+    """Members (key, doc_id, <part>) dealt to units of work that meet every pair of a key with different parts.
 
-    members: (key, doc_id, component).  In a bucket, the members outside its
-    largest component are compared with all; both lists are cut into blocks of
-    ``cfg.block`` by a hash, and a pair of blocks is one unit of work.
+    In a key's group the members outside its largest part are the minor ones; these
+    and all members are cut into blocks of ``cfg.block`` by a hash, and a block of
+    minor ones with a block of all is one unit (key, i, j).  Groups of one part, or of
+    fewer than ``least`` members, have no units.
     """
-    parts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"))
-    mixed = mixed.where("most < n").select("key", "main", F.ceil(F.col("n") / cfg.block).alias("blocks"), F.ceil((F.col("n") - F.col("most")) / cfg.block).alias("others"))
+    parts = members.groupBy("key", part).agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by(part, F.struct("n", part)).alias("main"))
+    mixed = mixed.where(F.col("most") < F.col("n")).where(F.col("n") >= least)
+    mixed = mixed.select("key", "main", F.ceil(F.col("n") / cfg.block).alias("blocks"), F.ceil((F.col("n") - F.col("most")) / cfg.block).alias("others"))
     rows = members.join(mixed, "key").withColumn("h", F.xxhash64("doc_id"))
-    whole = rows.select("key", F.pmod("h", "blocks").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).alias("j"), "doc_id", "component", F.lit(0).alias("minor"))
-    minor = rows.where("component <> main").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), F.pmod("h", "others").alias("j"), "doc_id", "component", F.lit(1).alias("minor"))
-    dealt = whole.union(minor).join(signed.select("doc_id", "n_shingles", "bins", "sketch"), "doc_id")
-    dealt = dealt.select("key", "i", "j", "doc_id", "component", "minor", "n_shingles", "bins", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    least, sure, percent = cfg.percent / 100 - cfg.slack, cfg.sure, cfg.percent
-
-    def within(group: pa.RecordBatch) -> list[tuple[int, int]]:
-        doc, comp, minor, size, bins = (_column(group, c) for c in ("doc_id", "component", "minor", "n_shingles", "bins"))
-        maps, out = _maps(group, "sketch"), []
-        rest = np.flatnonzero(minor == 0)
-        for x in np.flatnonzero(minor == 1):
-            y = rest[(comp[rest] != comp[x]) & (100 * np.minimum(size[rest], size[x]) >= percent * np.maximum(size[rest], size[x]))]
-            if not len(y):
-                continue
-            got = sketch_similarity(maps[y], maps[x], bins[y], bins[x], size[y], size[x])
-            y, got = y[got >= least], got[got >= least]
-            if not all_pairs:
-                chosen = {}
-                for j in np.argsort(-got, kind="stable"):
-                    held = chosen.setdefault(comp[y[j]], [])
-                    if not held or got[held[0]] < sure:
-                        held.append(j)
-                y = y[[j for held in chosen.values() for j in held]] if len(y) else y
-            out += [(min(doc[x], doc[j]), max(doc[x], doc[j])) for j in y]
-        return out
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    whole = rows.select("key", F.pmod("h", "blocks").alias("i"), each("others").alias("j"), "doc_id", part, F.lit(0).alias("minor"))
+    minor = rows.where(F.col(part) != F.col("main")).select("key", each("blocks").alias("i"), F.pmod("h", "others").alias("j"), "doc_id", part, F.lit(1).alias("minor"))
+    return whole.union(minor)
+
+
+def _by_unit(dealt: DataFrame, within) -> DataFrame:
+    """Rows (key, i, j, ...) gathered by unit; ``within`` makes pairs (a, b) of each unit's batch."""
+    K.small_batches(dealt.sparkSession)
+
+    def pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        x = np.array(found, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x.min(axis=1)), pa.array(x.max(axis=1))], ["a", "b"])
 
     def run(batches):
-        held = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            if not table.num_rows:
+            if not batch.num_rows:
                 continue
-            batch = table.to_batches()[0]
             cuts = np.zeros(batch.num_rows, bool)
             for name in ("key", "i", "j"):
                 v = _column(batch, name)
                 cuts[1:] |= v[1:] != v[:-1]
-            edges = [0, *np.flatnonzero(cuts), batch.num_rows]
-            found = [p for a, b in zip(edges[:-2], edges[1:-1]) for p in within(batch.slice(a, b - a))]
-            held = batch.slice(edges[-2], edges[-1] - edges[-2])
-            if found:
-                x = np.array(found, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
-        if held is not None and (found := within(held)):
-            x = np.array(found, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+                cuts[0] |= bool(held) and v[0] != _column(held[-1], name)[-1]
+            at = 0
+            for cut in np.flatnonzero(cuts).tolist():
+                held.append(batch.slice(at, cut - at))
+                if found := within(_joined(held)):
+                    yield pairs(found)
+                held, at = [], cut
+            held.append(batch.slice(at))
+        if held and (found := within(_joined(held))):
+            yield pairs(found)
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    parts = [p for p in parts if p.num_rows] or parts[:1]
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def _family_links(members: DataFrame, texts: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """Links between components of one family, as few as join what is linked within each unit.
+
+    members: (key, doc_id, component).  A unit holds its texts; what the sketches do
+    not rule out is checked on the full sets there and then, likeliest first, and a
+    pair whose components the unit has already joined is passed over.
+    """
+    least, percent, k = cfg.percent / 100 - cfg.slack, cfg.percent, cfg.words
+
+    def within(unit: pa.RecordBatch) -> list[tuple[int, int]]:
+        doc, label, minor = _column(unit, "doc_id"), _column(unit, "component").copy(), _column(unit, "minor")
+        rest, small = np.flatnonzero(minor == 0), np.flatnonzero(minor == 1)
+        if not len(small) or not len(rest):
+            return []
+        sets: list[np.ndarray] = []
+        maps, bins = [], []
+        for part in K.chunks(unit.select(["text"])):
+            h, offs = K.shingle_sets(K.Words(*K.buffers(part.column(0))), k)
+            m, occupied = odd_sketches(h, offs)
+            maps.append(np.ascontiguousarray(m).view(np.uint64))
+            bins.append(occupied)
+            sets += [h[a:b] for a, b in zip(offs[:-1], offs[1:])]
+        maps, bins, size = np.concatenate(maps), np.concatenate(bins), np.array([len(x) for x in sets])
+        out = []
+        for x in small:
+            y = rest[(label[rest] != label[x]) & (100 * np.minimum(size[rest], size[x]) >= percent * np.maximum(size[rest], size[x]))]
+            if not len(y):
+                continue
+            got = sketch_similarity(maps[y], maps[x], bins[y], bins[x], size[y], size[x])
+            for j in y[np.argsort(-got, kind="stable")][: int((got >= least).sum())]:
+                if label[j] != label[x] and _linked(sets[x], sets[j], percent):
+                    out.append((doc[x], doc[j]))
+                    label[label == label[j]] = label[x]
+        return out
+
+    return _by_unit(_blocks(members, "component", 3, cfg).join(texts, "doc_id").select("key", "i", "j", "doc_id", "component", "minor", "text"), within)
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    at = np.searchsorted(x, y)
+    both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _crossings(members: DataFrame, signed: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """Pairs of different families that share a bucket and may be links; a pair comes from its first common band.
+
+    members: (key, doc_id, family), key a bucket.
+    """
+    least, percent = cfg.percent / 100 - cfg.slack, cfg.percent
+
+    def within(unit: pa.RecordBatch) -> list[tuple[int, int]]:
+        doc, family, minor, size, bins = (_column(unit, c) for c in ("doc_id", "family", "minor", "n_shingles", "bins"))
+        key, out = unit.column(0)[0].as_py(), []
+        rest, small = np.flatnonzero(minor == 0), np.flatnonzero(minor == 1)
+        if not len(small) or not len(rest):
+            return out
+        maps = _maps(unit, "sketch")
+        bands = np.array(unit.column(unit.schema.get_field_index("bands")).to_pylist(), np.int64)
+        for x in small:
+            y = rest[(family[rest] != family[x]) & (100 * np.minimum(size[rest], size[x]) >= percent * np.maximum(size[rest], size[x]))]
+            if len(y):
+                y = y[sketch_similarity(maps[y], maps[x], bins[y], bins[x], size[y], size[x]) >= least]
+            if len(y):
+                first = (bands[y] == bands[x]).argmax(axis=1)
+                out += [(doc[x], doc[j]) for j in y[bands[x][first] == key]]
+        return out
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    rows = _blocks(members, "family", 2, cfg).join(signed.select("doc_id", "n_shingles", "bins", "sketch", "bands"), "doc_id")
+    return _by_unit(rows.select("key", "i", "j", "doc_id", "family", "minor", "n_shingles", "bins", "sketch", "bands"), within).distinct()
 
 
 def near_duplicates(df: DataFrame, cfg: DedupConfig = DedupConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -275,15 +340,19 @@ def near_duplicates(df: DataFrame, cfg: DedupConfig = DedupConfig(), doc_id: str
     tried = scratch.keep(_near(members.where("head < doc_id").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), reps, cfg), "tried-stars")
     links = scratch.keep(confirm(tried, texts, cfg), "links-stars")
     found = scratch.keep(connected_components(links, scratch), "components-stars")
-    for step, all_pairs in (("first", False), ("rest", True)):
-        placed = members.join(found, members.doc_id == found.id, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        more = _crossings(placed, reps, cfg, all_pairs).join(tried, ["a", "b"], "left_anti")
-        more = scratch.keep(more, f"tried-{step}")
-        if more.isEmpty():
-            break
-        fresh = scratch.keep(confirm(more, texts, cfg), f"links-{step}")
-        links, tried = links.union(fresh), tried.union(more)
-        found = scratch.keep(connected_components(links, scratch), f"components-{step}")
+    families = scratch.keep(connected_components(tried, scratch), "families")
+    place = lambda rows, groups, name: rows.join(groups.select(F.col("id").alias("doc_id"), F.col("component").alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, "doc_id"))
+    kin = place(families.select(F.col("id").alias("doc_id"), F.col("component").alias("key")), found, "component").select("key", "doc_id", "component")
+    within = scratch.keep(_family_links(kin, texts, cfg), "links-families")
+    more = scratch.keep(_crossings(place(members.select("key", "doc_id"), families, "family").select("key", "doc_id", "family"), reps, cfg), "tried-crossings")
+    across = scratch.keep(confirm(more, texts, cfg), "links-crossings")
+    if not (within.isEmpty() and across.isEmpty()):
+        # only the components that the new links touch are worked on again
+        ends = lambda df: place(place(df.withColumnRenamed("a", "doc_id"), found, "u").select("u", F.col("b").alias("doc_id")), found, "v").select(F.col("u").alias("a"), F.col("v").alias("b"))
+        joined = scratch.keep(connected_components(ends(within.union(across)), scratch), "components-joined")
+        lone = joined.join(found.select("id"), "id", "left_anti")
+        moved = found.withColumnRenamed("component", "was").join(joined.select(F.col("id").alias("was"), "component"), "was", "left")
+        found = scratch.keep(moved.select("id", F.coalesce("component", "was").alias("component")).union(lone), "components")
 
     several = classes.where("n > 1").select("set_a", "set_b", "n_shingles", "rep")
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(several, ["set_a", "set_b", "n_shingles"], "left")

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from quillon.operators import blocking, decode
+from quillon.plans import blocking_queries, decode_queries, text_queries  # noqa: F401  they register their queries
+from quillon.plans.registry import ORACLES, QUERIES, Query, query
+from quillon.plans.universe import records
 
 
+@query()
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Keys, capped blocks, evidence, context, a squashed score, one owner and the best prefix, without a trained model."""
+    pairs = blocking.candidates(records(spark, sf_dir))
+    p = 1 / (1 + F.exp(-(F.col("pre") + 0.5 * F.col("nk") - 3.0)))
+    return decode.decode(pairs.select("e", "src", "r", F.round(p, 9).alias("p")))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

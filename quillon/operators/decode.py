@@ -143,10 +143,10 @@ def shift(p: Column, bias: float) -> Column:
 def errors(decoded: DataFrame, labelled: DataFrame, truth_pairs: DataFrame) -> DataFrame:
     """False and missed pairs with a reason: singleton trap, wrong merge, blocking miss, model low."""
     key = ["e", "src", "r"]
-    said, true = decoded.select(*key, F.lit(1).alias("said")), truth_pairs.select(*key, F.lit(1).alias("true"))
+    said, true = decoded.select(*key, F.lit(1).alias("listed")), truth_pairs.select(*key, F.lit(1).alias("linked"))
     owners = truth_pairs.select("e").distinct().withColumn("has", F.lit(1))
     seen = labelled.select(*key, F.lit(1).alias("seen"))
-    odd = said.join(true, key, "full").where("said is null or true is null").join(owners, "e", "left").join(seen, key, "left")
+    odd = said.join(true, key, "full").where("listed is null or linked is null").join(owners, "e", "left").join(seen, key, "left")
     wrong = F.when(F.col("has").isNull(), "singleton trap").otherwise("wrong merge")
     lost = F.when(F.col("seen").isNull(), "blocking miss").otherwise("model low")
-    return odd.select(*key, F.when(F.col("true").isNull(), "FP").otherwise("FN").alias("error"), F.when(F.col("true").isNull(), wrong).otherwise(lost).alias("reason"))
+    return odd.select(*key, F.when(F.col("linked").isNull(), "FP").otherwise("FN").alias("error"), F.when(F.col("linked").isNull(), wrong).otherwise(lost).alias("reason"))

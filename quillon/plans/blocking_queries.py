@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions import rules
 from quillon.operators import blocking as B, features as X, tokens as T
 from quillon.plans.registry import query, table
-from quillon.plans.universe import REC, records
+from quillon.plans.universe import REC, part_records, records
 
 _GENERIC = ", ".join(f"'{x}'" for x in rules.ADDR_GENERIC)
 _CAP = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.CAPS.items()) + " END"
@@ -151,9 +151,9 @@ def _top_pairs(spark, sf_dir):
     return B.top_forward(_rounded(spark, sf_dir), "pre", 15).select("e", "src", "r")
 
 
-def _sided(spark, sf_dir):
+def _sided(rec):
     """Records with all the columns that pair features read."""
-    rec = records(spark, sf_dir).withColumns({"ct": T.tokens(F.col("core")), "at": T.tokens(F.col("ad")), "nt": T.tokens(F.col("nums"))})
+    rec = rec.withColumns({"ct": T.tokens(F.col("core")), "at": T.tokens(F.col("ad")), "nt": T.tokens(F.col("nums"))})
     rec = rec.withColumns({"nm": F.col("core"), "adf": F.col("ad"), "legal": F.lit(""), "script": F.lit(0).cast("tinyint"), "web": F.col("text").contains("www.").cast("tinyint"), "hmain": F.coalesce(F.get("nt", F.lit(0)), F.lit(""))})
     rec = T.with_rarest(rec, ["id", "src"], "ct", T.document_frequency(rec, "ct"), "rc")
     return T.with_rarest(rec, ["id", "src"], "at", T.document_frequency(rec, "at"), "ra", rules.ADDR_GENERIC)
@@ -167,18 +167,18 @@ SELECT e, src, r, CAST(len(list_intersect(c1, c2)) AS INT) AS c_inter, CAST(len(
  CAST(len(list_intersect(a1, a2)) AS INT) AS a_inter, CAST(len(list_intersect(n1, n2)) AS INT) AS n_inter,
  round(len(list_intersect(c1, c2)) / greatest(len(c1) + len(c2) - len(list_intersect(c1, c2)), 1), 6) AS c_jac, round(len(list_intersect(a1, a2)) / greatest(len(a1) + len(a2) - len(list_intersect(a1, a2)), 1), 6) AS a_jac FROM j""")
 def set_overlap_features(spark, sf_dir):
-    out = X.set_features(X.attach(_top_pairs(spark, sf_dir), _sided(spark, sf_dir), _SIDE))
+    out = X.set_features(X.attach(_top_pairs(spark, sf_dir), _sided(records(spark, sf_dir)), _SIDE))
     return out.select("e", "src", "r", "c_inter", "c_union", "c_only1", "c_only2", "a_inter", "n_inter", F.round("c_jac", 6).alias("c_jac"), F.round("a_jac", 6).alias("a_jac"))
 
 
 @query()
 def pair_features_all(spark, sf_dir):
-    """Every feature group of the best candidates; the string scores have no SQL twin."""
-    rec = _sided(spark, sf_dir)
-    pairs = X.context(_rounded(spark, sf_dir)).where("rank1s <= 3")
+    """Every feature group of the best candidates among parts; the string scores have no SQL twin."""
+    parts = part_records(spark, sf_dir)
+    rec = _sided(parts)
+    pairs = X.context(B.union_evidence(*B.capped(B.keys(parts))).withColumn("pre", F.round("pre", 6))).where("rank1s <= 3")
     p = X.attach(pairs, rec, _SIDE)
-    short = p.withColumns({f"{c}_{i}": F.coalesce(F.col(f"core_{i}"), F.lit("")) for c in ("ad", "adf") for i in (1, 2)})
-    return X.set_features(p).join(X.fuzzy_features(short), X.KEYS).join(X.kind_flags(pairs), X.KEYS).join(X.reference_features(pairs, rec.withColumn("adf", F.col("core"))), X.KEYS)
+    return X.set_features(p).join(X.fuzzy_features(p), X.KEYS).join(X.kind_flags(pairs), X.KEYS).join(X.reference_features(pairs, rec), X.KEYS)
 
 
 @query(f"""WITH {_TOP}, {_SETS}, n AS (SELECT country, count(*) AS n FROM rec GROUP BY country), i AS (SELECT country, t, ln(n / count(*)) AS idf FROM (SELECT country, unnest(ct) AS t FROM sets) JOIN n USING (country) GROUP BY country, t, n),

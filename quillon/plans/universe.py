@@ -30,6 +30,14 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("cc", F.replace("core", F.lit(" "), F.lit("")))
 
 
+def part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as records with short names: the brand is the country, the type the address, the size the number."""
+    p = table(spark, sf_dir, "part")
+    rows = p.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 3 + 1).cast("int").alias("src"), F.col("p_brand").alias("country"), F.col("p_name").alias("text"),
+                    F.lower("p_name").alias("core"), F.lower("p_type").alias("ad"), F.col("p_size").cast("string").alias("nums"), F.lit("").alias("hn"))
+    return rows.withColumn("cc", F.replace("core", F.lit(" "), F.lit("")))
+
+
 SCORED = """scored AS (SELECT l_orderkey AS e, CAST(2 + l_partkey % 2 AS INT) AS src, l_partkey AS r,
   round(max((l_linenumber * 7919 + l_suppkey * 104729 + l_partkey * 31 + l_orderkey * 17) % 1000) / 1000.0 * 0.6 + 0.35 * CAST((l_orderkey + l_partkey) % 3 = 0 AS INT), 6) AS p,
   CAST((l_orderkey + l_partkey) % 3 = 0 AS INT) AS y FROM lineitem GROUP BY l_orderkey, l_partkey),

@@ -98,7 +98,7 @@ def translate_name(c: Column, words: Column | None = None) -> Column:
 
 def translate_address(c: Column, segments: Column, words: Column | None = None) -> Column:
     """Indic comma segments by the segment dictionary, the rest token by token."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda p: F.trim(p))
     known = F.transform(parts, lambda p: F.when(p.rlike(INDIC), F.coalesce(F.try_element_at(segments, p), p)).otherwise(p))
     return translate_name(F.array_join(known, ", "), words)
 

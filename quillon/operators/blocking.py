@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from quillon.config import LinkageConfig
 from quillon.functions import rules
 from quillon.operators.tokens import document_frequency, rarest, tokens
+from quillon.scratch import Scratch
 
 KEY = ["id", "src", "country"]
 
@@ -95,15 +96,20 @@ def compact_address_keys(records: DataFrame, words: DataFrame) -> DataFrame:
     return _kind(records.where(F.char_length("cc") >= 4).select(*KEY, "cc").join(words.where("place <= 2"), KEY), "ca", F.concat_ws("|", "cc", "t"))
 
 
-def keys(records: DataFrame, cfg: LinkageConfig = LinkageConfig()) -> DataFrame:
-    """``(id, src, country, kind, key)``: the distinct keys of all kinds."""
-    rows = blocking_tokens(records)
-    names, words = name_ranks(rows), word_ranks(rows)
+def keys(records: DataFrame, cfg: LinkageConfig = LinkageConfig(), scratch: Scratch | None = None) -> DataFrame:
+    """``(id, src, country, kind, key)``: the distinct keys of all kinds.
+
+    With ``scratch`` the token ranks and the keys, which several later steps read,
+    are computed once and written.
+    """
+    keep = scratch.keep if scratch else lambda df, name: df
+    rows = keep(blocking_tokens(records).select(*KEY, "nums", "hn", "cc", "nt", "at", "numbers"), "tokens")
+    names, words = keep(name_ranks(rows), "names"), keep(word_ranks(rows), "words")
     parts = [number_word_keys(rows, words), pair_keys(names), single_keys(names, cfg), compact_keys(rows), address_keys(words)]
     parts += [number_name_keys(rows, names), house_keys(rows, words), rare_keys(rows, names, cfg)]
     if cfg.with_ca:
         parts.append(compact_address_keys(rows, words))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return keep(reduce(DataFrame.unionByName, parts).distinct(), "keys")
 
 
 def cap(kind: Column, cfg: LinkageConfig) -> Column:
@@ -164,7 +170,7 @@ def top_either(pairs: DataFrame, score: str, forward: int, reverse: int) -> Data
 
 def candidates(records: DataFrame, cfg: LinkageConfig = LinkageConfig()) -> DataFrame:
     """Keys, caps, shared evidence and the best of each entity (and record)."""
-    pairs = union_evidence(*capped(keys(records, cfg), cfg))
+    pairs = union_evidence(*capped(keys(records, cfg, Scratch(records.sparkSession, "blocks")), cfg))
     return top_either(pairs, "pre", cfg.keep, cfg.reverse)
 
 

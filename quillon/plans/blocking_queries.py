@@ -8,6 +8,7 @@ from quillon.functions import rules
 from quillon.operators import blocking as B, features as X, tokens as T
 from quillon.plans.registry import query, table
 from quillon.plans.universe import REC, part_records, records
+from quillon.scratch import Scratch
 
 _GENERIC = ", ".join(f"'{x}'" for x in rules.ADDR_GENERIC)
 _CAP = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.CAPS.items()) + " END"
@@ -44,8 +45,12 @@ RANKED = f"{PAIRS}, ranked AS (SELECT * REPLACE (round(pre, 6) AS pre) FROM pair
 TRUE = "truth AS (SELECT a.id AS e, b.src, b.id AS r, a.country FROM rec a JOIN rec b ON a.src = 1 AND b.src > 1 AND a.country = b.country AND md5(a.text) = md5(b.text))"
 
 
+def _keys(rec):
+    return B.keys(rec, scratch=Scratch(rec.sparkSession, "blocks"))
+
+
 def _rounded(spark, sf_dir):
-    return B.union_evidence(*B.capped(B.keys(records(spark, sf_dir)))).withColumn("pre", F.round("pre", 6))
+    return B.union_evidence(*B.capped(_keys(records(spark, sf_dir)))).withColumn("pre", F.round("pre", 6))
 
 
 def _true(rec):
@@ -100,7 +105,7 @@ block_keys_ca = _keys_query("ca", lambda r: B.compact_address_keys(r, B.word_ran
 
 @query(f"WITH {CAPPED} SELECT src, country, kind, CAST(count(*) AS BIGINT) AS keys, CAST(sum(n) AS BIGINT) AS rows_ FROM (SELECT DISTINCT src, country, kind, key, n FROM rk) GROUP BY ALL")
 def block_cap_filter(spark, sf_dir):
-    _, right = B.capped(B.keys(records(spark, sf_dir)))
+    _, right = B.capped(_keys(records(spark, sf_dir)))
     return right.select("src", "country", "kind", "key", "n").distinct().groupBy("src", "country", "kind").agg(F.count("*").alias("keys"), F.sum("n").alias("rows_"))
 
 
@@ -109,7 +114,7 @@ _W = ", ".join(f"round(w_{k}, 6) AS w_{k}" for k in rules.CAPS)
 
 @query(f"WITH {PAIRS} SELECT e, src, r, round(pre, 6) AS pre, CAST(nk AS INT) AS nk, CAST(kinds AS INT) AS kinds, {_W} FROM pairs")
 def candidate_union(spark, sf_dir):
-    pairs = B.union_evidence(*B.capped(B.keys(records(spark, sf_dir))))
+    pairs = B.union_evidence(*B.capped(_keys(records(spark, sf_dir))))
     return pairs.select("e", "src", "r", F.round("pre", 6).alias("pre"), "nk", "kinds", *[F.round(f"w_{k}", 6).alias(f"w_{k}") for k in rules.CAPS])
 
 
@@ -176,8 +181,10 @@ def pair_features_all(spark, sf_dir):
     """Every feature group of the best candidates among parts; the string scores have no SQL twin."""
     parts = part_records(spark, sf_dir)
     rec = _sided(parts)
-    pairs = X.context(B.union_evidence(*B.capped(B.keys(parts))).withColumn("pre", F.round("pre", 6))).where("rank1s <= 3")
-    p = X.attach(pairs, rec, _SIDE)
+    scratch = Scratch(spark, "features")
+    found = X.context(B.union_evidence(*B.capped(_keys(parts))).withColumn("pre", F.round("pre", 6)))
+    pairs = scratch.keep(found.where("rank1s <= 3"), "pairs")
+    p = scratch.keep(X.attach(pairs, rec, _SIDE), "sides")
     return X.set_features(p).join(X.fuzzy_features(p), X.KEYS).join(X.kind_flags(pairs), X.KEYS).join(X.reference_features(pairs, rec), X.KEYS)
 
 

@@ -29,12 +29,12 @@ from quillon.scratch import Scratch
 @dataclass(frozen=True)
 class ResampleConfig:
     """buckets: of the hashed n-grams; sample: labelled rows used at most; spare: share of labelled good
-    texts that the weight above which k is counted may lose; prior: added count of every bucket."""
+    texts that the weight above which k is counted may lose; prior: count added to every bucket of both models, so that rare n-grams of few labelled texts say little."""
 
     buckets: int = 1 << 15
     lags: int = 24
     sample: int = 20_000
-    prior: float = 0.5
+    prior: float = 30.0
     spare: float = 0.002
     seed: int = 5
 
@@ -94,7 +94,7 @@ def fit(documents: DataFrame, labels: DataFrame, cfg: ResampleConfig = ResampleC
     raw[at], target[at] = got.column("raw").to_numpy(), got.column("target").to_numpy()
     if not target.sum():
         return np.zeros(cfg.buckets, np.float32), -np.inf
-    # the raw model's mass, scaled by the sizes, is the target's prior: an n-gram that no labelled text has is not evidence
+    # both are brought to the target's size, so that the prior weighs alike: what few labelled texts lack is then hardly evidence
     smooth = lambda c: np.log((c + cfg.prior) / (c.sum() + cfg.prior * len(c)))
     ratio = (smooth(target) - smooth(raw * (target.sum() / raw.sum()))).astype(np.float32)
     chosen = spark.createDataFrame([(int(i), int(q)) for i, q in held.items()], "doc_id long, quality int")

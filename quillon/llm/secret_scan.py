@@ -164,7 +164,7 @@ def redact(df: DataFrame, ledger: DataFrame | None = None, doc_id: str = "doc_id
     rank = F.array_position(F.array(*[F.lit(r.kind) for r in RULES]), F.col("kind")).cast("int")
     known = known.where((F.col("rules") == VERSION) & F.col("kind").isNotNull())
     found = known.groupBy(F.col("blob").alias("__blob")).agg(F.array_sort(F.collect_list(F.struct("at", rank.alias("rank"), "until"))).alias("__spans"))
-    body = F.col(text)
+    body = F.col(f"__row.`{text}`")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("until"))
     step = lambda acc, s: F.struct(
         F.when(s["at"] >= acc["until"], F.concat(acc["out"], F.substr(body, (acc["until"] + 1).cast("int"), (s["at"] - acc["until"]).cast("int")), F.lit(mark))).otherwise(acc["out"]).alias("out"),
@@ -172,5 +172,7 @@ def redact(df: DataFrame, ledger: DataFrame | None = None, doc_id: str = "doc_id
     )
     end = lambda acc: F.concat(acc["out"], F.substr(body, (acc["until"] + 1).cast("int")))
     clean = F.when(F.col("__spans").isNull(), body).otherwise(F.aggregate("__spans", start, step, end))
-    rows = df.withColumn("__blob", F.sha2(body, 256)).join(found, "__blob", "left")
-    return rows.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
+    # the row travels as one column, so no name of it can clash with the finding's
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))
+    rows = whole.withColumn("__blob", F.sha2(body, 256)).join(found, "__blob", "left")
+    return rows.select(*[(clean if c == text else F.col(f"__row.`{c}`")).alias(c) for c in df.columns])

@@ -4,11 +4,11 @@ The mix takes an exact number of words from every source: some whole passes over
 the source and a rest.  The rest is a quota that a splitting tree hands down: a
 source's documents are hashed to 16**L leaves, and at each node the quota is
 split over its 16 children by a multivariate hypergeometric draw, as if so many
-words had been drawn from the node's words without replacement.  In a leaf the
-documents stand in a hashed permutation and are taken in turn until the leaf's
-quota is full; the last one is cut.  A leaf's documents are one task's window,
-their number is bounded by the choice of L, and the source's size does not
-matter.  All draws are hashes of (seed, source, node), so reruns agree.
+words had been drawn from the node's words without replacement.  A leaf is a
+source's part of an output shard.  In it the documents stand in a hashed
+permutation and are taken in turn until the leaf's quota is full; the last one is
+cut.  A shard has about ``leaf_rows`` documents of the largest source and fewer of
+any other, whatever the sources' sizes, and is shuffled locally.  All draws are hashes of (seed, source, node), so reruns agree.
 """
 
 from __future__ import annotations
@@ -119,8 +119,8 @@ def split_quota(quota: Column, words: Column, *key: Column) -> Column:
 def plan(rows: DataFrame, sizes_from: DataFrame, cfg: MixConfig) -> DataFrame:
     """rows: (doc_id, src, none, size, ...), sizes_from: the same rows without other columns.
 
-    Adds source_size, target, ``passes`` (whole passes over the source) and ``part``
-    (words taken beyond them, from the text's start).
+    Adds source_size, target, ``passes`` (whole passes over the source), ``part``
+    (words taken beyond them, from the text's start) and the output ``shard``.
     """
     key = ["src", "none"]
     sizes = sizes_from.groupBy(*key).agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
@@ -141,14 +141,21 @@ def plan(rows: DataFrame, sizes_from: DataFrame, cfg: MixConfig) -> DataFrame:
         got = split_quota(F.col("quota"), F.col("words"), F.lit(cfg.seed), F.lit(level), F.col("src"), F.col("none"), F.col("node"))
         split = nodes.join(under, [*key, "node"]).select(*key, "node", F.posexplode(got).alias("child", "quota"))
         nodes = split.select(*key, (F.col("node") * FAN + F.col("child")).alias("node"), "quota")
-    quotas = goal.select(*key, "source_size", "target", "passes").join(nodes.withColumnRenamed("node", "leaf"), key, "left")
-    # a source without words has no leaves; its documents, like all without words, take nothing
-    placed = rows.withColumn("leaf", F.when(F.col("size") > 0, leaf))
-    turn = W.partitionBy(*key, "leaf").orderBy(F.xxhash64(F.lit(cfg.seed), F.lit("turn"), "doc_id"), "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    some = placed.where("size > 0").join(quotas.where("leaf is not null"), [*key, "leaf"])
-    some = some.withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("quota") - F.coalesce(F.sum("size").over(turn), F.lit(0)))).cast("long"))
-    none = placed.where("size = 0").join(goal.select(*key, "source_size", "target", "passes"), key).withColumn("part", F.lit(0).cast("long"))
-    return some.drop("leaf", "quota").unionByName(none.drop("leaf"))
+    # A leaf of every source goes to one output shard.  Its quota travels to its documents as a row of its own,
+    # so one exchange by shard serves both, and each shard has its part of every source, hot ones included.
+    carried = ["source_size", "target", "passes", "quota"]
+    extra = [c for c in rows.columns if c not in ("doc_id", "src", "none", "size")]
+    absent = lambda names, schema: [F.lit(None).cast(schema[c].dataType).alias(c) for c in names]
+    quotas = goal.select(*key, "source_size", "target", "passes").join(nodes.withColumnRenamed("node", "shard"), key)
+    heads = quotas.select(*key, "shard", *carried, F.lit(0).alias("role"), F.lit(0).cast("long").alias("size"), *absent(["doc_id", *extra], rows.schema))
+    full = rows.where("size > 0").select(*key, leaf.alias("shard"), *absent(carried, heads.schema), F.lit(1).alias("role"), "size", "doc_id", *extra)
+    turn = W.partitionBy(*key, "shard").orderBy("role", F.xxhash64(F.lit(cfg.seed), F.lit("turn"), "doc_id"), "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    both = heads.unionByName(full).repartition("shard").withColumns({c: F.first(c, ignorenulls=True).over(turn) for c in carried} | {"before": F.sum("size").over(turn)})
+    part = F.greatest(F.lit(0), F.least("size", F.col("quota") - F.col("before"))).cast("long")
+    some = both.where("role = 1").select("doc_id", *key, "size", *extra, "source_size", "target", "passes", part.alias("part"), "shard")
+    # a text without words takes nothing, and its source may have no leaf at all
+    none = rows.where("size = 0").join(goal.select(*key, "source_size", "target", "passes"), key).withColumns({"part": F.lit(0).cast("long"), "shard": leaf})
+    return some.unionByName(none)
 
 
 def _sized(df: DataFrame, doc_id: str, text: str, source: str, *extra: Column) -> DataFrame:
@@ -157,7 +164,8 @@ def _sized(df: DataFrame, doc_id: str, text: str, source: str, *extra: Column) -
 
 
 def mix_report(df: DataFrame, cfg: MixConfig = MixConfig(), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``(doc_id, size, source_size, target, taken, source)`` of every row: the words the mix takes, repeats counted.
+    """``(doc_id, size, source_size, target, taken, source, shard)`` of every row: the words the mix takes, repeats
+    counted, and the output shard that they go to.
 
     A text's size is its words; null texts and texts without words have 0 and give
     nothing.  A null source is a source of its own, the last.  Rows that repeat an
@@ -166,22 +174,22 @@ def mix_report(df: DataFrame, cfg: MixConfig = MixConfig(), doc_id: str = "doc_i
     sized = Scratch(df.sparkSession, "mix").keep(_sized(df, doc_id, text, source), "sized")
     made = plan(sized, sized, cfg)
     taken = F.col("passes") * F.col("size") + F.col("part")
-    return made.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.when(~F.col("none"), F.col("src")).alias("source"))
+    return made.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.when(~F.col("none"), F.col("src")).alias("source"), "shard")
 
 
 def mix(df: DataFrame, cfg: MixConfig = MixConfig(), doc_id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str | None = "n_chars") -> DataFrame:
     """The mix itself, with the columns of ``df``: each row as often as it is taken whole, and cut rows.
 
     A cut row's text is its first words joined by single spaces, and ``n_chars`` (if
-    named and there) its length.  Rows come out in a local shuffle: each partition
-    is sorted by a hash of id and copy.
+    named and there) its length.  Rows come out by output shard, in a local shuffle:
+    each shard is sorted by a hash of id and copy.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
     made = plan(_sized(df, doc_id, text, source, whole), Scratch(df.sparkSession, "mix").keep(_sized(df, doc_id, text, source), "sized"), cfg)
     copies = F.concat(F.array_repeat(F.col("size"), F.col("passes").cast("int")), F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>")))
-    drawn = made.select("row", "size", F.posexplode(copies).alias("copy", "words"))
+    drawn = made.select("row", "size", "shard", F.posexplode(copies).alias("copy", "words"))
     body = F.col(f"row.`{text}`")
     cut = F.when(F.col("words") >= F.col("size"), body).otherwise(F.array_join(F.slice(F.regexp_extract_all(body, F.lit(WORD), F.lit(0)), 1, F.col("words").cast("int")), " "))
-    out = drawn.withColumn("cut", cut).sortWithinPartitions(F.xxhash64(F.lit(cfg.seed), F.col(f"row.`{doc_id}`"), "copy"))
+    out = drawn.withColumn("cut", cut).sortWithinPartitions("shard", F.xxhash64(F.lit(cfg.seed), F.col(f"row.`{doc_id}`"), "copy"))
     column = lambda c: F.col("cut").alias(c) if c == text else F.char_length("cut").cast(df.schema[c].dataType).alias(c) if c == n_chars else F.col(f"row.`{c}`").alias(c)
     return out.select(*[column(c) for c in df.columns])

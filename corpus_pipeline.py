@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillon.llm import bpe, minhash_dedup, mixing, quality_classifier, queries, secret_scan
 from quillon.scratch import Scratch
+from quillon.sources.tables import table
 
 #: The stages rest on hashes and fitted models, which SQL cannot express; the tests hold them against brute force.
 ORACLE_SQL = None
@@ -60,7 +61,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the documents of ``sf_dir``."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:

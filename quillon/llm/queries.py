@@ -9,11 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillon.sources.tables import table
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def tokenizer_path() -> str:
     """The word-level BPE file of the public tokenizers; any other path can be given to the operator."""
@@ -25,52 +23,52 @@ def tokenizer_path() -> str:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.quality_rules import apply_rules, fit_rules
 
-    documents = _table(spark, sf_dir, "documents")
-    made = apply_rules(documents, fit_rules(documents, _table(spark, sf_dir, "labels")))
+    documents = table(spark, sf_dir, "documents")
+    made = apply_rules(documents, fit_rules(documents, table(spark, sf_dir, "labels")))
     return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.minhash_dedup import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.mixing import mix_report
 
-    return mix_report(_table(spark, sf_dir, "documents"))
+    return mix_report(table(spark, sf_dir, "documents"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.bpe import encode
 
-    return encode(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return encode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.quality_classifier import resample
 
-    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.license_scan import scan
 
-    return scan(_table(spark, sf_dir, "documents"))
+    return scan(table(spark, sf_dir, "documents"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.sharding import shard
 
-    return shard(_table(spark, sf_dir, "documents"))
+    return shard(table(spark, sf_dir, "documents"))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of each path's findings; a span is kind:start:end."""
     from quillon.llm.secret_scan import BASE, findings_by_path, update_ledger
 
-    found = findings_by_path(*update_ledger(_table(spark, sf_dir, "documents")))
+    found = findings_by_path(*update_ledger(table(spark, sf_dir, "documents")))
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["at"], s["until"])), ",")
     base = F.filter("spans", lambda s: s["rank"] <= len(BASE))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -80,13 +78,13 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.fingerprints import edit_study
 
-    return edit_study(_table(spark, sf_dir, "documents"))
+    return edit_study(table(spark, sf_dir, "documents"))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.lm_score import score_documents
 
-    return score_documents(_table(spark, sf_dir, "documents"))
+    return score_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:

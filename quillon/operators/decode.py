@@ -118,6 +118,20 @@ def tune(grid: DataFrame, by: str) -> DataFrame:
     return best.unionByName(best.agg(F.lit("_default").alias("country"), *[F.max(n).alias(n) for n in names]))
 
 
+def honest(pairs: DataFrame, truth: DataFrame, fold: Column, by: str, grid: dict[str, tuple[float, ...]] = GRID) -> DataFrame:
+    """Macro F0.5 of each half by the thresholds tuned on the other, and both halves' mean by size: ``(by, fold, f05, entities)``.
+
+    The owner step is over all pairs.  fold: 0 or 1 for an entity, as a column of ``e``.
+    """
+    owned, names = one_owner(pairs), ("t_single", "t_match", "miss_mass")
+    halves = truth.withColumn("fold", fold)
+    scores = [threshold_grid(owned, halves.where(F.col("fold") == f), grid, by, False).withColumn("fold", F.lit(f)) for f in (0, 1)]
+    both = reduce(DataFrame.unionByName, scores)
+    best = both.groupBy(by, "fold").agg(F.max_by(F.struct(*names), F.struct("f05", *names)).alias("b")).select(by, (1 - F.col("fold")).alias("fold"), "b.*")
+    size = halves.groupBy(by, "fold").agg(F.count("*").alias("entities"))
+    return both.join(best, [by, "fold", *names]).join(size, [by, "fold"]).select(by, "fold", "f05", "entities")
+
+
 def ablate(pairs: DataFrame, labelled: DataFrame, truth: DataFrame, t_single: float = 0.5, t_match: float = 0.3, miss_mass: float = 0.05) -> DataFrame:
     """Decomposition of the decoder without each of its parts."""
     base = {"t_single": t_single, "t_match": t_match, "miss_mass": miss_mass}

@@ -113,6 +113,13 @@ def threshold_tune(spark, sf_dir):
     return D.tune(D.threshold_grid(pairs, t, by="country").withColumn("f05", F.round("f05", 6)), "country")
 
 
+@query()
+def honest_thresholds(spark, sf_dir):
+    """Thresholds tuned on one half of the orders and scored on the other; the halves are hashes."""
+    pairs, t = _both(spark, sf_dir)
+    return D.honest(pairs, t, M.fold_of(F.col("e")), "country")
+
+
 @query(f"""WITH {SCORED}, v AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY p DESC, src, r) AS p_rank, max(p) OVER (PARTITION BY e) AS p_max, count(*) OVER (PARTITION BY e) AS n_cand, sum(CAST(p >= 0.5 AS INT)) OVER (PARTITION BY e) AS n_hi, sum(p) OVER (PARTITION BY e) AS p_sum,
  row_number() OVER (PARTITION BY e, src ORDER BY p DESC, r) AS p_rank_s, sum(CAST(p >= 0.5 AS INT)) OVER (PARTITION BY e, src) AS n_hi_s, count(*) OVER (PARTITION BY src, r) AS r_n, max(p) OVER (PARTITION BY src, r) AS rmax,
  nth_value(p, 2) OVER (PARTITION BY e ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS e2, nth_value(p, 2) OVER (PARTITION BY src, r ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS r2 FROM scored),

@@ -95,20 +95,23 @@ GRID = {"t_single": (0.4, 0.5, 0.6), "t_match": (0.2, 0.3, 0.5), "miss_mass": (0
 
 
 def threshold_grid(pairs: DataFrame, truth: DataFrame, grid: dict[str, tuple[float, ...]] = GRID, by: str | None = None, use_one_owner: bool = True) -> DataFrame:
-    """Macro F0.5 of every grid point (t_match <= t_single), from one sort: each pair is repeated for the grid's fixed few points."""
+    """Macro F0.5 of every grid point (t_match <= t_single) from one sort.
+
+    Each point is one conditional aggregate of the entity's ranked pairs, so pairs
+    are neither repeated nor shuffled again; the points become rows at the end.
+    """
     points = [(a, b, c) for a in grid["t_single"] for b in grid["t_match"] for c in grid["miss_mass"] if b <= a]
     group = (by,) if by else ()
     ranked = prefixes(one_owner(pairs) if use_one_owner else pairs)
-    table = F.array(*[F.struct(F.lit(float(a)).alias("t_single"), F.lit(float(b)).alias("t_match"), F.lit(float(c)).alias("miss_mass")) for a, b, c in points])
-    repeated = ranked.withColumn("g", F.explode(table)).select("*", "g.*").drop("g")
-    names = ("t_single", "t_match", "miss_mass")
-    best = choose(repeated, names).join(truth.select("e", "n_true", *group), "e")
-    real = F.when(F.col("n_true") == 0, 0.0).otherwise(1.25 * F.col("cy") / (0.25 * F.col("n_true") + F.col("k")))
-    got = best.groupBy(*group, *names).agg(F.sum(real).alias("s"), F.sum((F.col("n_true") == 0).cast("int")).alias("lost"))
-    base = truth.groupBy(*group).agg(F.count("*").alias("n"), F.sum((F.col("n_true") == 0).cast("int")).alias("empty"))
-    rows = base.withColumn("g", F.explode(table)).select(*group, "n", "empty", "g.*")
-    out = rows.join(got, [*group, *names], "left")
-    return out.select(*group, *names, ((F.coalesce("s", F.lit(0.0)) + F.col("empty") - F.coalesce("lost", F.lit(0))) / F.col("n")).alias("f05"))
+    score = {c: expected_f(F.col("ctp"), F.col("psum"), F.lit(c), F.col("k")) for c in grid["miss_mass"]}
+    inside = lambda a, b: (F.col("pmax") >= a) & (F.col("p") >= b)
+    best = [F.max_by(F.struct("k", "cy"), F.when(inside(a, b), F.struct(score[c], -F.col("k")))).alias(f"b{i}") for i, (a, b, c) in enumerate(points)]
+    lists = truth.select("e", "n_true", *group).join(ranked.groupBy("e").agg(*best), "e", "left")
+    n = F.col("n_true")
+    sums = [F.sum(F.when(F.col(f"b{i}").isNull(), (n == 0).cast("double")).otherwise(f05(F.col(f"b{i}.cy"), F.col(f"b{i}.k"), n))).alias(f"s{i}") for i in range(len(points))]
+    whole = lists.groupBy(*group).agg(F.count("*").alias("n"), *sums)
+    rows = F.array(*[F.struct(*[F.lit(float(v)).alias(name) for name, v in zip(("t_single", "t_match", "miss_mass"), point)], (F.col(f"s{i}") / F.col("n")).alias("f05")) for i, point in enumerate(points)])
+    return whole.select(*group, F.explode(rows).alias("g")).select(*group, "g.*")
 
 
 def tune(grid: DataFrame, by: str) -> DataFrame:

@@ -2,15 +2,16 @@
 
 Rows are ordered by (hash of the text, id), so copies of a text stand together
 and stay in one shard unless a cut must fall inside them.  The cuts are found by
-counting (Solomonik and Kale, 2010): a round sends a bounded list of probe keys
-to all partitions, each counts the exact rows and bytes below every probe, and
-the interval that holds a cut is probed again until the cut's bytes are within
-tolerance.  The counts also give the place of every range in its shard, so after
+counting (Solomonik and Kale, 2010): a round sends a few probe keys for each
+open cut to all partitions, each counts the exact rows and bytes below every
+probe, and the interval that holds a cut is probed again until the cut's bytes
+are within tolerance.  The counts also give the place of every range in its shard, so after
 one exchange by range each row's slot is known without a further pass.
 """
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,12 +26,14 @@ _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 @dataclass(frozen=True)
 class ShardConfig:
-    """tolerance: of a cut, against a shard's bytes; probes: in one interval and round; range_rows: about so many rows are sorted by one task."""
+    """tolerance: of a cut, against a shard's bytes; steps: probes stand off the guessed place by these parts of
+    the interval, and ``even`` parts of it; range_rows: about so many rows are sorted by one task."""
 
     shards: int = 24
     tolerance: float = 0.001
     loose: float = 0.2
-    probes: int = 15
+    steps: tuple[int, ...] = (64, 1024)
+    even: int = 8
     range_rows: int = 200_000
     max_rounds: int = 40
 
@@ -52,56 +55,78 @@ def _below(h: np.ndarray, ids: np.ndarray, ph: np.ndarray, pi: np.ndarray) -> np
     return at
 
 
-def _count(keys: DataFrame, probes: list[int]) -> list[tuple[int, int]]:
-    """Exact (rows, bytes) strictly below every probe; one small row a task and probe is shuffled."""
+def _count(keys: DataFrame, probes: list[int]) -> tuple[list[int], list[int], list[tuple[int, int] | None]]:
+    """Exact rows and bytes of each cell between sorted probes (one more than these), and the bounds of its keys.
+
+    One small row a task and cell is shuffled.  A cell of several hashes is bounded
+    by whole hashes, a cell of one by its ids.
+    """
     pairs = [_as_pair(p) for p in probes]
     ph, pi = (np.array(x, np.int64) for x in zip(*pairs))
 
     def run(batches):
-        rows, size = np.zeros(len(ph) + 1, np.int64), np.zeros(len(ph) + 1, np.int64)
+        n, size = np.zeros(len(ph) + 1, np.int64), np.zeros(len(ph) + 1, np.int64)
+        low, high = np.full((2, len(ph) + 1), _HIGH, np.int64), np.full((2, len(ph) + 1), _LOW, np.int64)
         for b in batches:
-            at = _below(b.column(0).to_numpy(), b.column(1).to_numpy(), ph, pi)
-            rows += np.bincount(at, minlength=len(rows))
-            size += np.bincount(at, b.column(2).to_numpy(), minlength=len(rows)).astype(np.int64)
-        at = np.flatnonzero(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(rows[at]), pa.array(size[at])], ["at", "n", "size"])
-
-    got = keys.select("h", "doc_id", "size").mapInArrow(run, "at long, n long, size long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).collect()
-    rows, size = np.zeros(len(ph) + 1, np.int64), np.zeros(len(ph) + 1, np.int64)
+            h, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+            at = _below(h, ids, ph, pi)
+            n += np.bincount(at, minlength=len(n))
+            np.add.at(size, at, b.column(2).to_numpy())
+            for row, value in enumerate((h, ids)):
+                np.minimum.at(low[row], at, value)
+                np.maximum.at(high[row], at, value)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, n[at], size[at], low[0][at], high[0][at], low[1][at], high[1][at])], ["at", "n", "size", "h0", "h1", "i0", "i1"])
+
+    cells = keys.select("h", "doc_id", "size").mapInArrow(run, "at long, n long, size long, h0 long, h1 long, i0 long, i1 long")
+    got = cells.groupBy("at").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), *[f(c).alias(c) for f, c in ((F.min, "h0"), (F.max, "h1"), (F.min, "i0"), (F.max, "i1"))]).collect()
+    n, size, bounds = [0] * (len(ph) + 1), [0] * (len(ph) + 1), [None] * (len(ph) + 1)
     for r in got:
-        rows[r.at], size[r.at] = r.n, r["size"]
-    return list(zip(np.cumsum(rows)[:-1].tolist(), np.cumsum(size)[:-1].tolist()))
+        n[r["at"]], size[r["at"]] = r["n"], r["size"]
+        bounds[r["at"]] = (_as_int(r["h0"], r["i0"]), _as_int(r["h0"], r["i1"]) + 1) if r["h0"] == r["h1"] else (_as_int(r["h0"], _LOW), _as_int(r["h1"], _HIGH) + 1)
+    return n, size, bounds
 
 
 def find_cuts(keys: DataFrame, targets: list[float], tolerances: list[float], cfg: ShardConfig) -> list[tuple[int, int, int]]:
-    """For each target, a key with about so many bytes below it, and its exact (rows, bytes) below."""
+    """For each ascending target, a key with about so many bytes below it, and its exact (key, rows, bytes) below."""
     rows, size = keys.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     span = [[(0, 0, 0), (1 << 128, rows, size)] for _ in targets]  # (key, rows, bytes) at both ends
     best: list[tuple[int, int, int] | None] = [None] * len(targets)
     for _ in range(cfg.max_rounds):
-        wanted: dict[int, list[int]] = {}
+        wanted: set[int] = set()
         for t, (low, high) in enumerate(span):
-            if best[t] is None:
-                gap = high[0] - low[0]
-                # hashes are spread evenly, so whole hashes are probed until one hash is left; then its ids
-                unit = 1 << 64 if gap > 1 << 64 else 1
-                base = -(-low[0] // unit)
-                for k in {base + (gap // unit) * i // (cfg.probes + 1) for i in range(0, cfg.probes + 2)}:
-                    if low[0] < k * unit < high[0]:
-                        wanted.setdefault(k * unit, []).append(t)
+            if best[t] is not None:
+                continue
+            gap = high[0] - low[0]
+            # hashes are spread evenly, so whole hashes are probed until one hash is left; then its ids
+            unit = 1 << 64 if gap > 1 << 64 else 1
+            guess = low[0] + int(gap * min(1.0, max(0.0, (targets[t] - low[2]) / max(1, high[2] - low[2]))))
+            # around the place where even sizes would put the cut, and evenly in case they are uneven
+            for key in (guess, *(guess + side * gap // part for part in cfg.steps for side in (-1, 1)), *(low[0] + gap * i // cfg.even for i in range(1, cfg.even))):
+                k = -(-key // unit) * unit
+                if low[0] < k < high[0]:
+                    wanted.add(k)
         if not wanted:
             break
         probes = sorted(wanted)
-        counted = {p: (p, n, b) for p, (n, b) in zip(probes, _count(keys, probes))}
-        for p in probes:
-            for t in wanted[p]:
-                end = 0 if counted[p][2] <= targets[t] else 1
-                held = span[t][end]
-                if (end == 0 and p > held[0]) or (end == 1 and p < held[0]):
-                    span[t][end] = counted[p]
+        n, b, bounds = _count(keys, probes)
+        below = [(0, 0)]
+        for x, y in zip(n, b):
+            below.append((below[-1][0] + x, below[-1][1] + y))
+        sums = [y for _, y in below[1:-1]]  # bytes below each probe
         for t, (low, high) in enumerate(span):
+            if best[t] is not None:
+                continue
+            c = bisect.bisect_right(sums, targets[t])  # the cell that holds the cut
+            if c > 0:
+                low = max(low, (probes[c - 1], *below[c]))
+            if c < len(probes):
+                high = min(high, (probes[c], *below[c + 1]))
+            if bounds[c] is not None:  # no rows stand between the cell's ends and its keys' bounds
+                low, high = (max(low[0], bounds[c][0]), *low[1:]), (min(high[0], bounds[c][1]), *high[1:])
+            span[t] = [low, high]
             near = min((low, high), key=lambda x: abs(x[2] - targets[t]))
-            if best[t] is None and (abs(near[2] - targets[t]) <= tolerances[t] or high[1] - low[1] <= 1 or high[0] - low[0] <= 1):
+            if abs(near[2] - targets[t]) <= tolerances[t] or high[1] - low[1] <= 1 or high[0] - low[0] <= 1:
                 best[t] = near
     return [b or min(s, key=lambda x: abs(x[2] - targets[t])) for t, (b, s) in enumerate(zip(best, span))]
 

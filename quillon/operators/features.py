@@ -99,6 +99,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def embedding_features(p: DataFrame) -> DataFrame:
+    """e_name_cos and e_addr_cos of both sides' unit vectors ``name_vec`` and ``addr_vec``; null where one is missing."""
+    return p.select(*KEYS, cosine(F.col("name_vec_1"), F.col("name_vec_2")).alias("e_name_cos"), cosine(F.col("addr_vec_1"), F.col("addr_vec_2")).alias("e_addr_cos"))
+
+
 def idf_lookup(df: DataFrame, key: list[str], token_array: str, scope: list[str], idf: DataFrame, name: str) -> DataFrame:
     """Adds a map from each of the row's tokens to its idf, so that overlaps need no join a pair."""
     known = df.select(*key, *scope, F.explode(token_array).alias("t")).join(idf, [*scope, "t"])

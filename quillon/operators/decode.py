@@ -32,14 +32,6 @@ def expected_f(ctp: Column, psum: Column, miss: Column, k: Column) -> Column:
     return 1.25 * ctp / (0.25 * (psum + miss) + k)
 
 
-def choose(ranked: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """For each entity the prefix (k, cy) with the largest expected F0.5, the shortest of equals; needs t_single, t_match, miss_mass columns."""
-    fit = ranked.where((F.col("pmax") >= F.col("t_single")) & (F.col("p") >= F.col("t_match")))
-    f = expected_f(F.col("ctp"), F.col("psum"), F.col("miss_mass"), F.col("k"))
-    best = F.max_by(F.struct("k", *(["cy"] if "cy" in ranked.columns else []), f.alias("fexp")), F.struct(f, -F.col("k")))
-    return fit.groupBy(*by, "e").agg(best.alias("b")).select(*by, "e", "b.*")
-
-
 def with_thresholds(pairs: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Adds t_single, t_match, miss_mass of the pair's country, or of the row whose country is ``_default``."""
     names = ("t_single", "t_match", "miss_mass")
@@ -56,9 +48,11 @@ def decode(pairs: DataFrame, t_single: float = 0.5, t_match: float = 0.3, miss_m
         owned = with_thresholds(owned, thresholds)
     else:
         owned = owned.withColumns({"t_single": F.lit(t_single), "t_match": F.lit(t_match), "miss_mass": F.lit(miss_mass)})
-    ranked = prefixes(owned)
-    chosen = choose(ranked).select("e", F.col("k").alias("__k"))
-    return ranked.join(chosen, "e").where(F.col("k") <= F.col("__k")).select("e", "src", "r", "p", "k")
+    # a window like those before it: one exchange by entity serves ranks, sums and the choice
+    f = expected_f(F.col("ctp"), F.col("psum"), F.col("miss_mass"), F.col("k"))
+    fit = (F.col("pmax") >= F.col("t_single")) & (F.col("p") >= F.col("t_match"))
+    best = F.max_by("k", F.when(fit, F.struct(f, -F.col("k")))).over(W.partitionBy("e"))
+    return prefixes(owned).withColumn("__k", best).where(F.col("k") <= F.col("__k")).select("e", "src", "r", "p", "k")
 
 
 def f05(tp: Column, k: Column, n: Column) -> Column:

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quillon.llm import kernels as K
 
 _SPACE = float(1 << 48)
+#: Stands for a null id in comparisons: such rows come first.
+_NO_ID = -(1 << 63)
 
 
 @dataclass(frozen=True)
@@ -106,7 +108,7 @@ def edit_study(df: DataFrame, cfg: SketchConfig = SketchConfig(), ranges: int |
     many (or all) of the next document by ascending id; the first follows the
     last.  Texts are dealt once, by ranges of ids; the first row of each range is
     also sent to the range before it, so no task needs another's rows.  The
-    driver holds one id for each range.
+    driver holds two ids for each range.
 
     Null ids come first; rows of equal ids are ordered by the hash of their text.
     A null text is empty.  A single row is its own next.  No rows give no rows.
@@ -115,20 +117,36 @@ def edit_study(df: DataFrame, cfg: SketchConfig = SketchConfig(), ranges: int |
     K.small_batches(spark)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     n = ranges or max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted({v for v in rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n)})
-    place = F.lit(0)
-    if cuts:
-        edges = F.array(*[F.lit(int(v)) for v in cuts])
-        place = F.coalesce(F.aggregate(edges, F.lit(0), lambda a, e: a + F.when(F.col("doc_id") >= e, 1).otherwise(0)), F.lit(0))
-    least = rows.select(place.alias("part"), "doc_id").groupBy("part").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("first")).collect()
-    least = sorted((r.part, r.first) for r in least)
-    before = {first: least[i - 1][0] for i, (_, first) in enumerate(least)}
-    heads = F.lit(None).cast("int")
-    if before:
-        heads = F.try_element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.coalesce("doc_id", F.lit(-(2**63))))
-    targets = F.array_compact(F.array(F.struct(place.alias("part"), F.lit(0).alias("after")), F.when(heads.isNotNull(), F.struct(heads.alias("part"), F.lit(1).alias("after")))))
-    dealt = rows.select("doc_id", "text", F.explode(targets).alias("to")).select("to.part", "to.after", "doc_id", "text", F.xxhash64("text").alias("h"))
-    dealt = dealt.repartition(n, "part").sortWithinPartitions("part", "after", F.asc_nulls_first("doc_id"), "h").select("part", "after", "doc_id", "text")
+    cuts = np.array(sorted({int(v) for v in rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n)}), np.int64)
+    whole_ids = lambda column: column.fill_null(_NO_ID).to_numpy()
+
+    def heads(batches):
+        """The least id of each range in a task."""
+        least = np.full(len(cuts) + 1, np.iinfo(np.int64).max)
+        for batch in batches:
+            ids = whole_ids(batch.column(0))
+            np.minimum.at(least, np.searchsorted(cuts, ids, "right"), ids)
+        at = np.flatnonzero(least < np.iinfo(np.int64).max)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(least[at])], ["part", "id"])
+
+    found = rows.select("doc_id").mapInArrow(heads, "part long, id long").groupBy("part").agg(F.min("id").alias("id")).orderBy("part").collect()
+    first = np.array([r.id for r in found], np.int64)  # ascending, as the ranges are
+    before = np.array([found[i - 1].part for i in range(len(found))], np.int64)
+
+    def deal(batches):
+        """Each row to its range, and the first of a range also to the end of the range before."""
+        for whole in batches:
+            for batch in K.chunks(whole):
+                ids = whole_ids(batch.column(0))
+                at = np.minimum(np.searchsorted(first, ids), max(len(first) - 1, 0))
+                again = np.flatnonzero(first[at] == ids)
+                rows_ = np.concatenate([np.arange(len(ids)), again])
+                part = np.concatenate([np.searchsorted(cuts, ids, "right"), before[at[again]]])
+                after = np.repeat([0, 1], [len(ids), len(again)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(after), batch.column(0).take(rows_), batch.column(1).take(rows_)], ["part", "after", "doc_id", "text"])
+
+    dealt = rows.mapInArrow(deal, "part long, after int, doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    dealt = dealt.repartitionById(n, F.col("part").cast("int")).sortWithinPartitions("part", "after", F.asc_nulls_first("doc_id"), "h").select("part", "after", "doc_id", "text")
     schema = K.arrow_schema(EDITED)
 
     def study(ids: list, texts: list[str], following: list[str]) -> pa.RecordBatch:

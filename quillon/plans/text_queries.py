@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.functions import normalize as N
+from quillon.functions import normalize as N, rules
 from quillon.functions.fuzzy import scorer
 from quillon.operators import dictionary, vectors
 from quillon.plans.registry import query, table
@@ -44,7 +44,34 @@ def fold_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.regexp_extract_all(s, F.lit("[a-z]+"), F.lit(0)), " ").alias("folded"))
 
 
-@query()
+def _list(items) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in items) + "]"
+
+
+def _lookup(table, token: str) -> str:
+    """SQL for a token's entry in a fixed table, NULL without one."""
+    return f"({_list(table.values())})[nullif(list_position({_list(table)}, {token}), 0)]"
+
+
+def _replaced(sql: str, pattern: str, by: str) -> str:
+    return f"regexp_replace({sql}, '{pattern}', '{by}', 'g')"
+
+
+_WEB = r"\bwww\.|\.(?:" + "|".join(rules.WEB_TLDS) + r")\b"
+_GLUED = _replaced(_replaced("s", _WEB, " "), r"\bm\s*/\s*s\b", " ")
+for _pattern, _form in rules.LEGAL_PATTERNS:
+    _GLUED = _replaced(_GLUED, _pattern, _form)
+_LEET = "^(?:[013458][a-z]{2,}|[a-z]{2,}[013458]|[a-z]+[013458][a-z]+)$"
+_NAME_SQL = rf"""WITH a AS (SELECT doc_id, {_replaced(_replaced("strip_accents(lower(split_part(text, chr(10), 1)))", r"\|.*$", " "), r"\[[^\]]*\]|\(\s*id\s*:?\s*\d+\s*\)", " ")} AS s FROM documents),
+b AS (SELECT doc_id, CAST(regexp_matches(s, '{_WEB}') AS TINYINT) AS web, string_split({_replaced(f"replace({_GLUED}, '&', ' and ')", "[^a-z0-9]+", " ")}, ' ') AS w FROM a),
+c AS (SELECT doc_id, web, list_transform(list_filter(w, lambda t: t <> '' AND NOT regexp_matches(t, '^[0-9]{{4,}}$')), lambda t: CASE WHEN regexp_matches(t, '{_LEET}') AND NOT regexp_matches(t, '^[0-9]+(?:st|nd|rd|th)$') THEN translate(t, '{rules.LEET[0]}', '{rules.LEET[1]}') ELSE t END) AS w FROM b),
+d AS (SELECT doc_id, web, list_filter(w, lambda t, i: i = 1 OR t <> w[i - 1]) AS t FROM c),
+e AS (SELECT *, list_filter(t, lambda x: NOT list_contains({_list(rules.NAME_NOISE)}, x)) AS quiet FROM d), f AS (SELECT *, list_filter(quiet, lambda x: NOT list_contains({_list(rules.LEGAL)}, x)) AS named FROM e),
+g AS (SELECT *, CASE WHEN len(named) > 0 THEN named WHEN len(quiet) > 0 THEN quiet ELSE t END AS c FROM f)
+SELECT doc_id, array_to_string(t, ' ') AS nm, array_to_string(c, ' ') AS core, array_to_string(list_sort(list_distinct(list_filter(list_transform(t, lambda x: {_lookup(rules.LEGAL, "x")}), lambda x: x IS NOT NULL))), ' ') AS legal, array_to_string(c, '') AS cc, CAST(0 AS TINYINT) AS script, web FROM g"""
+
+
+@query(_NAME_SQL)
 def normalize_names(spark, sf_dir):
     """Names from each document's first line."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("raw"))
@@ -56,7 +83,21 @@ def web_names(spark, sf_dir):
     return N.with_name(table(spark, sf_dir, "pages").select("page_id", "url"), "url").select("page_id", "web")
 
 
-@query()
+_PLAIN_STATES = {k: v for k, v in rules.STATES.items() if " " not in k}
+_ADDRESS = _replaced(r"strip_accents(lower(regexp_replace(text, '^[^\n]*\n?', '')))", r"\bn\s*[°º]", " ")
+for _phrase in sorted((k for k in rules.STATES if " " in k), key=len, reverse=True):
+    _ADDRESS = _replaced(_ADDRESS, rf"\b{_phrase}\b", rules.STATES[_phrase])
+_SHORT = f"coalesce({_lookup(rules.ADDR_ABBR, 't')}, t)"
+_ADDRESS_SQL = rf"""WITH a AS (SELECT doc_id, regexp_extract_all({_ADDRESS}, '[a-z0-9]+(?:[/-][a-z0-9]+)*') AS w FROM documents),
+b AS (SELECT doc_id, list_transform(w, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN t ELSE {_SHORT} END) AS w FROM a),
+c AS (SELECT doc_id, list_transform(w, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN t ELSE coalesce({_lookup(_PLAIN_STATES, "t")}, t) END) AS w FROM b),
+d AS (SELECT doc_id, list_filter(w, lambda t: regexp_matches(t, '[0-9]') OR NOT list_contains({_list(rules.ADDR_DROP)}, t)) AS w FROM c),
+e AS (SELECT doc_id, w, list_transform(list_filter(w, lambda t: regexp_matches(t, '[0-9]')), lambda t: list_transform(regexp_extract_all(t, '[0-9]+'), lambda x: CASE WHEN length(x) < 18 THEN regexp_replace(x, '^0+([0-9])', '\1') ELSE x END)) AS n FROM d),
+f AS (SELECT *, coalesce(n[1], []) AS h, list_transform(coalesce(n[1], []), lambda x: length(x)) AS z FROM e)
+SELECT doc_id, array_to_string(list_filter(w, lambda t: NOT regexp_matches(t, '[0-9]')), ' ') AS ad, array_to_string(w, ' ') AS adf, array_to_string(flatten(n), ' ') AS nums, array_to_string(h, '-') AS hn, coalesce(h[list_position(z, list_max(z))], '') AS hmain FROM f"""
+
+
+@query(_ADDRESS_SQL)
 def normalize_addresses(spark, sf_dir):
     """Addresses from all lines of a document but the first."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"^[^\n]*\n?", "").alias("raw"))
@@ -75,7 +116,15 @@ def brand_numbers(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", N.number(F.regexp_extract(F.lower("p_brand"), "[0-9]+", 0)).alias("num"))
 
 
-@query()
+_HEAD = r"(?:" + "|".join(rules.UNIT_WORDS) + r")\b\.?\s*(?:no\b\.?)?\s*[:#.\-]?\s*"
+_SUFFIX = r"(\d+)(?:([a-z])\b)?(?:\s+(bis|ter|quater|[a-d])\b)?"
+_UNIT_SQL = rf"""WITH a AS (SELECT doc_id, strip_accents(lower(text)) AS s FROM documents),
+b AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(s, '{_HEAD}[a-z]{{0,2}}-?\d+[a-z]?\b|\b[a-z]{{1,2}}-\d+\b'), lambda u: regexp_replace(replace(regexp_replace(u, '^{_HEAD}', ''), '-', ''), '^([a-z]*)0+([0-9])', '\1\2'))) AS u,
+ coalesce(nullif(regexp_extract(s, '{_SUFFIX}', 2), ''), nullif(regexp_extract(s, '{_SUFFIX}', 3), '')) AS f FROM a)
+SELECT doc_id, array_to_string(list_sort(u), ' ') AS units, coalesce({_lookup(rules.SUFFIXES, "f")}, f, '') AS hsuf FROM b"""
+
+
+@query(_UNIT_SQL)
 def unit_suffix_flags(spark, sf_dir):
     docs = N.with_units(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     return docs.select("doc_id", F.array_join(F.array_sort("units"), " ").alias("units"), "hsuf")

@@ -186,4 +186,4 @@ def shard(df: DataFrame, cfg: ShardConfig = ShardConfig(), doc_id: str = "doc_id
             )
 
     dealt = keys.mapInArrow(deal, "h long, doc_id long, size long, text_crc32 long, none boolean, part int")
-    return dealt.repartition(parts, "part").sortWithinPartitions("part", "h", "doc_id").mapInArrow(number, SHARDED)
+    return dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "h", "doc_id").mapInArrow(number, SHARDED)

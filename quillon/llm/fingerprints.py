@@ -87,7 +87,11 @@ def containment(x: np.ndarray, y: np.ndarray, k: int = 128) -> float:
 
 
 def fingerprint(df: DataFrame, cfg: SketchConfig = SketchConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, fingerprint)`` of every row; n_shingles is the sketch's estimate."""
+    """``(doc_id, n_shingles, fingerprint)`` of every row; n_shingles is the sketch's estimate.
+
+    A null text counts as empty: 0 and "".  Repeated rows and null ids come back one
+    by one; no rows give no rows; other columns are not read.
+    """
     ddl = "doc_id long, n_shingles double, fingerprint string"
     schema = K.arrow_schema(ddl)
 

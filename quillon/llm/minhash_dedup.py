@@ -26,9 +26,10 @@ Steps, each a distributed job over all rows:
 
 Defined results: a null or empty text, or one without words, has no shingles, is
 linked with nothing and is its own component.  Rows that repeat a ``doc_id`` are
-each classed by their own text.  A null ``doc_id`` never names a component
-unless the class has no other id; its ``kept`` is false.  Other columns are not
-read.  An empty table gives no rows.
+each classed by their own text; where the texts differ and the id is the least of
+several classes, near links of that id are looked for through one of them.  A row
+with a null ``doc_id`` takes its class's component, or null, and is not kept.
+Other columns are not read.  An empty table gives no rows.
 """
 
 from __future__ import annotations

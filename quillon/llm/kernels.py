@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one pass of array operations works on; a longer single text is worked on alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 #: Rows of one Arrow batch between the JVM and Python, so that a batch of long texts stays small.
 BATCH_ROWS = 1024
 
@@ -53,7 +53,7 @@ def powers(n: int, sign: int) -> np.ndarray:
     """The first n powers of the base, or of its inverse."""
     have = _powers[sign]
     if len(have) < n:
-        step = np.full(max(n, 2 * len(have), CHUNK_BYTES), _BASE if sign > 0 else _INVERSE, np.uint64)
+        step = np.full(n + n // 8 if n > CHUNK_BYTES + 16 else CHUNK_BYTES + 16, _BASE if sign > 0 else _INVERSE, np.uint64)
         step[0] = 1
         have = _powers[sign] = np.cumprod(step)
     return have[:n]

@@ -133,7 +133,7 @@ def edit_study(df: DataFrame, cfg: SketchConfig = SketchConfig(), ranges: int |
         at = np.flatnonzero(least < np.iinfo(np.int64).max)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(least[at])], ["part", "id"])
 
-    found = rows.select("doc_id").mapInArrow(heads, "part long, id long").groupBy("part").agg(F.min("id").alias("id")).orderBy("part").collect()
+    found = rows.select("doc_id").mapInArrow(K.tidy(heads), "part long, id long").groupBy("part").agg(F.min("id").alias("id")).orderBy("part").collect()
     first = np.array([r.id for r in found], np.int64)  # ascending, as the ranges are
     before = np.array([found[i - 1].part for i in range(len(found))], np.int64)
 
@@ -149,7 +149,7 @@ def edit_study(df: DataFrame, cfg: SketchConfig = SketchConfig(), ranges: int |
                 after = np.repeat([0, 1], [len(ids), len(again)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(after), batch.column(0).take(rows_), batch.column(1).take(rows_)], ["part", "after", "doc_id", "text"])
 
-    dealt = rows.mapInArrow(deal, "part long, after int, doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    dealt = rows.mapInArrow(K.tidy(deal), "part long, after int, doc_id long, text string").withColumn("h", F.xxhash64("text"))
     dealt = dealt.repartitionById(n, F.col("part").cast("int")).sortWithinPartitions("part", "after", F.asc_nulls_first("doc_id"), "h").select("part", "after", "doc_id", "text")
     schema = K.arrow_schema(EDITED)
 
@@ -189,4 +189,4 @@ def edit_study(df: DataFrame, cfg: SketchConfig = SketchConfig(), ranges: int |
         if ids:
             yield study(ids, texts, following)
 
-    return dealt.mapInArrow(run, EDITED)
+    return dealt.mapInArrow(K.tidy(run), EDITED)

@@ -9,6 +9,7 @@ a chance of about 2**-64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -177,7 +178,22 @@ def map_text(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | No
                 if made is not None and made.num_rows:
                     yield made
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
+
+
+def tidy(run):
+    """The Arrow function, after which the worker gives unused memory back: workers idle beside the JVM until they are used again."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; other libraries have none
+            if trim is not None:
+                trim(0)
+
+    return wrapped
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -92,7 +92,7 @@ def document_frequencies(texts: DataFrame, index: Index) -> tuple[np.ndarray, in
                 n += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(df))), pa.array(np.concatenate([[n], df]))], ["word", "n"])
 
-    got = texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    got = texts.mapInArrow(K.tidy(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(len(vocabulary) + 1, np.int64)
     for r in got:
         out[r.word + 1] = r.n

@@ -156,7 +156,7 @@ def _near(pairs: DataFrame, signed: DataFrame, cfg: DedupConfig) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(got >= least))
 
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return sized.select("a", "b", "n_a", "bins_a", "map_a", "n_b", "bins_b", "map_b").mapInArrow(run, "a long, b long")
+    return sized.select("a", "b", "n_a", "bins_a", "map_a", "n_b", "bins_b", "map_b").mapInArrow(K.tidy(run), "a long, b long")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, cfg: DedupConfig) -> DataFrame:
@@ -191,7 +191,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, cfg: DedupConfig) -> DataFrame:
                     x = np.array(got, np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
 
-    return rows.select("a", "salt", "role", "doc_id", "text").mapInArrow(run, "a long, b long")
+    return rows.select("a", "salt", "role", "doc_id", "text").mapInArrow(K.tidy(run), "a long, b long")
 
 
 def _blocks(members: DataFrame, part: str, least: int, cfg: DedupConfig) -> DataFrame:
@@ -241,7 +241,7 @@ def _by_unit(dealt: DataFrame, within) -> DataFrame:
         if held and (found := within(_joined(held))):
             yield pairs(found)
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(K.tidy(run), "a long, b long")
 
 
 def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:

@@ -88,7 +88,7 @@ def fit(documents: DataFrame, labels: DataFrame, cfg: ResampleConfig = ResampleC
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[0][at]), pa.array(sums[1][at])], ["bucket", "raw", "target"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = rows.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    got = rows.mapInArrow(K.tidy(count), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(cfg.buckets), np.zeros(cfg.buckets)
     at = got.column("bucket").to_numpy()
     raw[at], target[at] = got.column("raw").to_numpy(), got.column("target").to_numpy()

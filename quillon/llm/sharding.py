@@ -78,7 +78,7 @@ def _count(keys: DataFrame, probes: list[int]) -> tuple[list[int], list[int], li
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, n[at], size[at], low[0][at], high[0][at], low[1][at], high[1][at])], ["at", "n", "size", "h0", "h1", "i0", "i1"])
 
-    cells = keys.select("h", "doc_id", "size").mapInArrow(run, "at long, n long, size long, h0 long, h1 long, i0 long, i1 long")
+    cells = keys.select("h", "doc_id", "size").mapInArrow(K.tidy(run), "at long, n long, size long, h0 long, h1 long, i0 long, i1 long")
     got = cells.groupBy("at").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), *[f(c).alias(c) for f, c in ((F.min, "h0"), (F.max, "h1"), (F.min, "i0"), (F.max, "i1"))]).collect()
     n, size, bounds = [0] * (len(ph) + 1), [0] * (len(ph) + 1), [None] * (len(ph) + 1)
     for r in got:
@@ -185,5 +185,5 @@ def shard(df: DataFrame, cfg: ShardConfig = ShardConfig(), doc_id: str = "doc_id
                 [ids, b.column(2), b.column(3), pa.array(["bytes"] * size), pa.array((part // per).astype(np.int32)), pa.array(place[part] + run), pa.nulls(size, pa.int32())], schema=schema
             )
 
-    dealt = keys.mapInArrow(deal, "h long, doc_id long, size long, text_crc32 long, none boolean, part int")
-    return dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "h", "doc_id").mapInArrow(number, SHARDED)
+    dealt = keys.mapInArrow(K.tidy(deal), "h long, doc_id long, size long, text_crc32 long, none boolean, part int")
+    return dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "h", "doc_id").mapInArrow(K.tidy(number), SHARDED)

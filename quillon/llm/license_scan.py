@@ -1,12 +1,14 @@
 """License scan: a positional index of rare licence words, with key phrases to verify.
 
 Templates are short licence passages.  Their words have inverse document
-frequencies taken over the whole corpus.  For a file, the highest-IDF template
-words it holds are looked up; every posting of such a word in a template gives a
-relative position (place in the file less place in the template), and where
-enough rare words of one template agree on a position, the passage is taken to
-stand there.  It counts once its mandatory phrases are found at the same
-alignment.  Base phrases are found by their own words standing consecutively.
+frequencies taken over the whole corpus.  For every template that can stand in a
+file, by the words the file holds, its highest-IDF words are looked up; every
+posting of such a word in the template gives a relative position (place in the file
+less place in the template), and where enough of them agree on a position, the
+passage is taken to stand there.  So many words are looked up that no passage with
+its share of words in place can miss that.  It counts once its mandatory phrases are
+found at the same alignment.  Base phrases are found by their own words standing
+consecutively.
 
 Words: A-Z lowered, then maximal runs of ASCII letters, digits and anything
 beyond ASCII.
@@ -14,6 +16,7 @@ beyond ASCII.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,12 +53,15 @@ TEMPLATES = (
 
 @dataclass(frozen=True)
 class LicenseConfig:
-    """rare: highest-IDF template words of a file that are looked up; share: least share of a template's words at an alignment."""
+    """agree: looked-up words that must agree on an alignment; share: least share of a template's words at it."""
 
-    rare: int = 24
     agree: int = 2
     share: float = 0.6
 
+    def rare(self, length: int) -> int:
+        """Words of a template to look up: all but these may be out of place, and ``agree`` of these are then in place."""
+        return length - math.ceil(self.share * length - 1e-9) + self.agree
+
 
 def word_hash(*words: str) -> np.ndarray:
     """Hashes of single words as the corpus's words are hashed."""
@@ -73,6 +79,9 @@ class Index:
         for t, (_, ws, _) in enumerate(self.templates):
             for q, w in enumerate(ws):
                 self.postings.setdefault(w, []).append((t, q))
+        #: Vocabulary numbers of every template's words, and of those in its mandatory phrases.
+        self.numbers = [np.searchsorted(self.vocabulary, np.array(ws, np.uint64)) for _, ws, _ in self.templates]
+        self.needed = [np.searchsorted(self.vocabulary, np.unique(np.array([w for p in phrases for w in p], np.uint64))) for _, _, phrases in self.templates]
         #: For every template, the places of each mandatory phrase in it.
         self.keys = [[next(q for q in range(len(ws)) if ws[q : q + len(p)] == p) for p in phrases] for _, ws, phrases in self.templates]
 
@@ -161,24 +170,30 @@ def scan(df: DataFrame, cfg: LicenseConfig = LicenseConfig(), doc_id: str = "doc
 
 def _aligned(h: np.ndarray, at: np.ndarray, number: np.ndarray, idf: np.ndarray, index: Index, cfg: LicenseConfig) -> dict[int, float]:
     """Templates that stand in one file, with the share of their words found."""
-    own = np.unique(number)
-    rare = own[np.argsort(-idf[own], kind="stable")][: cfg.rare]
-    # a word that most files hold tells nothing of where a passage stands
-    rare = rare[idf[rare] > np.log(2)]
-    votes: dict[tuple[int, int], set[int]] = {}
-    for place, w in zip(at.tolist(), number.tolist()):
-        if w in rare:
-            for t, q in index.postings[int(index.vocabulary[w])]:
-                votes.setdefault((t, place - q), set()).add(q)
+    held = np.zeros(len(index.vocabulary), bool)
+    held[number] = True
     out: dict[int, float] = {}
-    for (t, base), qs in votes.items():
-        if len(qs) < cfg.agree:
+    for t, (_, ws, phrases) in enumerate(index.templates):
+        own = index.numbers[t]
+        if not held[index.needed[t]].all() or held[own].sum() / len(ws) < cfg.share:
             continue
-        _, ws, phrases = index.templates[t]
-        lo, hi = max(0, base), min(len(h), base + len(ws))
-        share = float((h[lo:hi] == np.array(ws[lo - base : hi - base], np.uint64)).sum()) / len(ws)
-        if share < cfg.share or share <= out.get(t, 0):
+        rare = np.unique(own[held[own]])
+        rare = rare[np.argsort(-idf[rare], kind="stable")][: cfg.rare(len(ws))]
+        # a word that most files hold tells nothing of where a passage stands
+        rare = rare[idf[rare] > np.log(2)]
+        # a word stands at one place once, so an alignment's votes are of different words
+        votes = [at[number == w] - q for w in rare for t_, q in index.postings[int(index.vocabulary[w])] if t_ == t]
+        if not votes:
             continue
-        if all(base + q >= 0 and h[base + q : base + q + len(p)].tolist() == p for p, q in zip(phrases, index.keys[t])):
-            out[t] = share
+        base, n = np.unique(np.concatenate(votes), return_counts=True)
+        base = base[n >= cfg.agree]
+        for p, q in zip(phrases, index.keys[t]):
+            base = base[(base + q >= 0) & (base + q + len(p) <= len(h))]
+            for i, w in enumerate(p):
+                base = base[h[base + q + i] == np.uint64(w)]
+        for b in base.tolist():
+            lo, hi = max(0, b), min(len(h), b + len(ws))
+            share = float((h[lo:hi] == np.array(ws[lo - b : hi - b], np.uint64)).sum()) / len(ws)
+            if share >= cfg.share and share > out.get(t, 0):
+                out[t] = share
     return out

@@ -265,6 +265,17 @@ def test_license_base_and_templates(spark, docs, plain):
     assert by[98].labels == by[99].labels == "" and by[99].score == 0.0
 
 
+def test_license_bundles_hold_all_their_labels(spark):
+    every = [text for _, text, _ in license_scan.TEMPLATES]
+    bundles = [every, every[::-1], *(every[k:] + every[:k] for k in (5, 9)), every[2::3]]
+    rows = [(k, " unrelated words between ".join(b)) for k, b in enumerate(bundles)] + [(1000 + i, f"filler number {i} talks of other things") for i in range(60)]
+    by = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    label = {text: label for label, text, _ in license_scan.TEMPLATES}
+    for k, b in enumerate(bundles):
+        assert by[k].labels.split(",") == sorted({label[x] for x in b}) and by[k].score == 1.0
+    assert all(r.labels == "" for i, r in by.items() if i >= 1000)
+
+
 # 7
 @pytest.mark.parametrize("shards,per", [(24, 200_000), (3, 10), (1, 5)])
 def test_shards(docs, plain, shards, per):

@@ -179,12 +179,8 @@ def _aligned(h: np.ndarray, at: np.ndarray, number: np.ndarray, idf: np.ndarray,
             continue
         rare = np.unique(own[held[own]])
         rare = rare[np.argsort(-idf[rare], kind="stable")][: cfg.rare(len(ws))]
-        # a word that most files hold tells nothing of where a passage stands
-        rare = rare[idf[rare] > np.log(2)]
         # a word stands at one place once, so an alignment's votes are of different words
         votes = [at[number == w] - q for w in rare for t_, q in index.postings[int(index.vocabulary[w])] if t_ == t]
-        if not votes:
-            continue
         base, n = np.unique(np.concatenate(votes), return_counts=True)
         base = base[n >= cfg.agree]
         for p, q in zip(phrases, index.keys[t]):

@@ -276,6 +276,14 @@ def test_license_bundles_hold_all_their_labels(spark):
     assert all(r.labels == "" for i, r in by.items() if i >= 1000)
 
 
+@pytest.mark.parametrize("copies", [1, 2, 40])
+def test_license_in_every_row(spark, copies):
+    text = next(text for label, text, _ in license_scan.TEMPLATES if label == "bsd")
+    rows = [(i, f"file {i} begins. {text} then code") for i in range(copies)]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == copies and all(r.labels == "bsd" and r.score == 1.0 for r in got)
+
+
 # 7
 @pytest.mark.parametrize("shards,per", [(24, 200_000), (3, 10), (1, 5)])
 def test_shards(docs, plain, shards, per):

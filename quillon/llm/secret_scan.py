@@ -52,8 +52,8 @@ ADDED = (
     Rule("url_login", r"\b[a-z][a-z0-9+.-]*://[^\s/:@]{1,64}:[^\s/:@]{1,64}@", (b"://",)),
 )
 RULES = BASE + ADDED
-#: Changes whenever a rule does, so that older ledger rows are not taken for the present rules.
-VERSION = hashlib.sha256(repr(RULES).encode()).hexdigest()[:16]
+#: Changes whenever a rule or the look (2: hex runs end with their text) does, so that older ledger rows are not taken for the present rules.
+VERSION = hashlib.sha256(repr((RULES, 2)).encode()).hexdigest()[:16]
 _COMPILED = [(r, re.compile(r.pattern, r.flags)) for r in RULES]
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
@@ -85,12 +85,8 @@ def _suspects(raw: np.ndarray, offs: np.ndarray) -> dict[int, list]:
                     at = low.find(hint, int(offs[d + 1]))
             texts = set(places)
         else:
-            flag = np.zeros(len(raw) + 2, np.int8)
-            flag[1:-1] = _HEX[raw]
-            step = np.diff(flag)
-            begins, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-            long = ends - begins >= rule.least  # a run over a text's end is only looked at in vain
-            texts = set((np.searchsorted(offs, begins[long], "right") - 1).tolist()) | set((np.searchsorted(offs, ends[long] - 1, "right") - 1).tolist())
+            runs = K.Words(raw, offs, _HEX)  # no run goes over a text's end
+            texts = set(runs.documents()[runs.ends - runs.starts >= rule.least].tolist())
         for d in texts:
             out.setdefault(d, []).append((rule, pattern))
     return out

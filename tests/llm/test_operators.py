@@ -326,6 +326,15 @@ def test_rules_match_where_the_look_says():
     assert [bool(secret_scan.spans(t)) for t in texts] == [True] * 6 + [False, False, True, True]
 
 
+def test_hex_texts_side_by_side(spark):
+    texts = ["ends with beef", "0123456789abcdef" * 2, "face to face", *(f"{i:032x}" for i in range(50)), "cafe", "0" * 23, "", None, "1" * 23, "f" * 24]
+    raw, offs = K.buffers(pa.array(texts))
+    assert {d for d, rules in secret_scan._suspects(raw, offs).items() if any(r.kind == "hex" for r, _ in rules)} == {d for d, t in enumerate(texts) if t and re.search("[0-9a-f]{24}", t)}
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: [(s.kind, s.at, s.until) for s in r.spans] for r in secret_scan.findings_by_path(*secret_scan.update_ledger(rows)).collect()}
+    assert got == {d: [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]{24,}", t or "")] for d, t in enumerate(texts)}
+
+
 def test_ledger_scans_unseen_only(spark, docs):
     paths, ledger = secret_scan.update_ledger(docs)
     first = ledger.count()

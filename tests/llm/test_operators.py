@@ -3,6 +3,7 @@ import hashlib
 import itertools
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -419,3 +420,25 @@ def test_lm_counts_and_learns(spark, sf):
     assert n == docs.agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0]
     mean = lambda rounds: lm_score.score_documents(docs, lm_score.LMConfig(rounds=rounds, mask=2)).agg(F.sum("log_prob") / F.sum("n_tokens")).first()[0]
     assert mean(2) > mean(0) + 0.02
+
+
+@pytest.mark.parametrize("change", [{}, {"rounds": 1}, {"rounds": 3}])
+def test_lm_trains_on_every_word(monkeypatch, change):
+    """Rounds run on one batch in this process; every word is a target, and of as many rounds as any other or one more."""
+    cfg, seen = lm_score.LMConfig(**change), collections.Counter()
+    texts = [" ".join(f"w{j}" for j in range(a, a + 90)) for a in range(0, 720, 90)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    vocabulary = lm_score.Vocabulary(np.concatenate([K.Words(*K.buffers(pa.array([t]))).hashes() for t in texts]), cfg)
+
+    class Rows:
+        sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda v: SimpleNamespace(value=v)))
+
+        def mapInArrow(self, run, schema):
+            list(run(iter([batch])))
+            return SimpleNamespace(repartition=lambda *a: SimpleNamespace(mapInArrow=lambda *a: SimpleNamespace(collect=list)))
+
+    monkeypatch.setattr(lm_score, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(lm_score.Trainer, "step", lambda self, around, ids: seen.update(ids.tolist()))
+    for turn in range(cfg.rounds):
+        lm_score._train_round(Rows(), vocabulary, lm_score.initial(np.ones(cfg.ids), cfg), turn, cfg)
+    assert len(seen) == 720 and max(seen.values()) - min(seen.values()) <= 1

@@ -442,3 +442,32 @@ def test_lm_trains_on_every_word(monkeypatch, change):
     for turn in range(cfg.rounds):
         lm_score._train_round(Rows(), vocabulary, lm_score.initial(np.ones(cfg.ids), cfg), turn, cfg)
     assert len(seen) == 720 and max(seen.values()) - min(seen.values()) <= 1
+
+
+@pytest.mark.parametrize("held", [0, 10, 1 << 16])
+def test_lm_words_have_their_own_share(spark, docs, plain, held):
+    """Against counts taken in Python, wherever a word's count is looked up."""
+    cfg = lm_score.LMConfig(rounds=1, words=20, held=held)
+    vocabulary, p, shares = lm_score.fit_shares(docs, cfg)
+    hashed = lambda t: K.Words(*K.buffers(pa.array([t or ""]))).hashes()
+    n = collections.Counter(int(h) for _, t, _ in plain for h in hashed(t))
+    number = dict(zip(n, vocabulary.ids(np.array(list(n), np.uint64)).tolist()))
+    whole = collections.Counter()
+    for h, c in n.items():
+        whole[number[h]] += c
+    own = lambda h, i: 0.0 if i <= cfg.words else np.log(max(1, n[h]) / (whole[i] + 1))
+    odd = [(900, "the zzqx zzqy of changed7 deadbeef"), (900, "zzqx"), (None, "")]
+    rows = spark.createDataFrame([(i, t) for i, t, _ in plain] + odd, "doc_id long, text string").repartition(3)
+    want = collections.defaultdict(list)
+    for r in lm_score.score(rows.select(F.xxhash64("text", "doc_id").alias("doc_id"), "text"), vocabulary, p).collect():
+        want[r.doc_id].append(r)
+    texts = {r[0]: r[1] for r in rows.select(F.xxhash64("text", "doc_id"), "text").collect()}
+    got = lm_score.score_words(rows.select(F.xxhash64("text", "doc_id").alias("doc_id"), "text"), vocabulary, p, shares).collect()
+    assert len(got) == len(plain) + len(odd)
+    for r in got:
+        h = hashed(texts[r.doc_id])
+        more = sum(own(int(x), i) for x, i in zip(h, vocabulary.ids(h).tolist()))
+        assert r.n_tokens == len(h) and abs(r.log_prob - want[r.doc_id][0].log_prob - more) < 1e-6 * max(1, len(h))
+        assert r.mean_log_prob == (r.log_prob / len(h) if len(h) else None)
+    # a made-up word is less likely than the words it shares an id with
+    assert all(own(0, i) <= own(h, i) for h, i in number.items() if i > cfg.words)

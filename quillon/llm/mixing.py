@@ -163,18 +163,28 @@ def _sized(df: DataFrame, doc_id: str, text: str, source: str, *extra: Column) -
     return df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("src"), F.col(source).isNull().alias("none"), size.alias("size"), *extra)
 
 
+def _draw(df: DataFrame, cfg: MixConfig, doc_id: str, text: str, source: str) -> DataFrame:
+    """The columns of ``plan`` with the whole ``row``, its ``number``, and one row a copy with its ``cut`` text; a row that is not taken has a null copy."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    made = plan(_sized(df, doc_id, text, source, whole), Scratch(df.sparkSession, "mix").keep(_sized(df, doc_id, text, source), "sized"), cfg)
+    copies = F.concat(F.array_repeat(F.col("size"), F.col("passes").cast("int")), F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>")))
+    drawn = made.withColumn("number", F.monotonically_increasing_id()).select("*", F.posexplode_outer(copies).alias("copy", "words"))
+    body = F.col(f"row.`{text}`")
+    cut = F.when(F.col("words") >= F.col("size"), body).otherwise(F.array_join(F.slice(F.regexp_extract_all(body, F.lit(WORD), F.lit(0)), 1, F.col("words").cast("int")), " "))
+    return drawn.withColumn("cut", F.when(F.col("copy").isNotNull(), cut))
+
+
 def mix_report(df: DataFrame, cfg: MixConfig = MixConfig(), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``(doc_id, size, source_size, target, taken, source, shard)`` of every row: the words the mix takes, repeats
-    counted, and the output shard that they go to.
+    counted in the texts that it draws, and the output shard that they go to.
 
     A text's size is its words; null texts and texts without words have 0 and give
     nothing.  A null source is a source of its own, the last.  Rows that repeat an
     id are separate documents that stand together.  No rows give no rows.
     """
-    sized = Scratch(df.sparkSession, "mix").keep(_sized(df, doc_id, text, source), "sized")
-    made = plan(sized, sized, cfg)
-    taken = F.col("passes") * F.col("size") + F.col("part")
-    return made.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.when(~F.col("none"), F.col("src")).alias("source"), "shard")
+    words = F.coalesce(F.sum(F.regexp_count("cut", F.lit(WORD))), F.lit(0)).cast("long")
+    made = _draw(df, cfg, doc_id, text, source).groupBy("number", "doc_id", "size", "source_size", "target", "none", "src", "shard").agg(words.alias("taken"))
+    return made.select("doc_id", "size", "source_size", "target", "taken", F.when(~F.col("none"), F.col("src")).alias("source"), "shard")
 
 
 def mix(df: DataFrame, cfg: MixConfig = MixConfig(), doc_id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str | None = "n_chars") -> DataFrame:
@@ -184,12 +194,7 @@ def mix(df: DataFrame, cfg: MixConfig = MixConfig(), doc_id: str = "doc_id", tex
     named and there) its length.  Rows come out by output shard, in a local shuffle:
     each shard is sorted by a hash of id and copy.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
-    made = plan(_sized(df, doc_id, text, source, whole), Scratch(df.sparkSession, "mix").keep(_sized(df, doc_id, text, source), "sized"), cfg)
-    copies = F.concat(F.array_repeat(F.col("size"), F.col("passes").cast("int")), F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>")))
-    drawn = made.select("row", "size", "shard", F.posexplode(copies).alias("copy", "words"))
-    body = F.col(f"row.`{text}`")
-    cut = F.when(F.col("words") >= F.col("size"), body).otherwise(F.array_join(F.slice(F.regexp_extract_all(body, F.lit(WORD), F.lit(0)), 1, F.col("words").cast("int")), " "))
-    out = drawn.withColumn("cut", cut).sortWithinPartitions("shard", F.xxhash64(F.lit(cfg.seed), F.col(f"row.`{doc_id}`"), "copy"))
+    drawn = _draw(df, cfg, doc_id, text, source).where("copy is not null")
+    out = drawn.sortWithinPartitions("shard", F.xxhash64(F.lit(cfg.seed), F.col(f"row.`{doc_id}`"), "copy"))
     column = lambda c: F.col("cut").alias(c) if c == text else F.char_length("cut").cast(df.schema[c].dataType).alias(c) if c == n_chars else F.col(f"row.`{c}`").alias(c)
     return out.select(*[column(c) for c in df.columns])

@@ -6,7 +6,7 @@ counting (Solomonik and Kale, 2010): a round sends a few probe keys for each
 open cut to all partitions, each counts the exact rows and bytes below every
 probe, and the interval that holds a cut is probed again until the cut's bytes
 are within tolerance.  The counts also give the place of every range in its shard, so after
-one exchange by range each row's slot is known without a further pass.
+one exchange of the whole rows by range each row's slot is known without a further pass.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 @dataclass(frozen=True)
 class ShardConfig:
     """tolerance: of a cut, against a shard's bytes; steps: probes stand off the guessed place by these parts of
-    the interval, and ``even`` parts of it; range_rows: about so many rows are sorted by one task."""
+    the interval, and ``even`` parts of it; range_rows, range_bytes: about so many rows, and bytes of text, at most are sorted by one task."""
 
     shards: int = 24
     tolerance: float = 0.001
@@ -35,6 +35,7 @@ class ShardConfig:
     steps: tuple[int, ...] = (64, 1024)
     even: int = 8
     range_rows: int = 200_000
+    range_bytes: int = 128 << 20
     max_rounds: int = 40
 
 
@@ -134,22 +135,21 @@ def find_cuts(keys: DataFrame, targets: list[float], tolerances: list[float], cf
 SHARDED = "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int"
 
 
-def shard(df: DataFrame, cfg: ShardConfig = ShardConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """SHARDED for every row of ``df``: the law is ``bytes``.
+def shard_rows(df: DataFrame, cfg: ShardConfig = ShardConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row, shard, slot) for every row of ``df``: the whole row as one column, exchanged once, sorted by slot in ranges.
 
-    A row's size is the UTF-8 bytes of its text plus 8; a null text has none and the
-    CRC of no bytes.  A null id orders as the least id and stays null.  Rows equal
-    in id and text stand together, in any order among themselves.  Copies of one
-    text share a shard unless a cut within tolerance must fall among them.  Fewer
-    rows than shards leave shards empty; no rows give no rows.
+    A null id orders as the least id.  Rows equal in id and text stand together, in
+    any order among themselves.  Copies of one text share a shard unless a cut
+    within tolerance must fall among them.  Fewer rows than shards leave shards
+    empty; no rows give no rows.
     """
     scratch = Scratch(df.sparkSession, "shards")
     K.small_batches(df.sparkSession)
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LOW)).alias("doc_id"), F.col(doc_id).isNull().alias("none"), body.alias("text"))
-    keys = scratch.keep(rows.select(F.xxhash64("text").alias("h"), "doc_id", (F.octet_length("text") + 8).cast("long").alias("size"), F.crc32("text").alias("text_crc32"), "none"), "keys")
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    key = [F.xxhash64(body).alias("h"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LOW)).alias("doc_id")]
+    keys = scratch.keep(df.select(*key, (F.octet_length(body) + 8).cast("long").alias("size")), "keys")
     n, total = keys.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    per = max(1, -(-n // (cfg.shards * cfg.range_rows)))
+    per = max(1, -(-n // (cfg.shards * cfg.range_rows)), -(-total // (cfg.shards * cfg.range_bytes)))
     parts = cfg.shards * per
     targets = [total * i / parts for i in range(1, parts)]
     tight = [(cfg.tolerance if i % per == 0 else cfg.loose / per) * total / cfg.shards for i in range(1, parts)]
@@ -160,30 +160,34 @@ def shard(df: DataFrame, cfg: ShardConfig = ShardConfig(), doc_id: str = "doc_id
     starts = np.array([0, *[c[1] for c in cuts]], np.int64)  # rows before every range
     place = starts - np.repeat(starts[::per], per)[: len(starts)] if len(cuts) else starts
 
-    def deal(batches):
-        for b in batches:
-            at = _below(b.column(0).to_numpy(), b.column(1).to_numpy(), ph, pi)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32))], ["h", "doc_id", "size", "text_crc32", "none", "part"])
+    @F.arrow_udf("long")
+    def deal(h: pa.Array, ids: pa.Array) -> pa.Array:
+        at = _below(h.to_numpy(), ids.to_numpy(), ph, pi)
+        return pa.array((at << 40) | place[at])  # the range, and its first slot
 
-    schema = K.arrow_schema(SHARDED)
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    dealt = df.select(whole, *key).withColumn("at", deal("h", "doc_id")).withColumn("part", F.shiftright("at", 40).cast("int"))
+    # a task has one range, so its rows' numbers count on from the range's first slot
+    run = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    sorted_ = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "h", "doc_id")
+    return sorted_.select("row", F.floor(F.col("part") / per).cast("int").alias("shard"), (F.col("at").bitwiseAND(F.lit((1 << 40) - 1)) + run).alias("slot"))
 
-    def number(batches):
-        last, done = -1, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            part = b.column(5).to_numpy()
-            edges = np.flatnonzero(np.diff(part)) + 1
-            begins = np.concatenate([[0], edges])
-            run = np.arange(b.num_rows) - np.repeat(begins, np.diff(np.concatenate([begins, [b.num_rows]])))
-            if part[0] == last:
-                run[: edges[0] if len(edges) else b.num_rows] += done
-            last, done = part[-1], int(run[-1]) + 1
-            ids = pa.array(b.column(1).to_numpy(), mask=b.column(4).to_numpy(zero_copy_only=False))
-            size = b.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [ids, b.column(2), b.column(3), pa.array(["bytes"] * size), pa.array((part // per).astype(np.int32)), pa.array(place[part] + run), pa.nulls(size, pa.int32())], schema=schema
-            )
-
-    dealt = keys.mapInArrow(K.tidy(deal), "h long, doc_id long, size long, text_crc32 long, none boolean, part int")
-    return dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "h", "doc_id").mapInArrow(K.tidy(number), SHARDED)
+
+def write_shards(df: DataFrame, path: str, cfg: ShardConfig = ShardConfig(), doc_id: str = "doc_id", text: str = "text") -> None:
+    """The documents as parquet files, a folder a shard, in the columns of ``df`` and ``slot``, each file in its order."""
+    shard_rows(df, cfg, doc_id, text).select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns], "shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def shard(df: DataFrame, cfg: ShardConfig = ShardConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """SHARDED for every row of ``df``, from the rows as they stand in their shards: the law is ``bytes``.
+
+    A row's size is the UTF-8 bytes of its text plus 8; a null text has none and the
+    CRC of no bytes; a null id stays null.  ``shard_rows`` says the rest.
+    """
+    made = Scratch(df.sparkSession, "shards").keep(shard_rows(df, cfg, doc_id, text), "rows")
+    body = F.coalesce(F.col(f"row.`{text}`").cast("string"), F.lit(""))
+    values = {
+        "doc_id": F.col(f"row.`{doc_id}`"), "size": F.octet_length(body) + 8, "text_crc32": F.crc32(body), "law": F.lit("bytes"),
+        "shard": F.col("shard"), "slot": F.col("slot"), "grown_shard": F.lit(None),
+    }
+    return made.select(*[values[name].cast(kind).alias(name) for name, kind in map(str.split, SHARDED.split(", "))])

@@ -471,3 +471,26 @@ def test_lm_words_have_their_own_share(spark, docs, plain, held):
         assert r.mean_log_prob == (r.log_prob / len(h) if len(h) else None)
     # a made-up word is less likely than the words it shares an id with
     assert all(own(0, i) <= own(h, i) for h, i in number.items() if i > cfg.words)
+
+
+def test_shard_files_hold_the_documents(spark, docs, tmp_path):
+    cfg = sharding.ShardConfig(shards=3, range_rows=10)
+    sharding.write_shards(docs, str(tmp_path / "out"), cfg)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    text = lambda rows: [(r.doc_id, r.text, r.source, r.key) for r in rows]
+    same(text(got.collect()), text(docs.collect()))
+    assert {p.name for p in (tmp_path / "out").glob("shard=*")} == {"shard=0", "shard=1", "shard=2"}
+    body = lambda t: (t or "").encode()
+    same([(r.shard, r.slot, r.doc_id, zlib.crc32(body(r.text))) for r in got.collect() if r.doc_id is not None and r.doc_id not in (307, 308)],
+         [(r.shard, r.slot, r.doc_id, r.text_crc32) for r in sharding.shard(docs, cfg).collect() if r.doc_id is not None and r.doc_id not in (307, 308)])
+
+
+def test_mix_report_counts_the_rows_of_the_mix(docs):
+    words = lambda t: len(WORD.findall(t or ""))
+    drawn, taken = collections.Counter(), collections.Counter()
+    for r in mixing.mix(docs).collect():
+        drawn[r.doc_id, r.source] += words(r.text)
+    report = mixing.mix_report(docs)
+    for r in report.collect():
+        taken[r.doc_id, r.source] += r.taken
+    assert +drawn == +taken and "cut#" in report._jdf.queryExecution().optimizedPlan().toString()  # counted in the drawn texts

@@ -30,8 +30,16 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id."""
-    return _only(docs, minhash_dedup.near_duplicates(docs))
+    """One row of each group of near duplicates, exact copies included: that of the smallest id, null last.
+
+    Every row is compared under a number of its own, so null and repeated ids are
+    rows like any other.  A row without words is a group of its own.
+    """
+    rows = Scratch(spark, "numbered").keep(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    groups = minhash_dedup.near_duplicates(rows, doc_id="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))["__row"]
+    wanted = rows.select("__row", "doc_id").join(groups, "__row").groupBy("component_id").agg(first.alias("__row")).select("__row")
+    return rows.join(wanted, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

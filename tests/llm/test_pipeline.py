@@ -43,6 +43,22 @@ def test_odd_documents(spark, docs, sf):
     assert empty.count() == 0
 
 
+def test_dedup_keeps_one_row_of_each_group(spark, sf):
+    long = lambda word, n=40: " ".join(f"{word}{i}" for i in range(n))
+    rows = [
+        (None, long("alone")),  # unique, without an id
+        (None, long("bare")), (None, long("bare")),  # a group without ids
+        (None, long("mixed")), (5, long("mixed")), (4, long("mixed") + " end"),  # the least id stays
+        (7, long("twice")), (7, long("twice")),  # an id repeated with its text
+        (8, long("north")), (8, long("south")), (9, long("north")), (10, long("south")),  # and with another
+        (None, None), (11, ""),  # no words
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.text) for r in P.drop_near_duplicates(spark, docs, sf).collect())
+    want = [(None, long("alone")), (None, long("bare")), (4, long("mixed") + " end"), (7, long("twice")), (8, long("north")), (8, long("south")), (None, None), (11, "")]
+    assert got == collections.Counter(want)
+
+
 def test_registered():
     names = entry.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in names} and "pipeline" in names

@@ -1,15 +1,15 @@
 """Array kernels over Arrow string columns: words, hashes and shingles without a Python loop per word.
 
 A column's bytes are read in place.  Words are maximal runs of "word" bytes; as
-all separators are ASCII, this is the same as splitting by code points.  A word
-is hashed by a polynomial in a random odd base over a random byte table,
-modulo 2**64, finished by an avalanche; two different words share a value with
-a chance of about 2**-64.
+all separators are ASCII, this is the same as splitting by code points.  A word's
+64-bit hash takes its bytes in blocks of eight, each passed through an avalanche
+with what came before; a span of over ``LONG`` bytes is hashed by BLAKE2b.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,11 +22,11 @@ CHUNK_BYTES = 1 << 20
 BATCH_ROWS = 1024
 
 _SEED = np.random.Generator(np.random.PCG64(20240229))
-_BYTES = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_SEED.integers(2**40, 2**62)) * 2 + 1
-_INVERSE = pow(_BASE, -1, 2**64)
 _TURN = _SEED.integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = {1: np.ones(1, np.uint64), -1: np.ones(1, np.uint64)}
+#: The first 0..8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes of a span up to which its blocks are hashed here, many spans at a time.
+LONG = 256
 
 
 def _table(outside: bytes, ascii_only_outside: bool = False) -> np.ndarray:
@@ -50,14 +50,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int, sign: int) -> np.ndarray:
-    """The first n powers of the base, or of its inverse."""
-    have = _powers[sign]
-    if len(have) < n:
-        step = np.full(n + n // 8 if n > CHUNK_BYTES + 16 else CHUNK_BYTES + 16, _BASE if sign > 0 else _INVERSE, np.uint64)
-        step[0] = 1
-        have = _powers[sign] = np.cumprod(step)
-    return have[:n]
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit value of the bytes of every span; equal bytes have equal values wherever they stand."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _TURN[2] + _TURN[3])
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    blocks = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(raw) + 1,), (1,))  # the eight bytes from every place on
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    open_ = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left = starts[open_], size[open_]
+    while len(open_):
+        out[open_] = mix((out[open_] ^ (blocks[at] & _FIRST[np.minimum(left, 8)])) * _TURN[4] + _TURN[5])
+        more = left > 8
+        open_, at, left = open_[more], at[more] + 8, left[more] - 8
+    return out
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -113,11 +121,7 @@ class Words:
         """A 64-bit value of every word."""
         if not len(self.starts):
             return np.empty(0, np.uint64)
-        run = np.empty(len(self.raw) + 1, np.uint64)
-        run[0] = 0
-        np.cumsum((_BYTES[LOWER] if lower else _BYTES)[self.raw] * powers(len(self.raw), 1), out=run[1:])
-        value = (run[self.ends] - run[self.starts]) * powers(len(self.raw) + 1, -1)[self.starts]
-        return mix(value + (self.ends - self.starts).astype(np.uint64))
+        return span_hashes(LOWER[self.raw] if lower else self.raw, self.starts, self.ends)
 
     def documents(self) -> np.ndarray:
         """The text of every word."""

@@ -43,13 +43,14 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", (b"akia",), 0, 20),
     Rule("hex", r"[0-9a-f]+", (), 0, 24),
 )
+#: Each begins at one place of a run of its letters only and gives nothing back, so that any text is scanned in time linear in its length.
 ADDED = (
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[^-]*-----END (?:[A-Z]+ )*PRIVATE KEY-----)?", (b"private key-----",)),
-    Rule("bearer", r"\bBearer [A-Za-z0-9._~+/-]{20,}=*", (b"bearer ",)),
-    Rule("jwt", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", (b"eyj",)),
+    Rule("bearer", r"\bBearer [A-Za-z0-9._~+/-]{20,}+=*", (b"bearer ",)),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]+", (b"eyj",)),
     Rule("code_host", r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,})", (b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_", b"glpat-")),
     Rule("chat", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", (b"xox",)),
-    Rule("url_login", r"\b[a-z][a-z0-9+.-]*://[^\s/:@]{1,64}:[^\s/:@]{1,64}@", (b"://",)),
+    Rule("url_login", r"(?<![A-Za-z0-9+.-])[a-z][a-z0-9+.-]*+://[^\s/:@]{1,64}+:[^\s/:@]{1,64}+@", (b"://",)),
 )
 RULES = BASE + ADDED
 #: Changes whenever a rule or the look (2: hex runs end with their text) does, so that older ledger rows are not taken for the present rules.

@@ -99,7 +99,8 @@ def fit(documents: DataFrame, labels: DataFrame, cfg: ResampleConfig = ResampleC
     ratio = (smooth(target) - smooth(raw * (target.sum() / raw.sum()))).astype(np.float32)
     chosen = spark.createDataFrame([(int(i), int(q)) for i, q in held.items()], "doc_id long, quality int")
     near = rows.join(F.broadcast(chosen), "doc_id")  # at most cfg.sample ids
-    seen = log_weights(near.select("doc_id", "text"), ratio, cfg).join(F.broadcast(chosen), "doc_id").select("log_weight", "quality").toArrow()
+    one = log_weights(near.select("doc_id", "text"), ratio, cfg).groupBy("doc_id").agg(F.min("log_weight").alias("log_weight"))  # one row an id
+    seen = one.join(F.broadcast(chosen), "doc_id").select("log_weight", "quality").toArrow()
     return ratio, _cut(seen.column("log_weight").to_numpy(), seen.column("quality").to_numpy() == 1, cfg)
 
 

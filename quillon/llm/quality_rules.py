@@ -54,9 +54,7 @@ def text_counts(raw: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     has = np.searchsorted(words.starts, ends) > np.searchsorted(words.starts, begins)
     begins, ends, owner = begins[has], ends[has], owner[has]
     out["n_lines"] = np.bincount(owner, minlength=n).astype(np.int64)
-    run = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(K._BYTES[raw] * K.powers(len(raw), 1), out=run[1:])
-    value = K.mix((run[ends] - run[begins]) * K.powers(len(raw) + 1, -1)[begins] + (ends - begins).astype(np.uint64))
+    value = K.span_hashes(raw, begins, ends)
     order = np.lexsort((value, owner))
     same = (value[order][1:] == value[order][:-1]) & (owner[order][1:] == owner[order][:-1])
     out["n_dup_lines"] = np.bincount(owner[order][1:][same], minlength=n).astype(np.int64)
@@ -235,11 +233,12 @@ def labelled_sample(labels: DataFrame, most: int) -> DataFrame:
 
 
 def fit_rules(documents: DataFrame, labels: DataFrame, cfg: RuleConfig = RuleConfig()) -> DecisionList:
-    """Learn from the statistics of at most ``cfg.sample`` labelled rows, brought to the driver."""
+    """Learn from the statistics of at most ``cfg.sample`` labelled rows, brought to the driver, one row an id (the least, where an id repeats)."""
     spark = documents.sparkSession
     chosen = spark.createDataFrame(labelled_sample(labels, cfg.sample).collect(), "doc_id long, quality int")
     near = documents.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")  # at most cfg.sample ids
-    rows = text_statistics(near).join(F.broadcast(chosen), "doc_id").toArrow()
+    one = text_statistics(near).groupBy("doc_id").agg(F.min(F.struct(*COUNTS)).alias("x")).select("doc_id", "x.*")
+    rows = one.join(F.broadcast(chosen), "doc_id").toArrow()
     x = {c: rows.column(c).to_numpy().astype(float) for c in COUNTS}
     ratios = {m: x[t] if b is None else np.divide(x[t], x[b], out=np.zeros(len(x[t])), where=x[b] > 0) for m, (t, b) in MEASURES.items()}
     return learn(ratios, rows.column("quality").to_numpy() == 0, cfg)

@@ -494,3 +494,131 @@ def test_mix_report_counts_the_rows_of_the_mix(docs):
     for r in report.collect():
         taken[r.doc_id, r.source] += r.taken
     assert +drawn == +taken and "cut#" in report._jdf.queryExecution().optimizedPlan().toString()  # counted in the drawn texts
+
+
+# hashes
+def test_hashes_tell_thue_morse_words_apart():
+    """Words and lines that a polynomial modulo 2**64 in any base would give one value."""
+    word = "a"
+    for _ in range(13):
+        word += word.translate(str.maketrans("ab", "ba"))
+        other = word.translate(str.maketrans("ab", "ba"))
+        raw, offs = K.buffers(pa.array([f"{word}\n{other}", other]))
+        one, two, again = K.Words(raw, offs).hashes().tolist()
+        assert one != two == again
+        assert quality_rules.text_counts(raw, offs)["n_dup_lines"].tolist() == [0, 0]
+
+
+def test_hashes_depend_on_bytes_alone():
+    rng = np.random.default_rng(8)
+    words = ["".join(map(chr, rng.integers(97, 99, n))) for n in [*range(1, 40), 255, 256, 257, 1000] for _ in range(6)]
+    a, b = (K.Words(*K.buffers(pa.array([x]))).hashes() for x in (" ".join(words), "  x  ".join(words[::-1])))
+    got = dict(zip(words, a.tolist()))
+    assert len(set(got.values())) == len(got) and [got[w] for w in words[::-1]] == b[::2].tolist()
+
+
+# 2, short texts and odd rows
+@pytest.mark.parametrize("small,large", [(3, 4), (6, 8), (9, 12), (30, 40), (60, 80), (780, 1040), (1100, 1466)])
+def test_pairs_at_the_threshold_are_linked(spark, small, large):
+    """Disjoint pairs of which one's shingles are 75 of 100 of the other's."""
+    n = 4000 if large < 100 else 60
+    rows = [r for i in range(n) for r in ((2 * i, " ".join(f"w{i}x{j}" for j in range(small + 4))), (2 * i + 1, " ".join(f"w{i}x{j}" for j in range(large + 4))))]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 2 * n and all(r.component_id == r.doc_id // 2 * 2 for r in got)
+
+
+def test_sketches_never_rule_a_link_out():
+    rng = np.random.default_rng(12)
+    cfg = minhash_dedup.DedupConfig()
+    for size in (4, 8, 12, 40, 80, 400, 1000, 1366, 3000, 9000):
+        shared = -(-3 * size // 4)
+        for _ in range(40):
+            h = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+            sets = [h, np.sort(rng.permutation(h)[:shared])]
+            maps, bins = minhash_dedup.odd_sketches(np.concatenate(sets), np.array([0, len(h), len(h) + shared]))
+            words = np.ascontiguousarray(maps).view(np.uint64)
+            assert minhash_dedup.may_link(words[:1], words[1], bins[:1], bins[1], np.array([len(h)]), shared, cfg)[0]
+    far = [np.sort(rng.integers(0, 2**64, 900, dtype=np.uint64)) for _ in range(2)]
+    maps, bins = minhash_dedup.odd_sketches(np.concatenate(far), np.array([0, 900, 1800]))
+    words = np.ascontiguousarray(maps).view(np.uint64)
+    assert not minhash_dedup.may_link(words[:1], words[1], bins[:1], bins[1], np.array([900]), 900, cfg)[0]
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_repeated_ids_are_classed_by_their_own_text(spark, order):
+    long = lambda word, n=40: " ".join(f"{word}{i}" for i in range(n))
+    rows = [(5, long("a")), (5, long("b")), (3, long("b")), (7, long("a") + " more"), (None, long("c")), (9, long("c") + " end"), (None, long("d")), (None, long("d"))]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows[::order], "doc_id long, text string").repartition(3)).collect()
+    same([(r.doc_id, r.component_id, r.kept) for r in got],
+         [(5, 5, True), (5, 3, False), (3, 3, True), (7, 5, False), (None, 9, False), (9, 9, True), (None, None, False), (None, None, False)])
+
+
+def test_units_are_bounded_by_shingles(spark):
+    """A family in many small units gives the same components as in one."""
+    rng = np.random.default_rng(22)
+    rows = []
+    for i in range(60):
+        w = [f"w{j}" for j in range(150)]
+        for j in rng.choice(150, int(rng.integers(0, 8)), replace=False):
+            w[j] = f"x{i}_{j}"
+        rows.append((i, " ".join(w), None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = minhash_dedup.near_duplicates(df, minhash_dedup.DedupConfig(volume=1500)).collect()
+    same([(r.doc_id, r.n_shingles, r.component_id) for r in got], components(rows))
+
+
+# 8, very long texts
+@pytest.mark.parametrize("unit", ["a.", "eyJaaaaaaaaaaa-", "eyJaaaaaaaaaaaa.", "https://a:b", "-----BEGIN A ", "Bearer "])
+def test_patterns_are_linear(unit):
+    import time
+
+    text = unit * (4_000_000 // len(unit)) + " ://"
+    begin = time.time()
+    secret_scan.spans(text)
+    assert time.time() - begin < 20
+
+
+# 1 and 5, labelled rows
+def test_fitted_rules_on_held_out_labels(spark, sf):
+    big = sf.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    rules = quality_rules.fit_rules(docs.unionByName(docs.limit(50)), labels.where("doc_id % 2 = 0"))
+    got = quality_rules.apply_rules(docs, rules).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    assert rules.rules and sum(r.kept == (r.quality == 1) for r in got if not r.base_failed) > 0.95 * sum(not r.base_failed for r in got)
+
+
+def test_log_weights_equal_loop(spark, docs, plain):
+    """Counts of both models and every text's weight, taken token by token."""
+    cfg = quality_classifier.ResampleConfig(buckets=256, lags=4, prior=2.0)
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(60)], "doc_id long, quality int")
+    ratio, _ = quality_classifier.fit(docs, labels, cfg)
+    order = [r.doc_id for r in quality_rules.labelled_sample(labels, cfg.sample).collect()]
+    target = {d for n, d in enumerate(order) if n % 3 and d % 4 > 0}
+    token = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+|[\x00-\x08\x0e-\x1f\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+    free = cfg.buckets - cfg.lags
+
+    def bag(t):
+        words = token.findall(t or "")
+        h = K.span_hashes(*_spans(words)) if words else np.empty(0, np.uint64)
+        pair, out = K.windows(h, 2), [int(x % np.uint64(free)) for x in h]
+        for n, x in enumerate(pair):
+            out.append(int(x % np.uint64(free)))
+            out += next(([free + lag - 1] for lag in range(1, cfg.lags + 1) if n >= lag and pair[n - lag] == x), [])
+        return np.bincount(out, minlength=cfg.buckets) if out else np.zeros(cfg.buckets, int)
+
+    def _spans(words):
+        raw = np.frombuffer(lower("".join(words)).encode(), np.uint8)
+        ends = np.cumsum([len(w.encode()) for w in words])
+        return raw, np.concatenate([[0], ends[:-1]]), ends
+
+    bags = [(i, bag(t)) for i, t, _ in plain]
+    raw, good = sum(b for _, b in bags).astype(float), sum(b for i, b in bags if i in target).astype(float)
+    smooth = lambda c: np.log((c + cfg.prior) / (c.sum() + cfg.prior * len(c)))
+    assert np.allclose(ratio, smooth(good) - smooth(raw * good.sum() / raw.sum()), atol=1e-4)
+    want = [(i, float(b @ ratio.astype(float))) for i, b in bags]
+    got = quality_classifier.log_weights(docs.select("doc_id", "text"), ratio, cfg).collect()
+    assert len(got) == len(want)
+    by = collections.defaultdict(list)
+    for i, x in want:
+        by[i].append(x)
+    assert all(any(abs(r.log_weight - x) < 0.01 * max(1, abs(x)) for x in by[r.doc_id]) for r in got)

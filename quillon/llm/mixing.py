@@ -67,42 +67,61 @@ def _uniform(*parts: Column) -> Column:
     return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
+#: Logarithms of 0! to 9!; beyond, Stirling's series has all digits of a double.
+_SMALL = [math.lgamma(i + 1) for i in range(10)]
+
+
+def _log_factorials(a: Column, d: Column) -> Column:
+    """log((a + d)!) - log(a!), without the loss of digits that the difference of two large logarithms has."""
+    b = F.greatest(a + d, F.lit(0.0))
+    small = F.array(*[F.lit(v) for v in _SMALL])
+    stirling = lambda x: (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + rest(x)
+    rest = lambda x: (1 / 12 - (1 / 360 - 1 / (1260 * x * x)) / (x * x)) / x
+    one = lambda x: F.when(x < 10, F.element_at(small, F.least(x, F.lit(9.0)).cast("int") + 1)).otherwise(stirling(F.greatest(x, F.lit(10.0))))
+    low, top = F.greatest(a, F.lit(10.0)), F.greatest(b, F.lit(10.0))
+    wide = (low + 0.5) * F.log1p((top - low) / low) + (top - low) * (F.log(top) - 1) + rest(top) - rest(low)
+    return F.when((a < 10) | (b < 10), one(b) - one(a)).otherwise(wide)
+
+
+#: Tries of a draw; each succeeds with a chance of over one half.
+TRIES = 128
+
+
 def hypergeometric(population: Column, marked: Column, drawn: Column, *key: Column) -> Column:
-    """How many of ``drawn`` words from ``population`` are among the ``marked``; the key's hash is the draw.
+    """How many of ``drawn`` words from ``population`` are among the ``marked``; the key's hashes are the draws.
 
-    Up to a variance of 900 by inversion: the probabilities' ratios are summed over
-    eight standard deviations around the mean.  Beyond, by the normal law rounded to
-    the possible range, from which the exact law then hardly differs.
+    The exact law at any size, by the ratio of uniforms under Stadlober's hat (1990): a
+    try takes the value below ``mean + 1/2 + width * (v - 1/2) / u`` and keeps it if ``u * u`` is at
+    most its probability against the mode's.  After TRIES tries, a chance below
+    2**-128, the mode is taken.
     """
     n, k, m = population.cast("double"), marked.cast("double"), drawn.cast("double")
-    mean = F.when(n > 0, m * k / n).otherwise(0.0)
-    variance = F.when(n > 1, mean * (1 - k / n) * (n - m) / (n - 1)).otherwise(0.0)
+    mean = F.when(n > 0, m * k / F.greatest(n, F.lit(1.0))).otherwise(0.0)
+    variance = F.when(n > 1, mean * (1 - k / F.greatest(n, F.lit(1.0))) * (n - m) / F.greatest(n - 1, F.lit(1.0))).otherwise(0.0)
     low, high = F.greatest(F.lit(0.0), m - (n - k)), F.least(m, k)
+    mode = F.least(high, F.greatest(low, F.floor((m + 1) * (k + 1) / (n + 2)).cast("double")))
+    width = 2 * math.sqrt(2 / math.e) * F.sqrt(F.greatest(variance, F.lit(0.0)) + 0.5) + (3 - 2 * math.sqrt(3 / math.e))
+
+    def attempt(v: Column, i: Column) -> Column:
+        u = _uniform(F.lit("u"), *key, i)
+        place = F.floor(v["mean"] + 0.5 + v["width"] * (_uniform(F.lit("v"), *key, i) - 0.5) / u).cast("double")
+
+        def verdict(t: Column) -> Column:
+            d, x = t["place"] - v["mode"], v["mode"]
+            less = _log_factorials(x, d) + _log_factorials(v["k"] - x, -d) + _log_factorials(v["m"] - x, -d) + _log_factorials(v["n"] - v["k"] - v["m"] + x, d)
+            inside = (t["place"] >= v["low"]) & (t["place"] <= v["high"])
+            return F.struct(F.when(inside, 2 * F.log(t["u"]) <= -less).otherwise(False).alias("done"), t["place"].alias("x"))
+
+        return _let(F.struct(u.alias("u"), place.alias("place")), verdict)
+
+    def draw(v: Column) -> Column:
+        start = F.struct(F.lit(False).alias("done"), v["mode"].alias("x"))
+        tries = F.sequence(F.lit(0), F.lit(TRIES - 1))
+        again = lambda a, i: F.when(a["done"], a).otherwise(attempt(v, i))
+        return F.aggregate(tries, start, again, lambda a: F.when(a["done"], a["x"]).otherwise(v["mode"]).cast("long"))
 
-    def by_ratio(v: Column) -> Column:
-        reach = 8 * F.sqrt(F.greatest(v["variance"], F.lit(0.0))) + 4
-        first = F.greatest(v["low"], F.floor(v["mean"] - reach)).cast("long")
-        last = F.least(v["high"], F.ceil(v["mean"] + reach)).cast("long")
-        values = F.sequence(first, F.greatest(first, last))
-        # probability of x against that of x - 1
-        ratio = lambda x: (k - x + 1) * (m - x + 1) / (x * (n - k - m + x))
-        start = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("sum"))
-        step = lambda a, x: _let(F.when(x == first, F.lit(1.0)).otherwise(a["p"] * ratio(x.cast("double"))), lambda p: F.struct(p.alias("p"), (a["sum"] + p).alias("sum")))
-        total = F.aggregate(values, start, step, lambda a: a["sum"])
-        begin = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("sum"), first.alias("x"))
-        scaled = lambda t: F.aggregate(values, begin, lambda a, x: walk_to(a, x, t), lambda a: a["x"])
-        walk_to = lambda a, x, t: _let(
-            F.when(x == first, F.lit(1.0)).otherwise(a["p"] * ratio(x.cast("double"))),
-            lambda p: F.struct(p.alias("p"), (a["sum"] + p).alias("sum"), F.when(a["sum"] < v["u"] * t, x).otherwise(a["x"]).alias("x")),
-        )
-        return _let(total, scaled)
-
-    def by_normal(v: Column) -> Column:
-        z = F.sqrt(-2 * F.log(v["u"])) * F.cos(2 * math.pi * _uniform(F.lit("angle"), *key))
-        return F.greatest(v["low"], F.least(v["high"], F.round(v["mean"] + F.sqrt(v["variance"]) * z))).cast("long")
-
-    parts = F.struct(mean.alias("mean"), variance.alias("variance"), low.alias("low"), high.alias("high"), _uniform(F.lit("draw"), *key).alias("u"))
-    return _let(parts, lambda v: F.when(v["variance"] > 900, by_normal(v)).otherwise(by_ratio(v)))
+    named = {"n": n, "k": k, "m": m, "mean": mean, "low": low, "high": high, "mode": mode, "width": width}
+    return _let(F.struct(*[c.alias(name) for name, c in named.items()]), lambda v: F.when(v["low"] >= v["high"], v["low"].cast("long")).otherwise(draw(v)))
 
 
 def split_quota(quota: Column, words: Column, *key: Column) -> Column:
@@ -117,7 +136,7 @@ def split_quota(quota: Column, words: Column, *key: Column) -> Column:
 
 
 def plan(rows: DataFrame, sizes_from: DataFrame, cfg: MixConfig) -> DataFrame:
-    """rows: (doc_id, src, none, size, ...), sizes_from: the same rows without other columns.
+    """rows: (doc_id, mark, src, none, size, ...), sizes_from: the same rows without other columns; mark is a hash of the text.
 
     Adds source_size, target, ``passes`` (whole passes over the source), ``part``
     (words taken beyond them, from the text's start) and the output ``shard``.
@@ -130,7 +149,7 @@ def plan(rows: DataFrame, sizes_from: DataFrame, cfg: MixConfig) -> DataFrame:
     goal = Scratch(rows.sparkSession, "mix").keep(goal, "goal")
     most = goal.agg(F.max("docs")).first()[0] or 1
     levels = max(1, math.ceil(math.log(max(1, most / cfg.leaf_rows), FAN)))
-    leaf = F.pmod(F.xxhash64(F.lit(cfg.seed), F.lit("leaf"), "doc_id"), F.lit(FAN**levels))
+    leaf = F.pmod(F.xxhash64(F.lit(cfg.seed), F.lit("leaf"), "doc_id", "mark"), F.lit(FAN**levels))
     words = sizes_from.where("size > 0").groupBy(*key, leaf.alias("leaf")).agg(F.sum("size").alias("words"))
     nodes = goal.select(*key, F.lit(0).cast("long").alias("node"), "quota")
     for level in range(1, levels + 1):
@@ -144,15 +163,15 @@ def plan(rows: DataFrame, sizes_from: DataFrame, cfg: MixConfig) -> DataFrame:
     # A leaf of every source goes to one output shard.  Its quota travels to its documents as a row of its own,
     # so one exchange by shard serves both, and each shard has its part of every source, hot ones included.
     carried = ["source_size", "target", "passes", "quota"]
-    extra = [c for c in rows.columns if c not in ("doc_id", "src", "none", "size")]
+    extra = [c for c in rows.columns if c not in ("doc_id", "mark", "src", "none", "size")]
     absent = lambda names, schema: [F.lit(None).cast(schema[c].dataType).alias(c) for c in names]
     quotas = goal.select(*key, "source_size", "target", "passes").join(nodes.withColumnRenamed("node", "shard"), key)
-    heads = quotas.select(*key, "shard", *carried, F.lit(0).alias("role"), F.lit(0).cast("long").alias("size"), *absent(["doc_id", *extra], rows.schema))
-    full = rows.where("size > 0").select(*key, leaf.alias("shard"), *absent(carried, heads.schema), F.lit(1).alias("role"), "size", "doc_id", *extra)
-    turn = W.partitionBy(*key, "shard").orderBy("role", F.xxhash64(F.lit(cfg.seed), F.lit("turn"), "doc_id"), "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    heads = quotas.select(*key, "shard", *carried, F.lit(0).alias("role"), F.lit(0).cast("long").alias("size"), *absent(["doc_id", "mark", *extra], rows.schema))
+    full = rows.where("size > 0").select(*key, leaf.alias("shard"), *absent(carried, heads.schema), F.lit(1).alias("role"), "size", "doc_id", "mark", *extra)
+    turn = W.partitionBy(*key, "shard").orderBy("role", F.xxhash64(F.lit(cfg.seed), F.lit("turn"), "doc_id", "mark"), "doc_id", "mark").rowsBetween(W.unboundedPreceding, -1)
     both = heads.unionByName(full).repartition("shard").withColumns({c: F.first(c, ignorenulls=True).over(turn) for c in carried} | {"before": F.sum("size").over(turn)})
     part = F.greatest(F.lit(0), F.least("size", F.col("quota") - F.col("before"))).cast("long")
-    some = both.where("role = 1").select("doc_id", *key, "size", *extra, "source_size", "target", "passes", part.alias("part"), "shard")
+    some = both.where("role = 1").select("doc_id", "mark", *key, "size", *extra, "source_size", "target", "passes", part.alias("part"), "shard")
     # a text without words takes nothing, and its source may have no leaf at all
     none = rows.where("size = 0").join(goal.select(*key, "source_size", "target", "passes"), key).withColumns({"part": F.lit(0).cast("long"), "shard": leaf})
     return some.unionByName(none)
@@ -160,7 +179,8 @@ def plan(rows: DataFrame, sizes_from: DataFrame, cfg: MixConfig) -> DataFrame:
 
 def _sized(df: DataFrame, doc_id: str, text: str, source: str, *extra: Column) -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    return df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("src"), F.col(source).isNull().alias("none"), size.alias("size"), *extra)
+    mark = F.xxhash64(F.col(text).cast("string"))
+    return df.select(F.col(doc_id).alias("doc_id"), mark.alias("mark"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("src"), F.col(source).isNull().alias("none"), size.alias("size"), *extra)
 
 
 def _draw(df: DataFrame, cfg: MixConfig, doc_id: str, text: str, source: str) -> DataFrame:
@@ -180,7 +200,9 @@ def mix_report(df: DataFrame, cfg: MixConfig = MixConfig(), doc_id: str = "doc_i
 
     A text's size is its words; null texts and texts without words have 0 and give
     nothing.  A null source is a source of its own, the last.  Rows that repeat an
-    id are separate documents that stand together.  No rows give no rows.
+    id are separate documents; rows are dealt and ordered by hashes of id and text, so
+    null and repeated ids are spread by their texts, and rows equal in both stand
+    together, where it makes no difference which of them is cut.  No rows give no rows.
     """
     words = F.coalesce(F.sum(F.regexp_count("cut", F.lit(WORD))), F.lit(0)).cast("long")
     made = _draw(df, cfg, doc_id, text, source).groupBy("number", "doc_id", "size", "source_size", "target", "none", "src", "shard").agg(words.alias("taken"))
@@ -191,7 +213,8 @@ def mix(df: DataFrame, cfg: MixConfig = MixConfig(), doc_id: str = "doc_id", tex
     """The mix itself, with the columns of ``df``: each row as often as it is taken whole, and cut rows.
 
     A cut row's text is its first words joined by single spaces, and ``n_chars`` (if
-    named and there) its length.  Rows come out by output shard, in a local shuffle:
+    named and there) its length.  A text that is null or has no words is never taken; null and
+    repeated ids, null sources and ties are as in ``mix_report``.  Rows come out by output shard, in a local shuffle:
     each shard is sorted by a hash of id and copy.
     """
     drawn = _draw(df, cfg, doc_id, text, source).where("copy is not null")

@@ -1,12 +1,18 @@
 """Histogram sort: documents dealt to shards of near equal bytes, in one exchange.
 
-Rows are ordered by (hash of the text, id), so copies of a text stand together
-and stay in one shard unless a cut must fall inside them.  The cuts are found by
-counting (Solomonik and Kale, 2010): a round sends a few probe keys for each
-open cut to all partitions, each counts the exact rows and bytes below every
-probe, and the interval that holds a cut is probed again until the cut's bytes
-are within tolerance.  The counts also give the place of every range in its shard, so after
-one exchange of the whole rows by range each row's slot is known without a further pass.
+Rows are ordered by (hash of the text, id), so copies of a text stand together.
+The cuts between shards are found by counting (Solomonik and Kale, 2010): a round sends a
+few probe keys for each open cut to all partitions, each counts the exact rows and
+bytes below every probe, and the interval that holds a cut is probed again until the
+cut's bytes are within tolerance.  Probes, counts and cuts are a few for each shard,
+whatever the number of rows.
+
+A group of equal texts is cut only if near equal bytes need it: if both its ends are
+farther from the cut's place than ``group`` of a shard's bytes and than two of its rows.
+
+Within a shard rows stand by ranges of another hash, whose number follows the rows.
+One aggregate counts the ranges, and each range's first slot travels with
+its rows as a row of its own, so one exchange of the whole rows gives every slot.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quillon.llm import kernels as K
 from quillon.scratch import Scratch
@@ -26,12 +32,12 @@ _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 @dataclass(frozen=True)
 class ShardConfig:
-    """tolerance: of a cut, against a shard's bytes; steps: probes stand off the guessed place by these parts of
-    the interval, and ``even`` parts of it; range_rows, range_bytes: about so many rows, and bytes of text, at most are sorted by one task."""
+    """tolerance: of a cut, against a shard's bytes; group: the same for keeping a group of equal texts whole; steps: probes stand
+    off the guessed place by these parts of the interval, and ``even`` parts of it; range_rows, range_bytes: about so many rows, and bytes of text, are sorted by one task."""
 
     shards: int = 24
     tolerance: float = 0.001
-    loose: float = 0.2
+    group: float = 0.02
     steps: tuple[int, ...] = (64, 1024)
     even: int = 8
     range_rows: int = 200_000
@@ -88,11 +94,14 @@ def _count(keys: DataFrame, probes: list[int]) -> tuple[list[int], list[int], li
     return n, size, bounds
 
 
-def find_cuts(keys: DataFrame, targets: list[float], tolerances: list[float], cfg: ShardConfig) -> list[tuple[int, int, int]]:
-    """For each ascending target, a key with about so many bytes below it, and its exact (key, rows, bytes) below."""
-    rows, size = keys.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+def find_cuts(keys: DataFrame, rows: int, size: int, targets: list[float], per: float, cfg: ShardConfig) -> list[tuple[int, int, int]]:
+    """For each ascending target, a key with about so many bytes below it, and its exact (key, rows, bytes) below.
+
+    rows, size: of all keys; per: bytes of a shard, which the tolerances are parts of.
+    """
     span = [[(0, 0, 0), (1 << 128, rows, size)] for _ in targets]  # (key, rows, bytes) at both ends
     best: list[tuple[int, int, int] | None] = [None] * len(targets)
+    split: set[int] = set()  # cuts that a group of equal texts was found at
     for _ in range(cfg.max_rounds):
         wanted: set[int] = set()
         for t, (low, high) in enumerate(span):
@@ -123,11 +132,15 @@ def find_cuts(keys: DataFrame, targets: list[float], tolerances: list[float], cf
                 low = max(low, (probes[c - 1], *below[c]))
             if c < len(probes):
                 high = min(high, (probes[c], *below[c + 1]))
+            allowed = cfg.tolerance * per
             if bounds[c] is not None:  # no rows stand between the cell's ends and its keys' bounds
                 low, high = (max(low[0], bounds[c][0]), *low[1:]), (min(high[0], bounds[c][1]), *high[1:])
+                if low[0] >> 64 == (high[0] - 1) >> 64 and t not in split:  # one group of equal texts, all of it
+                    allowed = max(allowed, cfg.group * per, 2 * (high[2] - low[2]) / max(1, high[1] - low[1]))
+                    split.add(t)
             span[t] = [low, high]
             near = min((low, high), key=lambda x: abs(x[2] - targets[t]))
-            if abs(near[2] - targets[t]) <= tolerances[t] or high[1] - low[1] <= 1 or high[0] - low[0] <= 1:
+            if abs(near[2] - targets[t]) <= allowed or high[1] - low[1] <= 1 or high[0] - low[0] <= 1:
                 best[t] = near
     return [b or min(s, key=lambda x: abs(x[2] - targets[t])) for t, (b, s) in enumerate(zip(best, span))]
 
@@ -135,13 +148,16 @@ def find_cuts(keys: DataFrame, targets: list[float], tolerances: list[float], cf
 SHARDED = "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int"
 
 
+def _nulls(columns: list[str], df: DataFrame) -> list[Column]:
+    return [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in columns]
+
+
 def shard_rows(df: DataFrame, cfg: ShardConfig = ShardConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, shard, slot) for every row of ``df``: the whole row as one column, exchanged once, sorted by slot in ranges.
 
-    A null id orders as the least id.  Rows equal in id and text stand together, in
-    any order among themselves.  Copies of one text share a shard unless a cut
-    within tolerance must fall among them.  Fewer rows than shards leave shards
-    empty; no rows give no rows.
+    A null id orders as the least id.  Rows equal in id and text stay in one shard and may
+    take each other's slots.  Copies of one text share a shard unless near equal bytes need a
+    cut among them.  Fewer rows than shards leave shards empty; no rows give no rows.
     """
     scratch = Scratch(df.sparkSession, "shards")
     K.small_batches(df.sparkSession)
@@ -149,28 +165,27 @@ def shard_rows(df: DataFrame, cfg: ShardConfig = ShardConfig(), doc_id: str = "d
     key = [F.xxhash64(body).alias("h"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LOW)).alias("doc_id")]
     keys = scratch.keep(df.select(*key, (F.octet_length(body) + 8).cast("long").alias("size")), "keys")
     n, total = keys.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    per = max(1, -(-n // (cfg.shards * cfg.range_rows)), -(-total // (cfg.shards * cfg.range_bytes)))
-    parts = cfg.shards * per
-    targets = [total * i / parts for i in range(1, parts)]
-    tight = [(cfg.tolerance if i % per == 0 else cfg.loose / per) * total / cfg.shards for i in range(1, parts)]
-    cuts = find_cuts(keys, targets, tight, cfg) if n else []
-    for i in range(1, len(cuts)):  # a loose cut may pass a tight one
-        cuts[i] = max(cuts[i], cuts[i - 1])
-    ph, pi = (np.array(x, np.int64) for x in zip(*[_as_pair(min(c[0], (1 << 128) - 1)) for c in cuts])) if cuts else (np.empty(0, np.int64),) * 2
-    starts = np.array([0, *[c[1] for c in cuts]], np.int64)  # rows before every range
-    place = starts - np.repeat(starts[::per], per)[: len(starts)] if len(cuts) else starts
-
-    @F.arrow_udf("long")
-    def deal(h: pa.Array, ids: pa.Array) -> pa.Array:
-        at = _below(h.to_numpy(), ids.to_numpy(), ph, pi)
-        return pa.array((at << 40) | place[at])  # the range, and its first slot
+    per = total / cfg.shards
+    cuts = find_cuts(keys, n, total, [per * i for i in range(1, cfg.shards)], per, cfg) if n else []
+    ends = [_as_pair(min(c[0], (1 << 128) - 1)) for c in cuts]
+    # the shard is the number of cuts at or below the key
+    at = sum(((F.col("h") > h) | ((F.col("h") == h) & (F.col("doc_id") >= i))).cast("int") for h, i in ends) if ends else F.lit(0)
+    ranges = max(1, -(-n // (cfg.shards * cfg.range_rows)), -(-total // (cfg.shards * cfg.range_bytes)))
+    part = (at * ranges + F.pmod(F.xxhash64(F.lit("range"), "h", "doc_id"), F.lit(ranges))).cast("int")
+
+    # the first slot of every range, by one count; a window over the ranges of one shard
+    counted = keys.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = W.partitionBy(F.floor(F.col("part") / ranges)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    first = counted.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
 
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
-    dealt = df.select(whole, *key).withColumn("at", deal("h", "doc_id")).withColumn("part", F.shiftright("at", 40).cast("int"))
-    # a task has one range, so its rows' numbers count on from the range's first slot
-    run = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    sorted_ = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "h", "doc_id")
-    return sorted_.select("row", F.floor(F.col("part") / per).cast("int").alias("shard"), (F.col("at").bitwiseAND(F.lit((1 << 40) - 1)) + run).alias("slot"))
+    rows = df.select(whole, *key)
+    dealt = rows.select(part.alias("part"), F.lit(1).alias("role"), "h", "doc_id", F.lit(None).cast("long").alias("first"), "row")
+    heads = first.select("part", F.lit(0).alias("role"), *_nulls(["h", "doc_id"], dealt), "first", *_nulls(["row"], dealt))
+    turn = W.partitionBy("part").orderBy("role", "h", "doc_id")
+    placed = heads.unionByName(dealt).repartitionById(cfg.shards * ranges, F.col("part")).withColumn("place", F.row_number().over(turn))
+    placed = placed.withColumn("first", F.first("first").over(turn.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return placed.where("role = 1").select("row", F.floor(F.col("part") / ranges).cast("int").alias("shard"), (F.col("first") + F.col("place") - 2).cast("long").alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str, cfg: ShardConfig = ShardConfig(), doc_id: str = "doc_id", text: str = "text") -> None:

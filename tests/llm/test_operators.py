@@ -658,3 +658,27 @@ def test_log_weights_equal_loop(spark, docs, plain):
     for i, x in want:
         by[i].append(x)
     assert all(any(abs(r.log_weight - x) < 0.01 * max(1, abs(x)) for x in by[r.doc_id]) for r in got)
+
+
+# 7, groups
+def test_groups_are_cut_only_for_near_equal_bytes(spark, sf):
+    """Groups of equal texts stay whole but for one that is larger than two shards, with null and repeated ids among them."""
+    rows = [(i, f"text number {i % 900} " + "x" * (i % 900 % 70)) for i in range(2700)]
+    hot = [(None if i % 400 == 0 else i // 2, "the hot text " * 3) for i in range(4000)]
+    for docs in (spark.createDataFrame(rows + hot, "doc_id long, text string").repartition(5), spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")):
+        got = sharding.shard(docs, sharding.ShardConfig(shards=12, range_rows=50)).toPandas()
+        held = got.groupby("text_crc32").agg(n=("shard", "nunique"), size=("size", "sum"))
+        per = got["size"].sum() / 12
+        assert (held[held.n > 1]["size"] > per).all()
+        assert all(sorted(v) == list(range(len(v))) for _, v in got.groupby("shard").slot)
+        sums = got.groupby("shard")["size"].sum()
+        assert abs(sums - per).max() <= max(0.05 * per, 2 * got["size"].max())
+
+
+def test_cuts_are_found_with_a_fixed_number_of_probes(spark, monkeypatch):
+    """What travels to the tasks and back follows the shards, not the rows."""
+    seen, count = [], sharding._count
+    monkeypatch.setattr(sharding, "_count", lambda keys, probes: seen.append(len(probes)) or count(keys, probes))
+    df = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    assert sharding.shard(df, sharding.ShardConfig(shards=4, range_rows=500)).select("shard", "slot").distinct().count() == 60_000
+    assert max(seen) <= 3 * 12 and len(seen) <= 12

@@ -3,7 +3,6 @@ import hashlib
 import itertools
 import re
 import zlib
-from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -432,81 +431,134 @@ def test_sketches_merge_and_estimate():
 
 
 # 10
-def test_lm_equals_loop(spark, docs, plain):
-    cfg = lm_score.LMConfig(rounds=1, words=20)
-    vocabulary, p = lm_score.fit(docs, cfg)
-    got = collections.defaultdict(list)
-    for r in lm_score.score(docs, vocabulary, p).collect():
-        got[r.doc_id].append((r.n_tokens, r.log_prob))
+def words_of(t):
+    return K.Words(*K.buffers(pa.array([t or ""]))).hashes().tolist()
+
+
+def network(model, ids):
+    """Log probabilities of one text's ids, word by word."""
+    p, side = model.parameters, model.vocabulary.side
     soft = lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum())
-    for i, t, _ in plain[:70]:
-        words = K.Words(*K.buffers(pa.array([t or ""])))
-        ids, total = vocabulary.ids(words.hashes()), 0.0
-        for k, w in enumerate(ids):
-            around = [ids[k + o] if 0 <= k + o < len(ids) else 0 for o in lm_score.OFFSETS]
-            h = np.tanh(p["bias"] + sum(p["embed"][j][a] for j, a in enumerate(around)))
-            kind, place = divmod(int(w), lm_score.SIDE)
-            total += soft(h @ p["class_w"] + p["class_b"])[kind] + soft((h + p["class_in"][kind]) @ p["place_w"] + p["place_b"][kind])[place]
-        assert any(n == len(ids) and abs(x - total) < 1e-3 * max(1, len(ids)) for n, x in got[i])
+    out = []
+    for k, w in enumerate(ids):
+        around = [ids[k + o] if 0 <= k + o < len(ids) else 0 for o in lm_score.OFFSETS]
+        h = np.tanh(p["bias"] + sum(p["embed"][j][a] for j, a in enumerate(around)))
+        kind, place = divmod(int(w), side)
+        out.append(float(soft(h @ p["class_w"] + p["class_b"])[kind] + soft((h + p["class_in"][kind]) @ p["place_w"] + p["place_b"][kind])[place]))
+    return out
+
+
+def context_of(h, k):
+    return int(lm_score._hashed(np.array([[h[k + o] if 0 <= k + o < len(h) else 0] for o in lm_score.OFFSETS], np.uint64))[0])
+
+
+@pytest.mark.parametrize("held,memory", [(0, 0), (10, 3), (1 << 16, 1)])
+def test_lm_equals_loop(spark, docs, plain, held, memory):
+    """Every document's score from counts, shares and contexts taken in Python; the corpus's own documents and others."""
+    cfg = lm_score.LMConfig(rounds=1, side=8, held=held, memory=memory)
+    texts = [t for _, t, _ in plain if t is None or len(t) < 5000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = lm_score.fit(rows, cfg)
+    v = model.vocabulary
+    count = collections.Counter(h for t in texts for h in words_of(t))
+    number = dict(zip(count, v.ids(np.array(list(count), np.uint64)).tolist()))
+    whole = collections.Counter()
+    for h, n in count.items():
+        whole[number[h]] += n
+    assert all(v.counts[i] == n for i, n in whole.items()) and set(v.sorted.tolist()) == {h for h, i in number.items() if i <= v.singles}
+    next_ = set(v.held.tolist())
+    seen = collections.Counter((context_of(h, k), h[k]) for h in map(words_of, texts) for k in range(len(h)))
+    total = collections.Counter()
+    for (c, _), n in seen.items():
+        total[c] += n
+
+    def expected(t, own):
+        h = words_of(t)
+        ids = v.ids(np.array(h, np.uint64)).tolist()
+        each, share, told = network(model, ids), [], []
+        for w, i in zip(h, ids):
+            less = np.log(whole[i] + 1) if i > v.singles else 0.0
+            share.append((np.log(max(1, count[w])) if i > v.singles else 0.0) - less)
+            told.append((np.log(count[w]) if w in next_ else 0.0) - less)
+        base, kept, mix = sum(each) + sum(share), 0, []
+        for k in range(len(h)):
+            c = context_of(h, k)
+            if memory and c % memory == 0:
+                kept += 1
+                others, same_ = total[c] - own, seen[c, h[k]] - own
+                if others > 0:
+                    mix.append(np.log((max(same_, 0) + np.exp(each[k] + told[k])) / (others + 1)))
+        return base * (1 - len(mix) / max(kept, 1)) + sum(mix) * len(h) / max(kept, 1)
+
+    for own, got, said in ((1, lm_score.score_documents(rows, cfg), texts), (0, lm_score.score(spark.createDataFrame([(0, "the zzqx zzqy of changed7"), (1, texts[3] + " zzqx"), (2, None), (3, texts[0])], "doc_id long, text string"), model), ["the zzqx zzqy of changed7", texts[3] + " zzqx", None, texts[0]])):
+        for r in got.collect():
+            want, n = expected(said[r.doc_id], own), len(words_of(said[r.doc_id]))
+            assert r.n_tokens == n and abs(r.log_prob - want) < 2e-4 * max(1, n) and r.log_prob <= 0
+            assert r.mean_log_prob == (r.log_prob / n if n else None)
 
 
 def test_lm_counts_and_learns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     n = lm_score.count_words(lm_score._plain(docs, "doc_id", "text")).agg(F.sum("n")).first()[0]
     assert n == docs.agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0]
-    mean = lambda rounds: lm_score.score_documents(docs, lm_score.LMConfig(rounds=rounds, mask=2)).agg(F.sum("log_prob") / F.sum("n_tokens")).first()[0]
+    mean = lambda rounds: lm_score.score_documents(docs, lm_score.LMConfig(rounds=rounds, memory=0)).agg(F.sum("log_prob") / F.sum("n_tokens")).first()[0]
     assert mean(2) > mean(0) + 0.02
 
 
-@pytest.mark.parametrize("change", [{}, {"rounds": 1}, {"rounds": 3}])
-def test_lm_trains_on_every_word(monkeypatch, change):
-    """Rounds run on one batch in this process; every word is a target, and of as many rounds as any other or one more."""
-    cfg, seen = lm_score.LMConfig(**change), collections.Counter()
-    texts = [" ".join(f"w{j}" for j in range(a, a + 90)) for a in range(0, 720, 90)]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
-    vocabulary = lm_score.Vocabulary(np.concatenate([K.Words(*K.buffers(pa.array([t]))).hashes() for t in texts]), cfg)
-
-    class Rows:
-        sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda v: SimpleNamespace(value=v)))
-
-        def mapInArrow(self, run, schema):
-            list(run(iter([batch])))
-            return SimpleNamespace(repartition=lambda *a: SimpleNamespace(mapInArrow=lambda *a: SimpleNamespace(collect=list)))
-
-    monkeypatch.setattr(lm_score, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
-    monkeypatch.setattr(lm_score.Trainer, "step", lambda self, around, ids: seen.update(ids.tolist()))
-    for turn in range(cfg.rounds):
-        lm_score._train_round(Rows(), vocabulary, lm_score.initial(np.ones(cfg.ids), cfg), turn, cfg)
-    assert len(seen) == 720 and max(seen.values()) - min(seen.values()) <= 1
-
-
-@pytest.mark.parametrize("held", [0, 10, 1 << 16])
-def test_lm_words_have_their_own_share(spark, docs, plain, held):
-    """Against counts taken in Python, wherever a word's count is looked up."""
-    cfg = lm_score.LMConfig(rounds=1, words=20, held=held)
-    vocabulary, p, shares = lm_score.fit_shares(docs, cfg)
-    hashed = lambda t: K.Words(*K.buffers(pa.array([t or ""]))).hashes()
-    n = collections.Counter(int(h) for _, t, _ in plain for h in hashed(t))
-    number = dict(zip(n, vocabulary.ids(np.array(list(n), np.uint64)).tolist()))
-    whole = collections.Counter()
-    for h, c in n.items():
-        whole[number[h]] += c
-    own = lambda h, i: 0.0 if i <= cfg.words else np.log(max(1, n[h]) / (whole[i] + 1))
-    odd = [(900, "the zzqx zzqy of changed7 deadbeef"), (900, "zzqx"), (None, "")]
-    rows = spark.createDataFrame([(i, t) for i, t, _ in plain] + odd, "doc_id long, text string").repartition(3)
-    want = collections.defaultdict(list)
-    for r in lm_score.score(rows.select(F.xxhash64("text", "doc_id").alias("doc_id"), "text"), vocabulary, p).collect():
-        want[r.doc_id].append(r)
-    texts = {r[0]: r[1] for r in rows.select(F.xxhash64("text", "doc_id"), "text").collect()}
-    got = lm_score.score_words(rows.select(F.xxhash64("text", "doc_id").alias("doc_id"), "text"), vocabulary, p, shares).collect()
-    assert len(got) == len(plain) + len(odd)
-    for r in got:
-        h = hashed(texts[r.doc_id])
-        more = sum(own(int(x), i) for x, i in zip(h, vocabulary.ids(h).tolist()))
-        assert r.n_tokens == len(h) and abs(r.log_prob - want[r.doc_id][0].log_prob - more) < 1e-6 * max(1, len(h))
-        assert r.mean_log_prob == (r.log_prob / len(h) if len(h) else None)
-    # a made-up word is less likely than the words it shares an id with
-    assert all(own(0, i) <= own(h, i) for h, i in number.items() if i > cfg.words)
+def test_lm_vocabulary_follows_the_corpus(spark):
+    table = lambda n: spark.range(n).select(F.col("id").alias("word"), F.lit(1).cast("long").alias("n"))
+    assert [lm_score.learn_words(table(n), lm_score.LMConfig(held=5)).side for n in (0, 100, 10_000, 160_000)] == [8, 8, 10, 20]
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    cfg = lm_score.LMConfig(span=1)  # several groups even here
+    got = [sorted(tuple(r) for r in lm_score.score_documents(docs.repartition(n), cfg).collect()) for n in (2, 7)]
+    assert got[0] == got[1]
+
+
+def test_lm_tells_twice_occurring_documents(spark):
+    """Documents of the same words and lengths: those that occur twice score above nine in ten of the others."""
+    rng = np.random.default_rng(31)
+    vocabulary = np.array([f"w{i}" for i in range(3000)])
+    share = 1 / np.arange(1, 3001)
+    text = lambda: " ".join(rng.choice(vocabulary, int(rng.integers(80, 160)), p=share / share.sum()))
+    once, twice = [text() for _ in range(300)], [text() for _ in range(30)]
+    rows = list(enumerate(once + twice + twice))
+    got = {r.doc_id: r.mean_log_prob for r in lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    cut = np.quantile([got[i] for i in range(300)], 0.9)
+    assert np.mean([got[i] > cut for i in range(300, 360)]) > 0.9
+
+
+def test_lm_trains_on_every_word(monkeypatch):
+    """Over the rounds every word is a target once, or as often as any other or one more."""
+    for change in ({}, {"rounds": 1}, {"rounds": 3}):
+        cfg, seen = lm_score.LMConfig(**change), collections.Counter()
+        bounds = np.array([0, 90, 90, 300, 720])
+        for turn in range(cfg.rounds):
+            seen.update(lm_score.masked(np.array([5, 6, 7, 8], np.uint64), bounds, turn, cfg).tolist())
+        assert len(seen) == 720 and max(seen.values()) - min(seen.values()) <= 1
+
+
+def test_lm_steps_follow_the_gradient():
+    """One step's change against finite differences of the loss: it goes down along every parameter that it moves."""
+    rng = np.random.default_rng(6)
+    cfg = lm_score.LMConfig(size=4, rate=1e-3)
+    p = lm_score.initial(rng.integers(1, 50, 64).astype(float), 8, cfg)
+    for k in ("class_w", "place_w", "class_in", "bias"):
+        p[k] += rng.normal(0, 0.3, p[k].shape).astype(np.float32)
+    ids, around = rng.integers(1, 64, 500).astype(np.int32), rng.integers(0, 64, (4, 500)).astype(np.int32)
+    loss = lambda q: -lm_score.log_probability({k: v.astype(np.float64) for k, v in q.items()}, around, ids).sum()
+    trainer = lm_score.Trainer(p, cfg)
+    trainer.step(around, ids)
+    for k in p:
+        moved = trainer.p[k] - p[k]
+        at = np.unravel_index(np.abs(moved).argmax(), moved.shape)
+        shifted = {n: v.astype(np.float64) for n, v in p.items()}
+        shifted[k] = shifted[k].copy()
+        shifted[k][at] += 1e-4
+        assert np.sign(loss(shifted) - loss(p)) == -np.sign(moved[at])
+    assert loss(trainer.p) < loss(p)
 
 
 def test_shard_files_hold_the_documents(spark, docs, tmp_path):

@@ -1,6 +1,6 @@
 """License scan: a positional index of rare licence words, with key phrases to verify.
 
-Templates are short licence passages.  Their words have inverse document
+Templates are licence notices and the paragraphs of whole licences.  Their words have inverse document
 frequencies taken over the whole corpus.  For every template that can stand in a
 file, by the words the file holds, its highest-IDF words are looked up; every
 posting of such a word in the template gives a relative position (place in the file
@@ -24,31 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillon.llm import kernels as K
+from quillon.llm.license_texts import NOTICES, TEXTS
 
 #: Fixed by the contract: phrase and label.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
 #: (label, passage, phrases that must stand in the aligned passage).
-TEMPLATES = (
-    ("mit", "released under the mit license", ("mit license",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("free of charge", "associated documentation files")),
-    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("permission notice",)),
-    ("apache", "licensed under the apache license version 2 0", ("apache license",)),
-    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at", ("in compliance with the license",)),
-    ("gpl", "this work is licensed under the gnu general public license version 3", ("general public license",)),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", ("free software",)),
-    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ("lesser general public license",)),
-    ("agpl", "licensed under the gnu affero general public license", ("affero general public license",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("source and binary forms",)),
-    ("bsd", "licensed under the bsd 3 clause license", ("bsd",)),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software",)),
-    ("proprietary", "all rights reserved unauthorized copying of this file via any medium is strictly prohibited", ("all rights reserved",)),
-)
+TEMPLATES = NOTICES + TEXTS
 
 
 @dataclass(frozen=True)
@@ -63,17 +45,17 @@ class LicenseConfig:
         return length - math.ceil(self.share * length - 1e-9) + self.agree
 
 
-def word_hash(*words: str) -> np.ndarray:
-    """Hashes of single words as the corpus's words are hashed."""
-    return np.concatenate([K.Words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]), K.ALNUM).hashes() for w in words])
+def hashes(text: str) -> list[int]:
+    """Hashes of a text's words, as the corpus's are."""
+    return K.Words(*K.buffers(pa.array([text])), table=K.ALNUM).hashes().tolist()
 
 
 class Index:
     """Vocabulary, positional postings and mandatory phrases of the templates."""
 
     def __init__(self, templates=TEMPLATES):
-        self.templates = [(label, [int(x) for x in word_hash(*text.split())], [[int(x) for x in word_hash(*p.split())] for p in phrases]) for label, text, phrases in templates]
-        self.base = [(label, word_hash(*phrase.split())) for phrase, label in BASE]
+        self.templates = [(label, hashes(text), [hashes(p) for p in phrases]) for label, text, phrases in templates]
+        self.base = [(label, np.array(hashes(phrase), np.uint64)) for phrase, label in BASE]
         self.vocabulary = np.unique(np.array([w for _, ws, _ in self.templates for w in ws], np.uint64))
         self.postings: dict[int, list[tuple[int, int]]] = {}
         for t, (_, ws, _) in enumerate(self.templates):

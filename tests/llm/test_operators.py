@@ -734,3 +734,61 @@ def test_cuts_are_found_with_a_fixed_number_of_probes(spark, monkeypatch):
     df = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
     assert sharding.shard(df, sharding.ShardConfig(shards=4, range_rows=500)).select("shard", "slot").distinct().count() == 60_000
     assert max(seen) <= 3 * 12 and len(seen) <= 12
+
+
+# 9, merged and compared in Spark
+def test_merged_prints_are_those_of_the_union(spark):
+    texts = {k: [f"part {k} {i} of words that {'go on ' * (i % 4)} number {i * k}" for i in range(40)] for k in range(5)}
+    rows = [(k, n, t) for k, parts in texts.items() for n, t in enumerate(parts)] + [(None, 0, "no key here at all today"), (7, 0, None)]
+    made = fingerprints.fingerprint(spark.createDataFrame(rows, "k long, doc_id long, text string").repartition(6).withColumn("doc_id", F.col("k")))
+    got = {r.doc_id: r for r in fingerprints.merge_by(made, "doc_id").collect()}
+    for k, parts in texts.items():
+        want = fingerprints.merge(*fingerprints.sketches(pa.array(parts)))
+        assert got[k].fingerprint == fingerprints.to_text(want) and got[k].n_parts == 40 and got[k].n_shingles == fingerprints.distinct(want)
+    assert len(got) == 7 and got[7].n_shingles == 0 and got[None].n_parts == 1
+    assert fingerprints.merge_by(made.limit(0), "doc_id").count() == 0
+
+
+def test_compared_prints(spark):
+    a, b = (" ".join(f"w{i}" for i in r) for r in (range(0, 60), range(30, 90)))
+    made = fingerprints.fingerprint(spark.createDataFrame([(1, a), (2, b), (3, None)], "doc_id long, text string"))
+    pairs = made.select(F.col("fingerprint").alias("x")).crossJoin(made.select(F.col("fingerprint").alias("y")))
+    got = [tuple(r.c) for r in pairs.select(fingerprints.compare("x", "y").alias("c")).collect()]
+    both, each = 26, 56
+    assert sorted(got) == sorted([(1.0, 1.0, 56.0, 56.0)] * 2 + [(both / (2 * each - both), pytest.approx(both / each), 56.0, 56.0)] * 2 + [(0.0, 0.0, 56.0, 0.0)] * 2 + [(0.0, 1.0, 0.0, 56.0)] * 2 + [(1.0, 1.0, 0.0, 0.0)])
+
+
+def test_edit_study_of_odd_ids(spark):
+    """Null ids come first, in the order of their texts' hashes as equal ids are."""
+    rows = [(None, "first without id"), (None, "second without id"), (4, "four a b c d e f"), (4, "four other"), (9, None), (2, "two two two two two two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = [(r.doc_id, r.text or "") for r in df.orderBy(F.asc_nulls_first("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
+    want = []
+    for (i, t), (_, f) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - half] + f[:half]).encode()).hexdigest()))
+    same([(r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.edit_study(df, ranges=3).collect()], want)
+
+
+# 6, whole licences
+def test_whole_licences_with_changes(spark):
+    """Each licence's paragraphs with a holder's name put in are labelled, most with one word in 25 changed too; prose is not."""
+    rng = np.random.default_rng(41)
+    rows, want = [], {}
+    for n, label in enumerate(sorted({label for label, _, _ in license_scan.TEXTS})):
+        words = " ".join(t for x, t, _ in license_scan.TEXTS if x == label).split()
+        words[len(words) // 6 : len(words) // 6] = ["Example", "Holder", "Incorporated"]
+        rows.append((n, "Copyright 2020 Someone\n" + " ".join(words) + "\nint main() {}"))
+        want[n] = label
+        changed = [f"word{i}" if rng.random() < 1 / 25 else w for i, w in enumerate(words)]
+        rows.append((100 + n, " ".join(changed)))
+    rows += [(1000 + i, prose_like(rng)) for i in range(50)]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert all(label in got[n].labels.split(",") for n, label in want.items())
+    assert sum(label in got[100 + n].labels.split(",") for n, label in want.items()) >= 0.7 * len(want)
+    assert all(got[i].labels == "" for i in got if i >= 1000)
+
+
+def prose_like(rng):
+    words = "the software is provided as a free copy of this public work to any person who may use it for all purpose without license or charge and permission".split()
+    return " ".join(rng.choice(words, 300))

@@ -14,8 +14,9 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quillon.llm import kernels as K
 
@@ -102,6 +103,37 @@ def fingerprint(df: DataFrame, cfg: SketchConfig = SketchConfig(), doc_id: str =
     return K.map_text(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), work, ddl)
 
 
+@F.pandas_udf(T.StringType())
+def _merged(prints: pd.Series) -> str:
+    return to_text(merge(*[from_text(x or "") for x in prints]))
+
+
+@F.pandas_udf(T.LongType())
+def _total(n: pd.Series) -> int:
+    return int(n.sum())
+
+
+def merge_by(prints: DataFrame, *keys: str, fingerprint: str = "fingerprint") -> DataFrame:
+    """``(keys..., n_parts, n_shingles, fingerprint)``: the sketch of the union of each key's parts.
+
+    Parts are merged within each task first, so a key of any number of parts comes
+    to one task as one sketch a task.  Null keys are one key; a null sketch is an empty
+    one; repeated parts change nothing but ``n_parts``; no rows give no rows.
+    """
+    parts = prints.select(*keys, F.col(fingerprint).alias("fingerprint"), F.lit(1).cast("long").alias("n_parts"), F.spark_partition_id().alias("__task"))
+    both = (_merged("fingerprint").alias("fingerprint"), _total("n_parts").alias("n_parts"))
+    whole = parts.groupBy(*keys, "__task").agg(*both).groupBy(*keys).agg(*both)
+    return whole.select(*keys, "n_parts", compare("fingerprint", "fingerprint")["distinct_x"].alias("n_shingles"), "fingerprint")
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("resemblance", "containment", "distinct_x", "distinct_y")]))
+def compare(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+    """Resemblance of two columns of fingerprints, how much of the first the second contains, and both distinct counts; null counts as empty."""
+    pairs = [(from_text(a or ""), from_text(b or "")) for a, b in zip(x, y)]
+    rows = [(resemblance(a, b), containment(a, b), distinct(a), distinct(b)) for a, b in pairs]
+    return pd.DataFrame(rows, columns=["resemblance", "containment", "distinct_x", "distinct_y"])
+
+
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 

@@ -15,16 +15,15 @@ def connected_components(edges: DataFrame, scratch: Scratch, src: str = "a", dst
     stars.  A vertex's neighbours are never gathered into a list, so a hub of
     any degree is safe: the minimum is combined before the shuffle, and the
     join with the hub's single minimum row can be split by the adaptive
-    planner.  Every round is written to the shared folder.
+    planner.  Every round is written to the shared folder and takes the place of the last.
 
     Nulls in either end drop the edge; self loops give a component of one;
     repeated edges count once; no edges give no rows.
     """
     both = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     loops = both.where("u = v").select(F.col("u").alias("id"))
-    current = scratch.keep(
-        both.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"edges-{_tag()}"
-    )
+    held = f"edges-{_tag()}"
+    current = scratch.keep(both.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), held)
     state = None
     for _ in range(max_rounds):
         # large star: every larger neighbour of u is tied to the smallest of u and its neighbours
@@ -35,7 +34,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, src: str = "a", dst
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(low, "u")
         small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        current = scratch.keep(small, f"edges-{_tag()}")
+        last, held = held, f"edges-{_tag()}"
+        current = scratch.keep(small, held)
+        scratch.drop(last)
         summary = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == (summary.n, summary.h):
             break

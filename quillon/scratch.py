@@ -1,4 +1,4 @@
-"""Intermediate tables that survive lost executors.
+"""Intermediate tables that survive lost executors, deleted when no longer needed and at the end of the driver.
 
 Long plans are cut by writing a table to the folder all executors share and
 reading it back.  The folder is the one the cluster names in
@@ -8,6 +8,7 @@ temporary folder of its own.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -31,11 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """A set of written tables under one folder, removed by :meth:`drop`."""
+    """A set of written tables under one folder: removed by :meth:`drop`, and what is left when the driver ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quillon/{label}-{uuid.uuid4().hex}"
+        self._paths = spark._jvm.org.apache.hadoop.fs.Path
+        self._conf = spark._jsc.hadoopConfiguration()
+        _open.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and return a scan of what was written."""
@@ -43,8 +47,20 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str | None = None) -> None:
-        """Delete one table, or all of them; frames that scan them must not be used afterwards."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        path = hadoop.Path(self.root if name is None else f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Delete the tables named, or all of them; frames that scan them must not be used afterwards."""
+        for name in names or ("",):
+            path = self._paths(f"{self.root}/{name}" if name else self.root)
+            path.getFileSystem(self._conf).delete(path, True)
+
+
+_open: list[Scratch] = []
+
+
+@atexit.register
+def _clean() -> None:
+    for scratch in _open:
+        try:
+            scratch.drop()
+        except Exception:  # noqa: BLE001  the JVM may be gone, and the tables then stay
+            return

@@ -187,7 +187,7 @@ def _draw(df: DataFrame, cfg: MixConfig, doc_id: str, text: str, source: str) ->
     """The columns of ``plan`` with the whole ``row``, its ``number``, and one row a copy with its ``cut`` text; a row that is not taken has a null copy."""
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
     made = plan(_sized(df, doc_id, text, source, whole), Scratch(df.sparkSession, "mix").keep(_sized(df, doc_id, text, source), "sized"), cfg)
-    copies = F.concat(F.array_repeat(F.col("size"), F.col("passes").cast("int")), F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>")))
+    copies = F.concat(F.array_repeat(F.col("size"), F.when(F.col("size") > 0, F.col("passes")).otherwise(0).cast("int")), F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>")))
     drawn = made.withColumn("number", F.monotonically_increasing_id()).select("*", F.posexplode_outer(copies).alias("copy", "words"))
     body = F.col(f"row.`{text}`")
     cut = F.when(F.col("words") >= F.col("size"), body).otherwise(F.array_join(F.slice(F.regexp_extract_all(body, F.lit(WORD), F.lit(0)), 1, F.col("words").cast("int")), " "))

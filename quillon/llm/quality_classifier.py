@@ -117,19 +117,20 @@ def _cut(weight: np.ndarray, is_good: np.ndarray, cfg: ResampleConfig) -> float:
 
 
 def log_weights(rows: DataFrame, ratio: np.ndarray, cfg: ResampleConfig = ResampleConfig()) -> DataFrame:
-    """``(doc_id, log_weight)`` of every row; a text without tokens has weight 0."""
+    """``(doc_id, mark, log_weight)`` of every row of (doc_id, text); mark is a hash of the text, and a text without tokens has weight 0."""
     shared = rows.sparkSession.sparkContext.broadcast(ratio)
-    schema = K.arrow_schema("doc_id long, log_weight double")
+    ddl = "doc_id long, mark long, log_weight double"
+    schema = K.arrow_schema(ddl)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         bucket, owner = _features(batch.column(1), cfg)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(owner, shared.value[bucket], minlength=batch.num_rows))], schema=schema)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.bincount(owner, shared.value[bucket], minlength=batch.num_rows))], schema=schema)
 
-    return K.map_text(rows, work, "doc_id long, log_weight double")
+    return K.map_text(rows.select("doc_id", "text", F.xxhash64("text").alias("mark")), work, ddl)
 
 
 def resample(documents: DataFrame, labels: DataFrame, k: int | None = None, cfg: ResampleConfig = ResampleConfig()) -> DataFrame:
-    """``(doc_id, log_weight, key, kept)`` of every row of ``documents``.
+    """``(doc_id, mark, log_weight, key, kept)`` of every row of ``documents``.
 
     k: how many texts the sample takes; by default as many as have a log weight
     above the cut found on the labelled rows.  Rows of equal key stand or fall

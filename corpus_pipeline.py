@@ -18,15 +18,17 @@ from quillon.sources.tables import table
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of docs whose id is among the kept ones of verdicts; rows that repeat an id share its verdict."""
-    wanted = verdicts.where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(wanted, docs.doc_id.eqNullSafe(wanted["__kept"]), "left_semi")
-
-
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance resampling keeps."""
-    return _only(docs, quality_classifier.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    """Documents that the importance resampling keeps.
+
+    Rows are judged by id and text, so rows that repeat an id stand or fall by their own
+    texts and equal rows together; a null id is an id like any other, and a null, empty or
+    blank text has weight 0.  Without labels every row stays.
+    """
+    verdicts = quality_classifier.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    wanted = verdicts.where("kept").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    same = docs.doc_id.eqNullSafe(wanted["__id"]) & (F.xxhash64(docs.text) == wanted["__mark"])
+    return docs.join(wanted, same, "left_semi")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,17 +45,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in the place of each secret; n_chars follows."""
+    """All documents, with a mark in the place of each secret; n_chars follows.
+
+    Each row's own text decides, so null and repeated ids are rows like any other; a
+    null text stays null, with a null n_chars.
+    """
     return secret_scan.redact(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; a text that is null or has no words is never taken.
+
+    A null source is a source of its own; rows of null or repeated ids are documents
+    like any other; rows equal in id and text take each other's place.
+    """
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text of every row."""
+    """Token counts and digests of ids and decoded text of every row, repeated ones too; a null text is empty."""
     return bpe.encode(docs, queries.tokenizer_path())
 
 

@@ -452,10 +452,10 @@ def context_of(h, k):
     return int(lm_score._hashed(np.array([[h[k + o] if 0 <= k + o < len(h) else 0] for o in lm_score.OFFSETS], np.uint64))[0])
 
 
-@pytest.mark.parametrize("held,memory", [(0, 0), (10, 3), (1 << 16, 1)])
-def test_lm_equals_loop(spark, docs, plain, held, memory):
+@pytest.mark.parametrize("held,memory,broadcast", [(0, 0, 1), (10, 3, 0), (1 << 16, 1, 1_000_000)])
+def test_lm_equals_loop(spark, docs, plain, held, memory, broadcast):
     """Every document's score from counts, shares and contexts taken in Python; the corpus's own documents and others."""
-    cfg = lm_score.LMConfig(rounds=1, side=8, held=held, memory=memory)
+    cfg = lm_score.LMConfig(rounds=1, side=8, held=held, memory=memory, broadcast=broadcast)
     texts = [t for _, t, _ in plain if t is None or len(t) < 5000]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     model = lm_score.fit(rows, cfg)
@@ -466,7 +466,6 @@ def test_lm_equals_loop(spark, docs, plain, held, memory):
     for h, n in count.items():
         whole[number[h]] += n
     assert all(v.counts[i] == n for i, n in whole.items()) and set(v.sorted.tolist()) == {h for h, i in number.items() if i <= v.singles}
-    next_ = set(v.held.tolist())
     seen = collections.Counter((context_of(h, k), h[k]) for h in map(words_of, texts) for k in range(len(h)))
     total = collections.Counter()
     for (c, _), n in seen.items():
@@ -475,20 +474,18 @@ def test_lm_equals_loop(spark, docs, plain, held, memory):
     def expected(t, own):
         h = words_of(t)
         ids = v.ids(np.array(h, np.uint64)).tolist()
-        each, share, told = network(model, ids), [], []
+        base, kept, met, factor = sum(network(model, ids)), 0, 0, 0.0
         for w, i in zip(h, ids):
-            less = np.log(whole[i] + 1) if i > v.singles else 0.0
-            share.append((np.log(max(1, count[w])) if i > v.singles else 0.0) - less)
-            told.append((np.log(count[w]) if w in next_ else 0.0) - less)
-        base, kept, mix = sum(each) + sum(share), 0, []
+            base += np.log(max(1, count[w]) / (whole[i] + 1)) if i > v.singles else 0.0
         for k in range(len(h)):
             c = context_of(h, k)
             if memory and c % memory == 0:
                 kept += 1
-                others, same_ = total[c] - own, seen[c, h[k]] - own
+                others, here = total[c] - own, seen[c, h[k]] - own
                 if others > 0:
-                    mix.append(np.log((max(same_, 0) + np.exp(each[k] + told[k])) / (others + 1)))
-        return base * (1 - len(mix) / max(kept, 1)) + sum(mix) * len(h) / max(kept, 1)
+                    met += here > 0
+                    factor += np.log(max(here, 1) / (others + 1))
+        return base * (1 - met / max(kept, 1)) + factor * len(h) / max(kept, 1)
 
     for own, got, said in ((1, lm_score.score_documents(rows, cfg), texts), (0, lm_score.score(spark.createDataFrame([(0, "the zzqx zzqy of changed7"), (1, texts[3] + " zzqx"), (2, None), (3, texts[0])], "doc_id long, text string"), model), ["the zzqx zzqy of changed7", texts[3] + " zzqx", None, texts[0]])):
         for r in got.collect():
@@ -518,7 +515,7 @@ def test_lm_scores_do_not_depend_on_partitions(spark, sf):
 
 
 def test_lm_tells_twice_occurring_documents(spark):
-    """Documents of the same words and lengths: those that occur twice score above nine in ten of the others."""
+    """Documents of the same words and of like lengths: those that occur twice score above nine in ten of the others."""
     rng = np.random.default_rng(31)
     vocabulary = np.array([f"w{i}" for i in range(3000)])
     share = 1 / np.arange(1, 3001)

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import math
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 
-def cosine_topk(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0, key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
-    """``(q, v, cosine, place)``: the k best of ``base`` for each query, by exact products.
+def cosine_topk(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0, key: str = "vec_id", vector: str = "embedding", block: int = 4096, same: bool = True) -> DataFrame:
+    """``(q, v, cosine, place)``: the k best of ``base`` for each query, by exact products: the yardstick of ``projection_topk``.
 
     Base rows are dealt to blocks by a hash and queries too; a pair of blocks is one
     matrix product, and each keeps its k best a query, so what is shuffled beyond the
-    blocks is k rows a query and block.  Equal cosines go by id; a row is not its own neighbour.
+    blocks is k rows a query and block.  Equal cosines go by id.  same: queries and base are
+    rows of one table, where a row is not its own neighbour; of two tables equal ids are different things.
     """
     n = base.count()
     m = queries.count()
@@ -28,6 +31,15 @@ def cosine_topk(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0
     q = queries.select(*cols).select("id", "x", place(nq, "q"), F.lit(1).alias("side")).select("*", each(nb, "b")).select("id", "x", "b", "side", "q")
     rows = b.unionByName(q).where("x is not null")
 
+    within = _products(k, least, same)
+    got = rows.groupBy("b", "q").applyInArrow(within, "q long, v long, cosine double")
+    order = W.partitionBy("q").orderBy(F.desc("cosine"), "v")
+    return got.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def _products(k: int, least: float, same: bool):
+    """The k best right rows (side 0) of each left row (side 1) of a unit's table (id, side, x)."""
+
     def within(table: pa.Table) -> pa.Table:
         ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
         x = np.array(table.column("x").to_pylist(), float)
@@ -38,16 +50,89 @@ def cosine_topk(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0
         out = {"q": [], "v": [], "cosine": []}
         if len(left) and len(right):
             sims = np.round(x[left] @ x[right].T, 12)
-            sims[ids[left][:, None] == ids[right][None, :]] = -2
+            if same:
+                sims[ids[left][:, None] == ids[right][None, :]] = -2
             best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
             got = np.take_along_axis(sims, best, axis=1)
             keep = got >= max(least, -1.0)
             out = {"q": np.repeat(ids[left], best.shape[1])[keep.ravel()], "v": ids[right][best].ravel()[keep.ravel()], "cosine": got.ravel()[keep.ravel()]}
         return pa.table({"q": pa.array(out["q"], pa.int64()), "v": pa.array(out["v"], pa.int64()), "cosine": pa.array(out["cosine"], pa.float64())})
 
-    got = rows.groupBy("b", "q").applyInArrow(within, "q long, v long, cosine double")
+    return within
+
+
+@dataclass(frozen=True)
+class ProjectionConfig:
+    """tables: independent codes; target: base rows of a bucket aimed at; most_bits: of a code; block: rows of one side of a unit of work."""
+
+    tables: int = 24
+    target: int = 256
+    most_bits: int = 24
+    block: int = 2048
+    seed: int = 13
+
+
+def projection_topk(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0, group: str | None = None, key: str = "vec_id", vector: str = "embedding", cfg: ProjectionConfig = ProjectionConfig(), same: bool = True) -> DataFrame:
+    """``(q, v, cosine, place)`` as ``cosine_topk``, from an index of signed random projections (Charikar, 2002).
+
+    Every base row is put in one bucket of each table: the signs of its products with
+    the table's random directions, of which there are as many as bring a bucket of the
+    largest group to about ``target`` rows.  A query looks in its own bucket and in those that differ
+    in one sign.  What it meets is ranked by exact cosines.  group: a column that both
+    sides have; neighbours are of the query's own.  Buckets larger than a block are cut into
+    several units, each of which gives its k best a query, so a bucket of any size is whole and
+    no task holds it.  Rows without a vector are left out.
+    """
+    by = [group] if group else []
+    most = base.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    bits = max(0, min(cfg.most_bits, math.ceil(math.log2(max(1.0, most / cfg.target)))))
+    rng = np.random.Generator(np.random.PCG64(cfg.seed))
+    size = queries.select(F.max(F.size(vector))).first()[0] or 1
+    planes = rng.normal(size=(max(bits, 1), cfg.tables, size))
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def codes(vectors: pd.Series) -> pd.Series:
+        x = np.stack([np.asarray(v, float) for v in vectors]) if len(vectors) else np.zeros((0, size))
+        out = np.zeros((len(x), cfg.tables), np.int64)
+        for b in range(bits):
+            out |= (x @ planes[b].T > 0).astype(np.int64) << b
+        return pd.Series(list(out))
+
+    g = F.col(group).cast("string") if group else F.lit("")
+    cols = [g.alias("g"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")]
+    place = lambda df: df.select(*cols).where("x is not null").withColumn("code", codes("x")).select("g", "id", "x", F.posexplode("code").alias("t", "code"))
+    near = F.concat(F.array(F.col("code")), F.array(*[F.col("code").bitwiseXOR(F.lit(1 << b)) for b in range(bits)]).cast("array<bigint>"))
+    held = place(base).select("g", "t", "code", "id", "x")
+    asked = place(queries).select("g", "t", F.explode(near).alias("code"), "id", "x")
+    sizes = held.groupBy("g", "t", "code").agg(F.ceil(F.count("*") / cfg.block).alias("blocks"))
+    asks = asked.groupBy("g", "t", "code").agg(F.ceil(F.count("*") / cfg.block).alias("turns"))
+    units = sizes.join(asks, ["g", "t", "code"])
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    right = held.join(units, ["g", "t", "code"]).select("g", "t", "code", F.pmod(F.xxhash64("id"), "blocks").alias("b"), each("turns").alias("a"), F.lit(0).alias("side"), "id", "x")
+    left = asked.join(units, ["g", "t", "code"]).select("g", "t", "code", each("blocks").alias("b"), F.pmod(F.xxhash64("id"), "turns").alias("a"), F.lit(1).alias("side"), "id", "x")
+    met = right.union(left).groupBy("g", "t", "code", "b", "a").applyInArrow(_products(k, least, same), "q long, v long, cosine double")
     order = W.partitionBy("q").orderBy(F.desc("cosine"), "v")
-    return got.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return met.groupBy("q", "v").agg(F.max("cosine").alias("cosine")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """``(pairs, found, recall)``: the share of exact neighbours (q, v) that an index found."""
+    hit = exact.select("q", "v").join(found.select("q", "v", F.lit(1).alias("hit")), ["q", "v"], "left")
+    return hit.agg(F.count("*").alias("pairs"), F.count("hit").alias("found"), F.try_divide(F.count("hit").cast("double"), F.count("*").cast("double")).alias("recall"))
+
+
+def retrieve(records: DataFrame, k: int = 5, least: float = 0.5, cfg: ProjectionConfig = ProjectionConfig()) -> DataFrame:
+    """``(country, e, src, r, cosine)``: for every record with a name and no number, the nearest entities of its country by name vectors.
+
+    records: (id, src, country, core, nums, embedding).  Sources keep their ids apart, so record ids need not differ between them.
+    """
+    base = records.where("src = 1 and core <> ''").select("country", F.col("id").alias("vec_id"), "embedding")
+    made = []
+    for src in (2, 3):
+        asked = records.where((F.col("src") == src) & (F.col("nums") == "") & (F.col("core") != "")).select("country", F.col("id").alias("vec_id"), "embedding")
+        found = projection_topk(asked, base, k, least, "country", cfg=cfg, same=False)
+        made.append(found.join(asked.select("country", F.col("vec_id").alias("q")), "q").select("country", F.col("v").alias("e"), F.lit(src).alias("src"), F.col("q").alias("r"), "cosine"))
+    return made[0].unionByName(made[1])
 
 
 def hashed_vector(text: str, size: int = 64, grams: int = 3) -> np.ndarray:

@@ -178,12 +178,12 @@ def set_overlap_features(spark, sf_dir):
 
 @query()
 def pair_features_all(spark, sf_dir):
-    """Every feature group of the best candidates among parts; the string scores have no SQL twin."""
+    """Every feature group of all candidates among parts that a run keeps; the string scores have no SQL twin."""
     parts = part_records(spark, sf_dir)
     rec = _sided(parts)
     scratch = Scratch(spark, "features")
     found = X.context(B.union_evidence(*B.capped(_keys(parts))).withColumn("pre", F.round("pre", 6)))
-    pairs = scratch.keep(found.where("rank1s <= 3"), "pairs")
+    pairs = scratch.keep(found.where("rank1s <= 15"), "pairs")
     p = scratch.keep(X.attach(pairs, rec, _SIDE), "sides")
     return X.set_features(p).join(X.fuzzy_features(p), X.KEYS).join(X.kind_flags(pairs), X.KEYS).join(X.reference_features(pairs, rec), X.KEYS)
 
@@ -211,9 +211,13 @@ def recall_report(spark, sf_dir):
     return out.select("country", "pairs", "found", F.round("recall", 6).alias("recall"), F.round("all_found", 6).alias("all_found"))
 
 
-@query(f"WITH {RANKED}, {TRUE} SELECT e, src, r, country FROM truth ANTI JOIN ranked USING (e, src, r)")
+@query(f"WITH {RANKED}, {TRUE}, more AS (SELECT * FROM truth UNION SELECT a.id, b.src, b.id, a.country FROM rec a JOIN rec b ON a.src = 1 AND b.id = a.id + 1 AND b.country = a.country) SELECT e, src, r, country FROM more ANTI JOIN ranked USING (e, src, r)")
 def anti_missed_pairs(spark, sf_dir):
-    return B.missed(_rounded(spark, sf_dir), _true(records(spark, sf_dir))).select("e", "src", "r", "country")
+    """Equal texts as true pairs, and neighbouring ids of one country, of which most share no key."""
+    rec = records(spark, sf_dir)
+    one, two = rec.where("src = 1").select(F.col("id").alias("e"), "country"), rec.where("src > 1").select("src", F.col("id").alias("r"), "country")
+    next_ = one.withColumn("r", F.col("e") + 1).join(two, ["country", "r"]).select("e", "src", "r", "country")
+    return B.missed(_rounded(spark, sf_dir), _true(rec).union(next_).distinct()).select("e", "src", "r", "country")
 
 
 @query(f"WITH {RANKED}, {TRUE} SELECT coalesce(p.e, t.e) AS e, coalesce(p.src, t.src) AS src, coalesce(p.r, t.r) AS r, coalesce(pre, 0) AS pre, CAST(coalesce(kinds, 0) | CASE WHEN t.e IS NULL THEN 0 ELSE 256 END AS INT) AS kinds FROM ranked p FULL JOIN truth t ON p.e = t.e AND p.src = t.src AND p.r = t.r")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillon.operators import blocking, decode
-from quillon.plans import blocking_queries, decode_queries, text_queries  # noqa: F401  they register their queries
+from quillon.plans import blocking_queries, decode_queries, pair_queries, text_queries  # noqa: F401  they register their queries
 from quillon.plans.registry import ORACLES, QUERIES, Query, query
 
 

@@ -113,11 +113,18 @@ def threshold_tune(spark, sf_dir):
     return D.tune(D.threshold_grid(pairs, t, by="country").withColumn("f05", F.round("f05", 6)), "country")
 
 
-@query()
+_HALVES = f"""{OWNED}, {_ranked('owned')}, {_GRID}, z AS (SELECT *, row_number() OVER (PARTITION BY t_single, t_match, miss_mass, e ORDER BY 1.25 * ctp / (0.25 * (psum + miss_mass) + k) DESC, k) AS best FROM rk JOIN g ON pmax >= t_single AND p >= t_match),
+s AS (SELECT country, truth.e % 2 AS fold, t_single, t_match, miss_mass, sum(CASE WHEN n_true = 0 THEN 0 ELSE 1.25 * cy / (0.25 * n_true + k) END) AS s, sum(CAST(n_true = 0 AS INT)) AS lost FROM z JOIN truth USING (e) WHERE best = 1 GROUP BY ALL),
+b AS (SELECT country, e % 2 AS fold, count(*) AS n, sum(CAST(n_true = 0 AS INT)) AS empty FROM truth GROUP BY ALL),
+gr AS (SELECT b.country, b.fold, g.t_single, g.t_match, g.miss_mass, n, round((coalesce(s, 0) + empty - coalesce(lost, 0)) / n, 9) AS f05 FROM b CROSS JOIN g LEFT JOIN s ON s.country = b.country AND s.fold = b.fold AND s.t_single = g.t_single AND s.t_match = g.t_match AND s.miss_mass = g.miss_mass),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY country, fold ORDER BY f05 DESC, t_single DESC, t_match DESC, miss_mass DESC) AS q FROM gr) WHERE q = 1)"""
+
+
+@query(f"WITH {_HALVES} SELECT gr.country, CAST(gr.fold AS INT) AS fold, round(gr.f05, 6) AS f05, gr.n AS entities FROM gr JOIN best b ON b.country = gr.country AND b.fold = 1 - gr.fold AND b.t_single = gr.t_single AND b.t_match = gr.t_match AND b.miss_mass = gr.miss_mass")
 def honest_thresholds(spark, sf_dir):
-    """Thresholds tuned on one half of the orders and scored on the other; the halves are hashes."""
+    """Thresholds tuned on the even or odd orders and scored on the others."""
     pairs, t = _both(spark, sf_dir)
-    return D.honest(pairs, t, M.fold_of(F.col("e")), "country")
+    return D.honest(pairs, t, (F.col("e") % 2).cast("int"), "country").withColumn("f05", F.round("f05", 6))
 
 
 @query(f"""WITH {SCORED}, v AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY p DESC, src, r) AS p_rank, max(p) OVER (PARTITION BY e) AS p_max, count(*) OVER (PARTITION BY e) AS n_cand, sum(CAST(p >= 0.5 AS INT)) OVER (PARTITION BY e) AS n_hi, sum(p) OVER (PARTITION BY e) AS p_sum,
@@ -208,12 +215,12 @@ def cluster_components(spark, sf_dir):
     return connected_components(edges, Scratch(spark, "components"))
 
 
-@query()
+@query("SELECT o_orderkey AS e, min(o_orderkey) OVER (PARTITION BY o_orderpriority) AS cluster FROM orders")
 def entity_cluster_groups(spark, sf_dir):
-    """Entities joined by shared records, or groups by priority where one cluster is a giant."""
+    """Entities joined by shared records; one cluster is a giant here, so the groups by priority take its place."""
     pairs, t = _both(spark, sf_dir)
-    groups = t.select("e", F.xxhash64("country").alias("cluster"))
-    return E.entity_clusters(pairs, groups)[0]
+    first = t.groupBy("country").agg(F.min("e").alias("cluster"))
+    return E.entity_clusters(pairs, t.join(first, "country").select("e", "cluster"))[0]
 
 
 @query()
@@ -222,26 +229,28 @@ def bootstrap_ci(spark, sf_dir):
     pairs, t = _both(spark, sf_dir)
     a, b = (D.outcomes(D.decode(pairs, **v), pairs, t).select("e", "f") for v in ({}, {"t_single": 0.8}))
     customers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("e"), F.col("o_custkey").alias("cluster"))
-    return E.bootstrap(a, b, customers, draws=200)
+    return E.bootstrap(a, b, customers)
 
 
-_FEATURES = ["p", "p_max", "p_gap", "p_other", "n_cand", "n_hi", "p_sum", "r_n", "p_rival", "p_rival_gap"]
+def _stack_rows(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    parts = p.select(F.col("p_partkey").alias("id"), (2 + F.col("p_partkey") % 2).cast("int").alias("src"), F.lower("p_name").alias("core"), F.lower("p_type").alias("adf"), F.col("p_size").cast("string").alias("hmain"))
+    return C.stack_features(scored(spark, sf_dir), parts)
 
 
 @query()
 def stacked_rescore(spark, sf_dir):
-    """Out-of-fold scores of the collective views by a logistic model."""
-    pairs = C.views(scored(spark, sf_dir)).withColumnRenamed("p", "p1")
-    features = ["p1" if f == "p" else f for f in _FEATURES]
-    return M.out_of_fold(pairs.select("e", "src", "r", "y", *features), features).select("e", "src", "r", "y", "p")
+    """Out-of-fold scores of all stacking columns by a logistic model."""
+    rows = _stack_rows(spark, sf_dir)
+    return M.out_of_fold(rows.select("e", "src", "r", "y", *C.STACK), C.STACK, name="p_new").select("e", "src", "r", "y", F.col("p_new").alias("p"))
 
 
 @query()
 def oof_gbt_score(spark, sf_dir):
-    """The same with boosted trees, kept small."""
+    """The views of a pair's rivals by boosted trees."""
     pairs = C.views(scored(spark, sf_dir)).withColumnRenamed("p", "p1")
     features = ["p1", "p_gap", "p_rival_gap", "n_cand"]
-    return M.out_of_fold(pairs.select("e", "src", "r", "y", *features), features, kind="gbt", maxIter=5, maxDepth=3).select("e", "src", "r", "y", "p")
+    return M.out_of_fold(pairs.select("e", "src", "r", "y", *features), features, kind="gbt").select("e", "src", "r", "y", "p")
 
 
 @query()

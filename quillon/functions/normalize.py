@@ -112,14 +112,13 @@ def with_name(df: DataFrame, column: str, words: Column | None = None) -> DataFr
     raw = F.coalesce(F.col(column), F.lit(""))
     web = r"\bwww\.|\.(?:" + "|".join(rules.WEB_TLDS) + r")\b"
     out = df.withColumn("script", raw.rlike(INDIC).cast("tinyint")).withColumn("__s", fold(translate_name(raw, words)))
-    s = F.regexp_replace(F.regexp_replace(F.col("__s"), r"\|.*$", " "), r"\[[^\]]*\]|\(\s*id\s*:?\s*\d+\s*\)", " ")
+    s = F.regexp_replace(F.regexp_replace(F.col("__s"), rules.AFTER_BAR, " "), rules.BRACKETED, " ")
     out = out.withColumn("__s", s).withColumn("web", F.col("__s").rlike(web).cast("tinyint"))
-    s = F.regexp_replace(F.regexp_replace(F.col("__s"), web, " "), r"\bm\s*/\s*s\b", " ")
+    s = F.regexp_replace(F.regexp_replace(F.col("__s"), web, " "), rules.MESSRS, " ")
     for pattern, glued in rules.LEGAL_PATTERNS:
         s = F.regexp_replace(s, pattern, glued)
-    words_ = F.filter(F.split(F.regexp_replace(F.regexp_replace(s, "&", " and "), "[^a-z0-9]+", " "), " "), lambda t: (t != "") & ~t.rlike("^[0-9]{4,}$"))
-    leet = r"^(?:[013458][a-z]{2,}|[a-z]{2,}[013458]|[a-z]+[013458][a-z]+)$"
-    letters = F.transform(words_, lambda t: F.when(t.rlike(leet) & ~t.rlike(r"^\d+(?:st|nd|rd|th)$"), F.translate(t, *rules.LEET)).otherwise(t))
+    words_ = F.filter(F.split(F.regexp_replace(F.regexp_replace(s, "&", " and "), "[^a-z0-9]+", " "), " "), lambda t: (t != "") & ~t.rlike(rules.LONG_NUMBER))
+    letters = F.transform(words_, lambda t: F.when(t.rlike(rules.LEET_WORD) & ~t.rlike(rules.ORDINAL), F.translate(t, *rules.LEET)).otherwise(t))
     out = out.withColumn("__t", _once_in_a_row(letters))
     legal, noise = _map(rules.LEGAL), F.array(*[F.lit(x) for x in rules.NAME_NOISE])
     forms = F.array_sort(F.array_distinct(F.filter(F.transform("__t", lambda t: F.try_element_at(legal, t)), lambda t: t.isNotNull())))
@@ -134,7 +133,7 @@ def with_address(df: DataFrame, column: str, segments: Column | None = None, wor
     """Adds ad (words), adf (words and numbers), nums, hn (first number's groups), hmain (its first longest group)."""
     raw = F.regexp_replace(F.coalesce(F.col(column), F.lit("")), ZERO_WIDTH, "")
     s = fold(translate_address(raw, segments, words) if segments is not None else translate_name(raw, words))
-    s = F.regexp_replace(s, r"\bn\s*[°º]", " ")
+    s = F.regexp_replace(s, rules.NUMBER_SIGN, " ")
     for phrase in sorted((k for k in rules.STATES if " " in k), key=len, reverse=True):
         s = F.regexp_replace(s, rf"\b{phrase}\b", rules.STATES[phrase])
     out = df.withColumn("__a", F.regexp_extract_all(s, F.lit(r"[a-z0-9]+(?:[/-][a-z0-9]+)*"), F.lit(0)))
@@ -159,12 +158,20 @@ def number(d: Column) -> Column:
 
 
 def with_units(df: DataFrame, column: str) -> DataFrame:
-    """Adds units (distinct unit numbers, as an array) and hsuf (the house number's suffix letter or '')."""
-    s = fold(F.col(column))
-    head = r"(?:" + "|".join(rules.UNIT_WORDS) + r")\b\.?\s*(?:no\b\.?)?\s*[:#.\-]?\s*"
-    units = F.regexp_extract_all(s, F.lit(head + r"[a-z]{0,2}-?\d+[a-z]?\b|\b[a-z]{1,2}-\d+\b"), F.lit(0))
-    bare = lambda u: F.regexp_replace(F.regexp_replace(F.regexp_replace(u, "^" + head, ""), "-", ""), r"^([a-z]*)0+(\d)", "$1$2")
-    suffix = r"(\d+)(?:([a-z])\b)?(?:\s+(bis|ter|quater|[a-d])\b)?"
-    part = lambda g: F.nullif(F.regexp_extract(s, suffix, g), F.lit(""))
-    found = F.coalesce(part(2), part(3))
-    return df.withColumn("units", F.array_distinct(F.transform(units, bare))).withColumn("hsuf", F.coalesce(F.try_element_at(_map(rules.SUFFIXES), found), found, F.lit("")))
+    """Adds units (distinct unit numbers, as an array) and hsuf (the house number's suffix letter or '').
+
+    A unit number stands after a unit word, which ``no`` may follow, or is letters and a
+    number joined by a dash.  The house number is the first number; its suffix is a letter on it or the next word.
+    """
+    rows = df.withColumn("__w", F.regexp_extract_all(fold(F.col(column)), F.lit("[a-z0-9]+(?:-[a-z0-9]+)*"), F.lit(0)))
+    heads, suffixes = F.array(*[F.lit(x) for x in rules.UNIT_WORDS]), _map(rules.SUFFIXES)
+    before = lambda i: F.when((i > 1) & (F.get("__w", i - 1) == "no"), F.get("__w", i - 2)).when(i > 0, F.get("__w", i - 1)).otherwise("")
+    is_unit = lambda t, i: (t.rlike(rules.UNIT_NUMBER) & F.array_contains(heads, before(i))) | t.rlike(rules.DASHED_NUMBER)
+    bare = lambda t: F.regexp_replace(F.replace(t, F.lit("-"), F.lit("")), "^([a-z]*)0+([0-9])", "$1$2")
+    house = F.array_position(F.transform("__w", lambda t: t.rlike("^[0-9]+[a-z]?$")), F.lit(True))
+    after = F.get("__w", house.cast("int"))
+    letter = F.when(house > 0, F.regexp_extract(F.get("__w", house.cast("int") - 1), "[a-z]?$", 0))
+    word = F.when((house > 0) & after.rlike("^[a-d]$"), after).when(house > 0, F.try_element_at(suffixes, after))
+    found = F.coalesce(F.nullif(letter, F.lit("")), word, F.lit(""))
+    units = F.array_distinct(F.transform(F.filter("__w", is_unit), bare))
+    return rows.withColumn("units", units).withColumn("hsuf", found).drop("__w")

@@ -69,6 +69,19 @@ STATES = {
 UNIT_WORDS = ("shop", "shp", "unit", "suite", "ste", "apt", "flat", "office", "off", "room", "rm", "gala", "stall", "bat", "batiment")
 SUFFIXES = {"bis": "b", "ter": "c", "quater": "d"}
 
+#: A number after a unit word, and one that needs none.
+UNIT_NUMBER = r"^[a-z]{0,2}-?[0-9]+[a-z]?$"
+DASHED_NUMBER = r"^[a-z]{1,2}-[0-9]+$"
+
+#: What is cut from names and addresses, and the words that digits may stand for letters in: fixed patterns.
+AFTER_BAR = r"\|.*$"
+BRACKETED = r"\[[^\]]*\]|\(\s*id\s*:?\s*\d+\s*\)"
+MESSRS = r"\bm\s*/\s*s\b"
+LONG_NUMBER = r"^[0-9]{4,}$"
+ORDINAL = r"^\d+(?:st|nd|rd|th)$"
+NUMBER_SIGN = r"\bn\s*[°º]"
+LEET_WORD = r"^(?:[013458][a-z]{2,}|[a-z]{2,}[013458]|[a-z]+[013458][a-z]+)$"
+
 #: Largest block of each key kind on the records' side, and its bit in a pair's set of kinds.
 CAPS = {"nw": 200, "np": 200, "nt": 30, "cc": 50, "ap": 200, "nn": 200, "hw": 200, "nr": 300, "ca": 200}
 KIND_BITS = {"nw": 1, "np": 2, "nt": 4, "cc": 8, "ap": 16, "nn": 32, "hw": 64, "nr": 128, "em": 256, "ca": 512}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quillon.functions import rules
@@ -131,22 +133,29 @@ def bucket(n: Column) -> Column:
     return F.when(n.isNull(), None).when(n <= 2, n).when(n <= 5, 3).otherwise(4).cast("tinyint")
 
 
+def _counted(rows: DataFrame, by: list[str], where: Column, name: str, of: Column | None = None) -> DataFrame:
+    """Adds the bucketed count of the rows of each row's group (or the sum of ``of`` over them), null where the condition fails.
+
+    The groups are counted before the shuffle and met in a join, so no task holds all rows of one name.
+    """
+    n = rows.where(where).groupBy(*by).agg((F.count("*") if of is None else F.sum(of)).alias("__n"))
+    n = n.select(*[F.col(c).alias(f"__{c}") for c in by], "__n")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    return rows.join(n, same, "left").withColumn(name, bucket(F.when(where, F.col("__n")))).drop("__n", *[f"__{c}" for c in by])
+
+
 def entity_counts(entities: DataFrame) -> DataFrame:
     """Adds bucketed counts of entities with the same name, building (hmain and rarest word ``ra``) and both; needs country, core, hmain, ra."""
     named, built = F.col("core") != "", (F.col("hmain") != "") & F.col("ra").isNotNull()
-    n = lambda *by: F.count("*").over(W.partitionBy("country", *by))
-    return entities.withColumns({
-        "a_s1_name": bucket(F.when(named, n("core"))), "a_s1_bldg": bucket(F.when(built, n("hmain", "ra"))),
-        "a_s1_name_bldg": bucket(F.when(named & built, n("core", "hmain", "ra"))),
-    })
+    out = _counted(entities, ["country", "core"], named, "a_s1_name")
+    out = _counted(out, ["country", "hmain", "ra"], built, "a_s1_bldg")
+    return _counted(out, ["country", "core", "hmain", "ra"], named & built, "a_s1_name_bldg")
 
 
 def record_counts(records: DataFrame) -> DataFrame:
     """Adds bucketed counts of records with the same name, and of those without an address."""
-    same = W.partitionBy("country", "core")
-    bare = F.sum(((F.col("ad") == "") & (F.col("nums") == "")).cast("int")).over(same)
-    named = F.col("core") != ""
-    return records.withColumns({"a_rec_name": bucket(F.when(named, F.count("*").over(same))), "a_rec_name_noaddr": bucket(F.when(named, bare))})
+    named, bare = F.col("core") != "", ((F.col("ad") == "") & (F.col("nums") == "")).cast("int")
+    return _counted(_counted(records, ["country", "core"], named, "a_rec_name"), ["country", "core"], named, "a_rec_name_noaddr", bare)
 
 
 def equality_flags(p: DataFrame) -> DataFrame:

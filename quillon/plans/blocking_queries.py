@@ -49,8 +49,14 @@ def _keys(rec):
     return B.keys(rec, scratch=Scratch(rec.sparkSession, "blocks"))
 
 
-def _rounded(spark, sf_dir):
-    return B.union_evidence(*B.capped(_keys(records(spark, sf_dir)))).withColumn("pre", F.round("pre", 6))
+def _written(spark, sf_dir):
+    """The records, parsed once for all branches of a query."""
+    return Scratch(spark, "records").keep(records(spark, sf_dir), "records")
+
+
+def _rounded(spark, sf_dir, rec=None):
+    rec = records(spark, sf_dir) if rec is None else rec
+    return B.union_evidence(*B.capped(_keys(rec))).withColumn("pre", F.round("pre", 6))
 
 
 def _true(rec):
@@ -152,8 +158,8 @@ _TOP = f"{RANKED}, top AS (SELECT e, src, r FROM (SELECT *, row_number() OVER (P
 _SETS = "sets AS (SELECT id, src, country, core, ad, nums, list_distinct(list_filter(string_split(core, ' '), lambda x: x <> '')) AS ct, list_distinct(list_filter(string_split(ad, ' '), lambda x: x <> '')) AS at, list_distinct(list_filter(string_split(nums, ' '), lambda x: x <> '')) AS nt FROM rec)"
 
 
-def _top_pairs(spark, sf_dir):
-    return B.top_forward(_rounded(spark, sf_dir), "pre", 15).select("e", "src", "r")
+def _top_pairs(spark, sf_dir, rec=None):
+    return B.top_forward(_rounded(spark, sf_dir, rec), "pre", 15).select("e", "src", "r")
 
 
 def _sided(rec):
@@ -172,7 +178,8 @@ SELECT e, src, r, CAST(len(list_intersect(c1, c2)) AS INT) AS c_inter, CAST(len(
  CAST(len(list_intersect(a1, a2)) AS INT) AS a_inter, CAST(len(list_intersect(n1, n2)) AS INT) AS n_inter,
  round(len(list_intersect(c1, c2)) / greatest(len(c1) + len(c2) - len(list_intersect(c1, c2)), 1), 6) AS c_jac, round(len(list_intersect(a1, a2)) / greatest(len(a1) + len(a2) - len(list_intersect(a1, a2)), 1), 6) AS a_jac FROM j""")
 def set_overlap_features(spark, sf_dir):
-    out = X.set_features(X.attach(_top_pairs(spark, sf_dir), _sided(records(spark, sf_dir)), _SIDE))
+    rec = _written(spark, sf_dir)
+    out = X.set_features(X.attach(_top_pairs(spark, sf_dir, rec), _sided(rec), _SIDE))
     return out.select("e", "src", "r", "c_inter", "c_union", "c_only1", "c_only2", "a_inter", "n_inter", F.round("c_jac", 6).alias("c_jac"), F.round("a_jac", 6).alias("a_jac"))
 
 
@@ -198,9 +205,10 @@ SELECT e, src, r, CASE WHEN sa IS NOT NULL AND sb IS NOT NULL THEN round(coalesc
  CASE WHEN sa IS NOT NULL AND sb IS NOT NULL THEN round(coalesce(miss, 0), 6) END AS idf_name_miss
 FROM top LEFT JOIN sa USING (e, src, r) LEFT JOIN sb USING (e, src, r) LEFT JOIN sh USING (e, src, r) LEFT JOIN odd USING (e, src, r)""")
 def idf_overlap_features(spark, sf_dir):
-    rec = records(spark, sf_dir).withColumn("ct", T.tokens(F.col("core")))
+    plain = _written(spark, sf_dir)
+    rec = plain.withColumn("ct", T.tokens(F.col("core")))
     rec = X.idf_lookup(rec, ["id", "src"], "ct", ["country"], T.idf(rec, "ct", ["country"]), "weights")
-    out = X.idf_features(X.attach(_top_pairs(spark, sf_dir), rec, ["weights"]), "weights", "idf_name", miss=True)
+    out = X.idf_features(X.attach(_top_pairs(spark, sf_dir, plain), rec, ["weights"]), "weights", "idf_name", miss=True)
     return out.select("e", "src", "r", *[F.round(c, 6).alias(c) for c in out.columns if c.startswith("idf")])
 
 

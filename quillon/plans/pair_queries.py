@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import rules
 from quillon.operators import blocking as B, collective as C, decode as D, evaluate as E, features as X, models as M, ranking as R, tokens as T, vectors
-from quillon.plans.blocking_queries import _SETS, _SIDE, _TOP, RANKED, TRUE, _rounded, _sided, _top_pairs, _true
+from quillon.plans.blocking_queries import _SETS, _SIDE, _TOP, RANKED, TRUE, _rounded, _sided, _top_pairs, _true, _written
 from quillon.plans.registry import query, table
 from quillon.plans.text_queries import _COS
 from quillon.plans.universe import SCORED, part_records, records, scored, truth
@@ -59,7 +59,8 @@ def metablock_ranked(spark, sf_dir):
 @query(f"WITH {_TOP}, {_HMAIN} SELECT e, p.src, r, CAST(a.hmain = b.hmain AND a.hmain <> '' AS TINYINT) AS hmain_eq, CAST(len(list_intersect(a.nt, b.nt)) AS INT) AS n_inter FROM top p JOIN hm a ON a.id = e AND a.src = 1 JOIN hm b ON b.id = r AND b.src = p.src")
 def cheap_similarities(spark, sf_dir):
     """The two cheap similarities that SQL can express; the two token-set ratios are held against loops in the tests."""
-    return R.cheap(_top_pairs(spark, sf_dir), _sided(records(spark, sf_dir))).select("e", "src", "r", "hmain_eq", "n_inter")
+    rec = _written(spark, sf_dir)
+    return R.cheap(_top_pairs(spark, sf_dir, rec), _sided(rec)).select("e", "src", "r", "hmain_eq", "n_inter")
 
 
 @query(f"WITH {RANKED} SELECT e, src, r, " + ", ".join(f"CAST((kinds & {b}) > 0 AS TINYINT) AS k_{k}" for k, b in rules.KIND_BITS.items()) + " FROM ranked")
@@ -102,7 +103,8 @@ _ALL_SETS = {
 @query(f"WITH {_TOP}, {_SETS}, {_HMAIN}, {_RARE} SELECT e, p.src, r, " + ", ".join(f"{v} AS {k}" for k, v in _ALL_SETS.items()) + " FROM top p JOIN full_ a ON a.id = e AND a.src = 1 JOIN full_ b ON b.id = r AND b.src = p.src")
 def set_flag_features(spark, sf_dir):
     """The set and flag columns that ``set_overlap_features`` leaves out."""
-    out = X.set_features(X.attach(_top_pairs(spark, sf_dir), _sided(records(spark, sf_dir)), _SIDE))
+    rec = _written(spark, sf_dir)
+    out = X.set_features(X.attach(_top_pairs(spark, sf_dir, rec), _sided(rec), _SIDE))
     rounded = {"hdiff", "rc_df1", "rc_df2", "ra_df1", "ra_df2", "n_jac"}
     return out.select("e", "src", "r", *[F.round(c, 6).alias(c) if c in rounded else F.col(c) for c in _ALL_SETS])
 
@@ -117,10 +119,11 @@ SELECT e, src, r, CAST(len(n1) AS INT) AS u_n1, CAST(len(n2) AS INT) AS u_n2, CA
  CAST(list_has_any(x1, a2) AS TINYINT) AS x1_in_a2, CAST(list_has_any(x2, a1) AS TINYINT) AS x2_in_a1 FROM j LEFT JOIN d1 USING (e, src, r) LEFT JOIN d2 USING (e, src, r)""")
 def lookalike_signals(spark, sf_dir):
     """Look-alike signals, with the numbers as units and the last digit of long numbers as house suffix."""
-    rec = _sided(records(spark, sf_dir)).withColumn("units", F.col("nt")).withColumn("hsuf", F.when(F.length("hmain") > 2, F.right("hmain", F.lit(1))).otherwise(""))
+    plain = _written(spark, sf_dir)
+    rec = _sided(plain).withColumn("units", F.col("nt")).withColumn("hsuf", F.when(F.length("hmain") > 2, F.right("hmain", F.lit(1))).otherwise(""))
     df = T.document_frequency(rec, "ct").select("t", F.log1p("df").alias("idf"))
     rec = X.idf_lookup(rec, ["id", "src"], "ct", [], df, "ctdf")
-    out = X.lookalike_features(X.attach(_top_pairs(spark, sf_dir), rec, ["units", "hsuf", "hmain", "ct", "at", "ctdf"]))
+    out = X.lookalike_features(X.attach(_top_pairs(spark, sf_dir, plain), rec, ["units", "hsuf", "hmain", "ct", "at", "ctdf"]))
     fixed = {"h_lev": F.col("h_lev").cast("int"), "x1_df": F.round("x1_df", 6), "x2_df": F.round("x2_df", 6)}
     return out.withColumns(fixed)
 
@@ -131,9 +134,10 @@ sa AS (SELECT e, src, r, sum(idf) AS sa FROM x JOIN i USING (country, t) GROUP B
 SELECT e, src, r, CASE WHEN sa IS NOT NULL AND sb IS NOT NULL THEN round(coalesce(sh, 0) / greatest(sa + sb - coalesce(sh, 0), 1e-6), 6) END AS idf_addr_jac, CASE WHEN sa IS NOT NULL AND sb IS NOT NULL THEN round(coalesce(sh, 0) / greatest(sa, 1e-6), 6) END AS idf_addr_cov1,
  CASE WHEN sa IS NOT NULL AND sb IS NOT NULL THEN round(coalesce(sh, 0) / greatest(sb, 1e-6), 6) END AS idf_addr_cov2 FROM top LEFT JOIN sa USING (e, src, r) LEFT JOIN sb USING (e, src, r) LEFT JOIN sh USING (e, src, r)""")
 def idf_address_features(spark, sf_dir):
-    rec = records(spark, sf_dir).withColumn("at", T.tokens(F.col("ad")))
+    plain = _written(spark, sf_dir)
+    rec = plain.withColumn("at", T.tokens(F.col("ad")))
     rec = X.idf_lookup(rec, ["id", "src"], "at", ["country"], T.idf(rec, "at", ["country"]), "weights")
-    out = X.idf_features(X.attach(_top_pairs(spark, sf_dir), rec, ["weights"]), "weights", "idf_addr")
+    out = X.idf_features(X.attach(_top_pairs(spark, sf_dir, plain), rec, ["weights"]), "weights", "idf_addr")
     return out.select("e", "src", "r", *[F.round(c, 6).alias(c) for c in out.columns if c.startswith("idf")])
 
 

@@ -116,12 +116,12 @@ def brand_numbers(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", N.number(F.regexp_extract(F.lower("p_brand"), "[0-9]+", 0)).alias("num"))
 
 
-_HEAD = r"(?:" + "|".join(rules.UNIT_WORDS) + r")\b\.?\s*(?:no\b\.?)?\s*[:#.\-]?\s*"
-_SUFFIX = r"(\d+)(?:([a-z])\b)?(?:\s+(bis|ter|quater|[a-d])\b)?"
-_UNIT_SQL = rf"""WITH a AS (SELECT doc_id, strip_accents(lower(text)) AS s FROM documents),
-b AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(s, '{_HEAD}[a-z]{{0,2}}-?\d+[a-z]?\b|\b[a-z]{{1,2}}-\d+\b'), lambda u: regexp_replace(replace(regexp_replace(u, '^{_HEAD}', ''), '-', ''), '^([a-z]*)0+([0-9])', '\1\2'))) AS u,
- coalesce(nullif(regexp_extract(s, '{_SUFFIX}', 2), ''), nullif(regexp_extract(s, '{_SUFFIX}', 3), '')) AS f FROM a)
-SELECT doc_id, array_to_string(list_sort(u), ' ') AS units, coalesce({_lookup(rules.SUFFIXES, "f")}, f, '') AS hsuf FROM b"""
+_HEADS = ", ".join(f"'{x}'" for x in rules.UNIT_WORDS)
+_UNIT_SQL = rf"""WITH a AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+(?:-[a-z0-9]+)*') AS w FROM documents),
+b AS (SELECT doc_id, w, list_filter(w, lambda t, i: (regexp_matches(t, '{rules.UNIT_NUMBER}') AND coalesce(CASE WHEN i > 2 AND w[i - 1] = 'no' THEN w[i - 2] WHEN i > 1 THEN w[i - 1] END, '') IN ({_HEADS})) OR regexp_matches(t, '{rules.DASHED_NUMBER}')) AS u,
+ coalesce(list_position(list_transform(w, lambda t: regexp_matches(t, '^[0-9]+[a-z]?$')), true), 0) AS h FROM a),
+c AS (SELECT doc_id, list_distinct(list_transform(u, lambda t: regexp_replace(replace(t, '-', ''), '^([a-z]*)0+([0-9])', '\1\2'))) AS u, CASE WHEN h > 0 THEN regexp_extract(w[h], '[a-z]?$') ELSE '' END AS l, CASE WHEN h > 0 THEN w[h + 1] END AS f FROM b)
+SELECT doc_id, array_to_string(list_sort(u), ' ') AS units, coalesce(nullif(l, ''), CASE WHEN regexp_matches(f, '^[a-d]$') THEN f END, CASE f {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.SUFFIXES.items())} END, '') AS hsuf FROM c"""
 
 
 @query(_UNIT_SQL)

@@ -789,3 +789,29 @@ def test_whole_licences_with_changes(spark):
 def prose_like(rng):
     words = "the software is provided as a free copy of this public work to any person who may use it for all purpose without license or charge and permission".split()
     return " ".join(rng.choice(words, 300))
+
+
+def test_dedup_recall_on_whole_tables(spark, sf):
+    """Components of all documents of a table equal those of all pairs that share a shingle, compared one by one."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.source) for r in docs.select("doc_id", "text", "source").collect()]
+    sets = [shingles(t) for _, t, _ in rows]
+    held = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            held[x].append(i)
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for j, n in collections.Counter(j for x in s for j in held[x] if j < i).items():
+            if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
+                root[find(i)] = find(j)
+    least = collections.defaultdict(list)
+    for i, (d, _, _) in enumerate(rows):
+        least[find(i)].append(d)
+    same([(r.doc_id, r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(docs).collect()], [(d, len(sets[i]), min(least[find(i)])) for i, (d, _, _) in enumerate(rows)])

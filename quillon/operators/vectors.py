@@ -63,21 +63,36 @@ def _products(k: int, least: float, same: bool):
 
 @dataclass(frozen=True)
 class ProjectionConfig:
-    """tables: independent codes; target: base rows of a bucket aimed at; most_bits: of a code; block: rows of one side of a unit of work."""
+    """target: base rows of a bucket aimed at; most_bits: of a code; miss: chance that a pair at the least cosine asked for (``aim`` at least) is
+    met in no table; tables: independent codes, at most; block: rows of one side of a unit of work."""
 
-    tables: int = 24
     target: int = 256
+    miss: float = 0.01
+    aim: float = 0.3
+    tables: int = 48
     most_bits: int = 24
     block: int = 2048
     seed: int = 13
 
 
+def _shape(rows: int, least: float, cfg: ProjectionConfig) -> tuple[int, int]:
+    """Bits of a code and how many tables: the bits that bring a bucket to its target, or as many fewer as keep the tables enough."""
+    turn = math.acos(min(1.0, max(least, cfg.aim))) / math.pi  # chance that a pair differs in one sign
+    for bits in range(max(0, min(cfg.most_bits, math.ceil(math.log2(max(1.0, rows / cfg.target))))), -1, -1):
+        met = (1 - turn) ** bits + bits * turn * (1 - turn) ** max(0, bits - 1)
+        tables = 1 if met >= 1 - cfg.miss else math.ceil(math.log(cfg.miss) / math.log1p(-met))
+        if tables <= cfg.tables:
+            return bits, tables
+    return 0, 1
+
+
 def projection_topk(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0, group: str | None = None, key: str = "vec_id", vector: str = "embedding", cfg: ProjectionConfig = ProjectionConfig(), same: bool = True) -> DataFrame:
     """``(q, v, cosine, place)`` as ``cosine_topk``, from an index of signed random projections (Charikar, 2002).
 
     Every base row is put in one bucket of each table: the signs of its products with
     the table's random directions, of which there are as many as bring a bucket of the
-    largest group to about ``target`` rows.  A query looks in its own bucket and in those that differ
+    largest group to about ``target`` rows, unless too many tables would be needed to meet
+    the pairs asked for: then buckets are larger.  A query looks in its own bucket and in those that differ
     in one sign.  What it meets is ranked by exact cosines.  group: a column that both
     sides have; neighbours are of the query's own.  Buckets larger than a block are cut into
     several units, each of which gives its k best a query, so a bucket of any size is whole and
@@ -85,15 +100,15 @@ def projection_topk(queries: DataFrame, base: DataFrame, k: int, least: float =
     """
     by = [group] if group else []
     most = base.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    bits = max(0, min(cfg.most_bits, math.ceil(math.log2(max(1.0, most / cfg.target)))))
+    bits, tables = _shape(most, least, cfg)
     rng = np.random.Generator(np.random.PCG64(cfg.seed))
     size = queries.select(F.max(F.size(vector))).first()[0] or 1
-    planes = rng.normal(size=(max(bits, 1), cfg.tables, size))
+    planes = rng.normal(size=(max(bits, 1), tables, size))
 
     @F.pandas_udf(ArrayType(LongType()))
     def codes(vectors: pd.Series) -> pd.Series:
         x = np.stack([np.asarray(v, float) for v in vectors]) if len(vectors) else np.zeros((0, size))
-        out = np.zeros((len(x), cfg.tables), np.int64)
+        out = np.zeros((len(x), tables), np.int64)
         for b in range(bits):
             out |= (x @ planes[b].T > 0).astype(np.int64) << b
         return pd.Series(list(out))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions import normalize as N, rules
 from quillon.functions.fuzzy import scorer
 from quillon.operators import dictionary, vectors
+from quillon.scratch import Scratch
 from quillon.plans.registry import query, table
 
 
@@ -164,10 +165,8 @@ def segment_mine(spark, sf_dir):
 
 @query()
 def embedding_retrieval(spark, sf_dir):
-    """Names as hashed n-gram vectors: the five nearest entities of every record without a number, from a cosine of 0.5."""
+    """Names as hashed n-gram vectors: the five nearest entities, of its own country, of every record without a number, from a cosine of 0.5, by the index."""
     from quillon.plans.universe import records
 
-    rec = vectors.hashed_vectors(records(spark, sf_dir).where("core <> ''"), "core")
-    base = rec.where("src = 1").select(F.col("id").alias("vec_id"), "embedding")
-    asked = rec.where("src > 1 and nums = ''").select(F.col("id").alias("vec_id"), "embedding")
-    return vectors.cosine_topk(asked, base, 5, 0.5)
+    rec = records(spark, sf_dir).select("id", "src", "country", "core", "nums").where("core <> ''")
+    return vectors.retrieve(Scratch(spark, "retrieval").keep(vectors.hashed_vectors(rec, "core"), "vectors"))

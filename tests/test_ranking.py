@@ -170,6 +170,18 @@ def test_projection_index_finds_what_is_near(spark, block):
     assert all(parity[r.q] == parity[r.v] for r in found.collect())
 
 
+def test_index_shape_keeps_recall():
+    cfg = vectors.ProjectionConfig()
+    assert vectors._shape(100, 0.5, cfg) == (0, 1)
+    for rows in (10**4, 10**7, 10**10):
+        for least in (0.3, 0.5, 0.9):
+            bits, tables = vectors._shape(rows, least, cfg)
+            turn = np.arccos(least) / np.pi
+            met = (1 - turn) ** bits + bits * turn * (1 - turn) ** max(0, bits - 1)
+            assert 1 <= tables <= cfg.tables and (1 - met) ** tables <= cfg.miss + 1e-9
+    assert vectors._shape(10**7, 0.9, cfg)[0] > vectors._shape(10**7, 0.5, cfg)[0]
+
+
 def reduce_union(frames):
     out = frames[0]
     for f in frames[1:]:

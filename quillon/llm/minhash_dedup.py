@@ -430,8 +430,8 @@ def near_duplicates(df: DataFrame, cfg: DedupConfig = DedupConfig(), doc_id: str
     least = linked.where("component is not null").groupBy("component").agg(F.min("least").alias("smallest"))
     verdicts = linked.join(least, "component", "left").select(*_SET, F.coalesce("smallest", "least").alias("component_id"), F.lit(True).alias("met"))
     verdicts = scratch.keep(verdicts, "verdicts")
-    for name in ("classes", "members", "texts", "tried-stars", "links-stars", "components-stars", "families", "links-families", "tried-crossings", "links-crossings", "components-joined", "components"):
-        scratch.drop(name)
+    passing = ["members", "texts", "tried-stars", "links-stars", "components-stars", "families", "links-families", "tried-crossings", "links-crossings", "components-joined", "components"]
+    scratch.drop("classes", *passing)
     out = signed.select("doc_id", *_SET).join(verdicts, _SET, "left")
     component = F.when(F.col("met"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

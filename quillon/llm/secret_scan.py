@@ -18,8 +18,10 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from quillon.llm import kernels as K
 from quillon.scratch import Scratch
@@ -151,25 +153,39 @@ def findings_by_path(paths: DataFrame, ledger: DataFrame) -> DataFrame:
     return paths.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast("array<struct<at:bigint,rank:int,until:bigint,kind:string>>")).alias("spans"))
 
 
+def _marked(mark: str):
+    """A column function (text, starts, ends by start) -> the text with the mark for each run of overlapping spans; null for a null text."""
+
+    @F.pandas_udf(StringType())
+    def of(text: pd.Series, at: pd.Series, until: pd.Series) -> pd.Series:
+        out = []
+        for t, starts, ends in zip(text, at, until):
+            parts, done = [], 0
+            for a, b in zip(starts, ends) if t is not None else ():
+                if a >= done:
+                    parts += [t[done:a], mark]
+                done = max(done, b)
+            out.append(None if t is None else "".join([*parts, t[done:]]))
+        return pd.Series(out, dtype=object)
+
+    return of
+
+
 def redact(df: DataFrame, ledger: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", mark: str = "[secret]") -> DataFrame:
     """``df`` with every secret's span replaced by ``mark``; overlapping spans are replaced as one.
 
     All columns are kept, in their order; a null text stays null.  Findings meet
-    the rows by the text's hash, so copies and repeated ids are all redacted.
+    the rows by the text's hash, so copies and repeated ids are all redacted.  Only
+    texts with findings leave the JVM, and each is rebuilt in one pass, however long it is.
     """
+    K.small_batches(df.sparkSession)
     _, known = update_ledger(df, ledger, doc_id, text)
-    rank = F.array_position(F.array(*[F.lit(r.kind) for r in RULES]), F.col("kind")).cast("int")
     known = known.where((F.col("rules") == VERSION) & F.col("kind").isNotNull())
-    found = known.groupBy(F.col("blob").alias("__blob")).agg(F.array_sort(F.collect_list(F.struct("at", rank.alias("rank"), "until"))).alias("__spans"))
-    body = F.col(f"__row.`{text}`")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("until"))
-    step = lambda acc, s: F.struct(
-        F.when(s["at"] >= acc["until"], F.concat(acc["out"], F.substr(body, (acc["until"] + 1).cast("int"), (s["at"] - acc["until"]).cast("int")), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        F.greatest(acc["until"], s["until"]).alias("until"),
-    )
-    end = lambda acc: F.concat(acc["out"], F.substr(body, (acc["until"] + 1).cast("int")))
-    clean = F.when(F.col("__spans").isNull(), body).otherwise(F.aggregate("__spans", start, step, end))
+    found = known.groupBy(F.col("blob").alias("__blob")).agg(F.array_sort(F.collect_list(F.struct("at", "until"))).alias("__spans"))
     # the row travels as one column, so no name of it can clash with the finding's
     whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))
+    body, has = F.col(f"__row.`{text}`"), F.col("__spans").isNotNull()
     rows = whole.withColumn("__blob", F.sha2(body, 256)).join(found, "__blob", "left")
-    return rows.select(*[(clean if c == text else F.col(f"__row.`{c}`")).alias(c) for c in df.columns])
+    made = _marked(mark)(F.when(has, body.cast("string")), F.col("__spans.at"), F.col("__spans.until"))
+    rows = rows.withColumn("__clean", F.when(has, made).otherwise(body))
+    return rows.select(*[F.col("__clean" if c == text else f"__row.`{c}`").alias(c) for c in df.columns])

@@ -815,3 +815,11 @@ def test_dedup_recall_on_whole_tables(spark, sf):
     for i, (d, _, _) in enumerate(rows):
         least[find(i)].append(d)
     same([(r.doc_id, r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(docs).collect()], [(d, len(sets[i]), min(least[find(i)])) for i, (d, _, _) in enumerate(rows)])
+
+
+def test_redaction_of_a_long_text_full_of_secrets(spark):
+    text = " ".join(f"é token=abcdef{i:06d} and {i:032x}" for i in range(40_000))
+    rows = spark.createDataFrame([(1, text), (2, "clean"), (3, None), (4, "")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secret_scan.redact(rows).collect()}
+    assert got[1].count("[secret]") == 80_000 and not secret_scan.spans(got[1])
+    assert (got[2], got[3], got[4]) == ("clean", None, "")

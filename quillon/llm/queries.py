@@ -1,18 +1,19 @@
 """One query for each operator of this subpackage, over whole tables with production parameters.
 
-None has a SQL twin: each rests on hashes, fitted models or byte-level work that
-portable SQL has no words for.  The tests hold them against brute force.
+Near-dedup, whose result its definition fixes, has a SQL twin.  The others rest on
+hashes, fitted models or byte-level work that portable SQL has no words for; the
+tests hold them against brute force.
 """
 
 from __future__ import annotations
 
+import string
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillon.sources.tables import table
 
 
-
 def tokenizer_path() -> str:
     """The word-level BPE file of the public tokenizers; any other path can be given to the operator."""
     import public_tokenizers
@@ -34,6 +35,23 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Two sets at 0.75 share one of the rarest n - ceil(0.75 n) + 1 of each; who shares one is compared in full, and links are followed to their ends.
+OP2_SQL = rf"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_sort(list_distinct(list_transform(list_zip(w, w[2:], w[3:], w[4:], w[5:])[1:greatest(len(w) - 4, 1)], lambda x: concat_ws(' ', x[1], x[2], x[3], x[4], x[5])))) AS s FROM words),
+classes AS (SELECT s, row_number() OVER () AS id, min(doc_id) AS least, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+items AS (SELECT id, n, unnest(s) AS t FROM classes),
+freq AS (SELECT t, count(*) AS f FROM items GROUP BY t),
+ranked AS (SELECT id, n, t, row_number() OVER (PARTITION BY id ORDER BY f, t) AS k FROM items JOIN freq USING (t)),
+rare AS (SELECT id, n, t FROM ranked WHERE k <= n - (3 * n + 3) // 4 + 1),
+tried AS (SELECT DISTINCT a.id AS a, b.id AS b, a.n + b.n AS n FROM rare a JOIN rare b ON a.t = b.t AND a.id < b.id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)),
+links AS (SELECT a, b FROM tried JOIN items x ON x.id = a JOIN items y ON y.id = b AND y.t = x.t GROUP BY a, b, tried.n HAVING 100 * count(*) >= 75 * (tried.n - count(*))),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT id, id AS c FROM classes UNION SELECT reach.id, b FROM reach JOIN edges ON a = c),
+smallest AS (SELECT reach.id, min(least) AS component_id FROM reach JOIN classes ON classes.id = c GROUP BY reach.id),
+placed AS (SELECT doc_id, len(sets.s) AS n_shingles, CASE WHEN classes.id IS NULL THEN doc_id ELSE component_id END AS component_id FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN smallest ON smallest.id = classes.id)
+SELECT *, coalesce(doc_id = component_id, FALSE) AS kept FROM placed"""
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.mixing import mix_report
 
@@ -93,4 +111,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_minhash_dedup": OP2_SQL}

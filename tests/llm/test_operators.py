@@ -4,8 +4,10 @@ import itertools
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +121,21 @@ def test_dedup_equals_brute_force(docs, plain):
     same([(r.doc_id, r.kept) for r in got], [(d, d is not None and d == c) for d, _, c in want])
 
 
+def dedup_by_sql(documents):
+    con = duckdb.connect()
+    con.register("documents", documents)
+    return con.execute(f"SELECT doc_id, n_shingles, component_id, kept FROM ({queries.OP2_SQL})").fetchall()
+
+
+def test_dedup_equals_sql(spark, sf, docs):
+    """Odd documents (null, empty, repeated ids), and the whole table through the registered query."""
+    columns = ["doc_id", "n_shingles", "component_id", "kept"]
+    got = minhash_dedup.near_duplicates(docs).select(columns).collect()
+    same(map(tuple, got), dedup_by_sql(docs.select("doc_id", "text").toArrow()))
+    table = pq.read_table(f"{sf}/documents.parquet")
+    same(map(tuple, queries.op2_minhash_dedup(spark, sf).select(columns).collect()), dedup_by_sql(table))
+
+
 def test_dedup_chains_and_families(spark):
     """Members that only link over a third, in a family larger than a block, and a hub."""
     rng = np.random.default_rng(2)

@@ -37,25 +37,43 @@ def cosine_topk(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0
     return got.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as the rows of a matrix."""
+    lists = column.combine_chunks()
+    wide = np.unique(lists.value_lengths().to_numpy())
+    if len(wide) != 1:
+        raise ValueError(f"vectors of {len(wide)} lengths")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), wide[0])
+
+
 def _products(k: int, least: float, same: bool):
-    """The k best right rows (side 0) of each left row (side 1) of a unit's table (id, side, x)."""
+    """The k best right rows (side 0) of each left row (side 1) of a unit's table (id, side, x).
+
+    Only products that reach ``least`` are put in order, and if those are many, of each left row only what its k-th best leaves.
+    """
+    floor, far = max(least, -1.0), 1e-11
 
     def within(table: pa.Table) -> pa.Table:
         ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
-        x = np.array(table.column("x").to_pylist(), float)
+        x = _matrix(table.column("x"))
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
         left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
         right = right[np.argsort(ids[right])]
         out = {"q": [], "v": [], "cosine": []}
         if len(left) and len(right):
-            sims = np.round(x[left] @ x[right].T, 12)
+            sims = x[left] @ x[right].T
             if same:
                 sims[ids[left][:, None] == ids[right][None, :]] = -2
-            best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            got = np.take_along_axis(sims, best, axis=1)
-            keep = got >= max(least, -1.0)
-            out = {"q": np.repeat(ids[left], best.shape[1])[keep.ravel()], "v": ids[right][best].ravel()[keep.ravel()], "cosine": got.ravel()[keep.ravel()]}
+            hit = sims >= floor - far
+            if len(right) > k and np.count_nonzero(hit) > 16 * k * len(left):
+                hit &= sims >= np.partition(sims, len(right) - k, axis=1)[:, len(right) - k, None] - far
+            row, col = np.nonzero(hit)
+            got = np.round(sims[row, col], 12)
+            order = np.lexsort((col, -got, row))
+            order = order[got[order] >= floor]
+            order = order[np.arange(len(order)) - np.searchsorted(row[order], row[order]) < k]
+            out = {"q": ids[left][row[order]], "v": ids[right][col[order]], "cosine": got[order]}
         return pa.table({"q": pa.array(out["q"], pa.int64()), "v": pa.array(out["v"], pa.int64()), "cosine": pa.array(out["cosine"], pa.float64())})
 
     return within
@@ -76,13 +94,16 @@ class ProjectionConfig:
 
 
 def _shape(rows: int, least: float, cfg: ProjectionConfig) -> tuple[int, int]:
-    """Bits of a code and how many tables: the bits that bring a bucket to its target, or as many fewer as keep the tables enough."""
+    """Bits of a code and how many tables: the bits that bring a bucket to its target, or as many fewer as keep the tables enough.
+
+    One bucket has all rows, and the search is exact, where the buckets that a query looks in would hold over half as many.
+    """
     turn = math.acos(min(1.0, max(least, cfg.aim))) / math.pi  # chance that a pair differs in one sign
     for bits in range(max(0, min(cfg.most_bits, math.ceil(math.log2(max(1.0, rows / cfg.target))))), -1, -1):
         met = (1 - turn) ** bits + bits * turn * (1 - turn) ** max(0, bits - 1)
         tables = 1 if met >= 1 - cfg.miss else math.ceil(math.log(cfg.miss) / math.log1p(-met))
         if tables <= cfg.tables:
-            return bits, tables
+            return (bits, tables) if 2 * tables * (bits + 1) <= 1 << bits else (0, 1)
     return 0, 1
 
 
@@ -92,8 +113,8 @@ def projection_topk(queries: DataFrame, base: DataFrame, k: int, least: float =
     Every base row is put in one bucket of each table: the signs of its products with
     the table's random directions, of which there are as many as bring a bucket of the
     largest group to about ``target`` rows, unless too many tables would be needed to meet
-    the pairs asked for: then buckets are larger.  A query looks in its own bucket and in those that differ
-    in one sign.  What it meets is ranked by exact cosines.  group: a column that both
+    the pairs asked for: then buckets are larger, and where they would spare no work there is one bucket, in which
+    nothing is missed.  A query looks in its own bucket and in those that differ in one sign.  What it meets is ranked by exact cosines.  group: a column that both
     sides have; neighbours are of the query's own.  Buckets larger than a block are cut into
     several units, each of which gives its k best a query, so a bucket of any size is whole and
     no task holds it.  Rows without a vector are left out.
@@ -115,7 +136,7 @@ def projection_topk(queries: DataFrame, base: DataFrame, k: int, least: float =
 
     g = F.col(group).cast("string") if group else F.lit("")
     cols = [g.alias("g"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")]
-    place = lambda df: df.select(*cols).where("x is not null").withColumn("code", codes("x")).select("g", "id", "x", F.posexplode("code").alias("t", "code"))
+    place = lambda df: df.select(*cols).where("x is not null").withColumn("code", codes("x") if bits else F.array(F.lit(0).cast("long"))).select("g", "id", "x", F.posexplode("code").alias("t", "code"))
     near = F.concat(F.array(F.col("code")), F.array(*[F.col("code").bitwiseXOR(F.lit(1 << b)) for b in range(bits)]).cast("array<bigint>"))
     held = place(base).select("g", "t", "code", "id", "x")
     asked = place(queries).select("g", "t", F.explode(near).alias("code"), "id", "x")

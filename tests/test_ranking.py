@@ -182,6 +182,43 @@ def test_index_shape_keeps_recall():
     assert vectors._shape(10**7, 0.9, cfg)[0] > vectors._shape(10**7, 0.5, cfg)[0]
 
 
+def test_index_is_used_only_where_it_spares_work():
+    cfg = vectors.ProjectionConfig()
+    for rows in (10**3, 10**4, 10**5, 10**7):
+        for least in (0.2, 0.5, 0.9):
+            bits, tables = vectors._shape(rows, least, cfg)
+            assert (bits, tables) == (0, 1) or tables * (bits + 1) / 2**bits <= 0.5
+    assert vectors._shape(10**5, 0.9, cfg)[0] > 0
+
+
+def test_index_of_several_buckets(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(100, 24))
+    x = np.concatenate([centres[rng.integers(0, 100, 2000)] + 0.15 * rng.normal(size=(2000, 24)), np.repeat(centres[:1], 500, axis=0)])
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>").cache()
+    asked, cfg = df.where("vec_id % 50 = 0"), vectors.ProjectionConfig(target=16)
+    assert vectors._shape(2500, 0.9, cfg)[0] > 0
+    exact = vectors.cosine_topk(asked, df, 5, 0.9)
+    assert vectors.recall_of(vectors.projection_topk(asked, df, 5, 0.9, cfg=cfg), exact).first().recall > 0.9
+
+
+@pytest.mark.parametrize("least", [-1.0, 0.5])
+def test_products_keep_the_best_of_copies_by_id(spark, least):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 8))
+    x[200:] = x[0]
+    x[7] = 0
+    unit = np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=x != 0)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    for block in (64, 4096):
+        got = {}
+        for r in vectors.cosine_topk(df.where("vec_id % 10 = 0"), df, 4, least, block=block).orderBy("q", "place").collect():
+            got.setdefault(r.q, []).append(r.v)
+        for q in range(0, 300, 10):
+            sims = np.round(unit @ unit[q], 12)
+            assert got.get(q, []) == [v for v in sorted(range(300), key=lambda v: (-sims[v], v)) if v != q and sims[v] >= least][:4]
+
+
 def reduce_union(frames):
     out = frames[0]
     for f in frames[1:]:

@@ -46,12 +46,12 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), wide[0])
 
 
-def _products(k: int, least: float, same: bool):
+def _products(k: int, least: float, same: bool, digits: int = 12):
     """The k best right rows (side 0) of each left row (side 1) of a unit's table (id, side, x).
 
     Only products that reach ``least`` are put in order, and if those are many, of each left row only what its k-th best leaves.
     """
-    floor, far = max(least, -1.0), 1e-11
+    floor, far = max(least, -1.0), 10.0 ** (1 - digits)
 
     def within(table: pa.Table) -> pa.Table:
         ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
@@ -69,7 +69,7 @@ def _products(k: int, least: float, same: bool):
             if len(right) > k and np.count_nonzero(hit) > 16 * k * len(left):
                 hit &= sims >= np.partition(sims, len(right) - k, axis=1)[:, len(right) - k, None] - far
             row, col = np.nonzero(hit)
-            got = np.round(sims[row, col], 12)
+            got = np.round(sims[row, col], digits)
             order = np.lexsort((col, -got, row))
             order = order[got[order] >= floor]
             order = order[np.arange(len(order)) - np.searchsorted(row[order], row[order]) < k]
@@ -82,7 +82,7 @@ def _products(k: int, least: float, same: bool):
 @dataclass(frozen=True)
 class ProjectionConfig:
     """target: base rows of a bucket aimed at; most_bits: of a code; miss: chance that a pair at the least cosine asked for (``aim`` at least) is
-    met in no table; tables: independent codes, at most; block: rows of one side of a unit of work."""
+    met in no table, 0: none may be missed, so one bucket has all rows; tables: independent codes, at most; block: rows of one side of a unit of work."""
 
     target: int = 256
     miss: float = 0.01
@@ -98,6 +98,8 @@ def _shape(rows: int, least: float, cfg: ProjectionConfig) -> tuple[int, int]:
 
     One bucket has all rows, and the search is exact, where the buckets that a query looks in would hold over half as many.
     """
+    if cfg.miss <= 0:
+        return 0, 1
     turn = math.acos(min(1.0, max(least, cfg.aim))) / math.pi  # chance that a pair differs in one sign
     for bits in range(max(0, min(cfg.most_bits, math.ceil(math.log2(max(1.0, rows / cfg.target))))), -1, -1):
         met = (1 - turn) ** bits + bits * turn * (1 - turn) ** max(0, bits - 1)
@@ -107,7 +109,7 @@ def _shape(rows: int, least: float, cfg: ProjectionConfig) -> tuple[int, int]:
     return 0, 1
 
 
-def projection_topk(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0, group: str | None = None, key: str = "vec_id", vector: str = "embedding", cfg: ProjectionConfig = ProjectionConfig(), same: bool = True) -> DataFrame:
+def projection_topk(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0, group: str | None = None, key: str = "vec_id", vector: str = "embedding", cfg: ProjectionConfig = ProjectionConfig(), same: bool = True, digits: int = 12) -> DataFrame:
     """``(q, v, cosine, place)`` as ``cosine_topk``, from an index of signed random projections (Charikar, 2002).
 
     Every base row is put in one bucket of each table: the signs of its products with
@@ -117,7 +119,7 @@ def projection_topk(queries: DataFrame, base: DataFrame, k: int, least: float =
     nothing is missed.  A query looks in its own bucket and in those that differ in one sign.  What it meets is ranked by exact cosines.  group: a column that both
     sides have; neighbours are of the query's own.  Buckets larger than a block are cut into
     several units, each of which gives its k best a query, so a bucket of any size is whole and
-    no task holds it.  Rows without a vector are left out.
+    no task holds it.  Rows without a vector are left out.  digits: cosines are rounded to so many before they are compared.
     """
     by = [group] if group else []
     most = base.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
@@ -146,7 +148,7 @@ def projection_topk(queries: DataFrame, base: DataFrame, k: int, least: float =
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     right = held.join(units, ["g", "t", "code"]).select("g", "t", "code", F.pmod(F.xxhash64("id"), "blocks").alias("b"), each("turns").alias("a"), F.lit(0).alias("side"), "id", "x")
     left = asked.join(units, ["g", "t", "code"]).select("g", "t", "code", each("blocks").alias("b"), F.pmod(F.xxhash64("id"), "turns").alias("a"), F.lit(1).alias("side"), "id", "x")
-    met = right.union(left).groupBy("g", "t", "code", "b", "a").applyInArrow(_products(k, least, same), "q long, v long, cosine double")
+    met = right.union(left).groupBy("g", "t", "code", "b", "a").applyInArrow(_products(k, least, same, digits), "q long, v long, cosine double")
     order = W.partitionBy("q").orderBy(F.desc("cosine"), "v")
     return met.groupBy("q", "v").agg(F.max("cosine").alias("cosine")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 

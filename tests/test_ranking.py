@@ -202,6 +202,23 @@ def test_index_of_several_buckets(spark):
     assert vectors.recall_of(vectors.projection_topk(asked, df, 5, 0.9, cfg=cfg), exact).first().recall > 0.9
 
 
+def test_projection_neighbours_misses_nothing_of_a_larger_table(spark, tmp_path):
+    import duckdb
+
+    from quillon.plans import catalog
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 16))
+    x[2000:2400] = x[1]  # copies, and near copies whose cosines differ only after the sixth digit
+    x[2400:2700] = x[50] + 1e-4 * rng.normal(size=(300, 16))
+    rows = [(i, [float(v) for v in row], i % 2) for i, row in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.q, r.v, r.cosine) for r in catalog.queries()["projection_neighbours"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == set(con.execute(catalog.oracle_sql()["projection_neighbours"]).fetchall())
+
+
 @pytest.mark.parametrize("least", [-1.0, 0.5])
 def test_products_keep_the_best_of_copies_by_id(spark, least):
     rng = np.random.default_rng(7)

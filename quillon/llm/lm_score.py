@@ -14,13 +14,14 @@ the id's words and one more, which stands for all words never seen.  Counts
 of the most frequent such words are held by every task, the others met in a join.
 
 What a network of this size cannot hold, passages that the corpus repeats, is kept by
-a distributed memory: for one context in ``memory`` (two words on either side,
-chosen by their hash, so alike in every document) the counts of the words seen in it.
-There the estimate backs off as Witten and Bell's (1991): with N other occurrences of
-the context, a word seen in c of them has c / (N + 1), and any other word the network's
-probability times 1 / (N + 1).  A document's kept contexts stand for all of its
-contexts: the share of them at which its word was seen elsewhere, and the mean log
-factor there, are taken for those of the whole document.
+a distributed memory: for every context (two words on either side) of the corpus the
+counts of the words seen in it.  There the estimate backs off as Witten and Bell's (1991):
+with N other occurrences of the context, a word seen in c of them has c / (N + 1), and any
+other word the network's probability times 1 / (N + 1).  The network's part of a document's score is
+its sum over all words times the share of words that were not seen elsewhere.  A caller may
+ask for fewer contexts (``memory``): one in so many, chosen by its hash, then stands for the rest.
+Contexts are dealt by their hash to units of about ``part`` words, as packed numbers in
+order, and each unit is one task that counts its contexts and those words' log factors.
 
 Everything is learned from all documents.  Words are counted over the corpus, and
 every text is written once as ids.  Texts are dealt to groups by a hash of id and text, in
@@ -55,8 +56,8 @@ class LMConfig:
     """side: classes, and ids of a class; None: the fourth root of the number of distinct words, 8 at least; own: share of the ids
     that single words have; held: next words by count whose counts every task holds; size: of the hidden layer; mask: over so many
     rounds, or all if they are fewer, the words are shared out, each to be trained on in one of them; span: words of a group for each
-    parameter of the network; sums: parts that groups are added in; memory: one context in so many is remembered, 0: none; broadcast: contexts up to which those that
-    repeat are sent to every task, 8 bytes each, and more are met in a shuffled join."""
+    parameter of the network; sums: parts that groups are added in; memory: one context in so many is remembered, 1: all, 0: none; part: kept contexts of a unit in
+    which they meet; block: contexts that a task packs at once; broadcast: read no more, as nothing of the memory is sent to every task."""
 
     side: int | None = None
     own: float = 0.75
@@ -68,7 +69,9 @@ class LMConfig:
     rate: float = 0.08
     span: int = 16
     sums: int = 16
-    memory: int = 16
+    memory: int = 1
+    part: int = 1 << 21
+    block: int = 1 << 20
     broadcast: int = 1_000_000
     seed: int = 3
 
@@ -112,13 +115,14 @@ def _find(among: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
-    """counted: (word, n) of all words; seen: (row, context, window) of the contexts kept."""
+    """counted: (word, n) of all words; seen: OCCURRENCES of the contexts kept, in ``units`` units."""
 
     cfg: LMConfig
     vocabulary: Vocabulary
     parameters: dict[str, np.ndarray]
     counted: DataFrame
     seen: DataFrame
+    units: int
 
 
 def initial(counts: np.ndarray, side: int, cfg: LMConfig) -> dict[str, np.ndarray]:
@@ -293,17 +297,22 @@ def learn_words(counted: DataFrame, cfg: LMConfig) -> Vocabulary:
     return Vocabulary(side, words[:singles][order], (order + 1).astype(np.int32), counts, less, words[singles:][next_], np.log(n[singles:][next_]))
 
 
-ENCODED = "row long, doc_id long, mark long, n_tokens long, fixed double, ids binary, others array<long>, context array<long>, window array<long>"
-_TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+ENCODED = "row long, doc_id long, mark long, n_tokens long, fixed double, ids binary, others array<long>, kept long"
+_TURN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _hashed(around: np.ndarray) -> np.ndarray:
     value = np.full(around.shape[1], 0x165667B19E3779F9, np.uint64)
     for part in around:
-        value = K.mix(value * _TURNS[0] + part)
+        value = K.mix(value * _TURN + part)
     return value
 
 
+def _remembered(around: np.ndarray, cfg: LMConfig) -> np.ndarray:
+    """Places of the contexts that the memory has."""
+    return np.flatnonzero(around % np.uint64(cfg.memory) == 0) if cfg.memory else np.empty(0, np.int64)
+
+
 def _lists(values: np.ndarray, at: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """A list for each text of the values at sorted places."""
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(at, bounds).astype(np.int32)), pa.array(values, kind))
@@ -311,7 +320,7 @@ def _lists(values: np.ndarray, at: np.ndarray, bounds: np.ndarray, kind: pa.Data
 
 def encode(rows: DataFrame, vocabulary: Vocabulary, cfg: LMConfig) -> DataFrame:
     """ENCODED for every row of (doc_id, text, mark): ids of its words; ``fixed``, the sum of its words' log shares of their ids as far as
-    a task knows them, and ``others``, the words whose counts it does not; hashes of the contexts kept, without and with their word."""
+    a task knows them, and ``others``, the words whose counts it does not; ``kept``, how many of its contexts the memory has."""
     schema, shared = K.arrow_schema(ENCODED), rows.sparkSession.sparkContext.broadcast(vocabulary)
     kind = np.uint16 if vocabulary.side <= 256 else np.uint32
 
@@ -328,8 +337,7 @@ def encode(rows: DataFrame, vocabulary: Vocabulary, cfg: LMConfig) -> DataFrame:
                 at, known = _find(v.held, h[rare])
                 own[rare[known]] += v.logs[at[known]]
                 other = rare[~known]
-                around = _hashed(contexts(h, bounds))
-                kept = np.flatnonzero(around % np.uint64(cfg.memory) == 0) if cfg.memory else np.empty(0, np.int64)
+                kept = spans.counts if cfg.memory == 1 else np.diff(np.searchsorted(_remembered(_hashed(contexts(h, bounds)), cfg), bounds))
                 raw = ids.astype(kind).view(np.uint8)
                 wide = np.dtype(kind).itemsize
                 yield pa.RecordBatch.from_arrays(
@@ -341,8 +349,7 @@ def encode(rows: DataFrame, vocabulary: Vocabulary, cfg: LMConfig) -> DataFrame:
                         pa.array(_sums(own, bounds)),
                         pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((bounds * wide).astype(np.int32)), pa.py_buffer(raw)]),
                         _lists(h[other].view(np.int64), other, bounds, pa.int64()),
-                        _lists(around[kept].view(np.int64), kept, bounds, pa.int64()),
-                        _lists(K.mix(around[kept] * _TURNS[1] + h[kept]).view(np.int64), kept, bounds, pa.int64()),
+                        pa.array(kept.astype(np.int64)),
                     ],
                     schema=schema,
                 )
@@ -421,40 +428,134 @@ def _train_round(encoded: DataFrame, groups: int, p: dict[str, np.ndarray], turn
     return unpack(sum(np.frombuffer(r["sum"]) for r in summed) / sum(r["n"] for r in summed), p)
 
 
-def _seen(encoded: DataFrame) -> DataFrame:
-    """(row, context, window) of every kept context."""
-    return encoded.select("row", F.explode(F.arrays_zip("context", "window")).alias("x")).select("row", "x.*")
+#: One unit's contexts of some texts: the texts' marks; steps from one context to the next, in order; of each its word and the number of its text.
+OCCURRENCES = "unit long, marks binary, context binary, word binary, text binary"
+#: Bits of a context's hash that are kept, and those that its unit follows.
+BITS, UNIT_BITS = 56, 32
+
+
+def _squeeze(values: np.ndarray) -> bytes:
+    """Numbers in as many bytes each as the largest needs."""
+    wide = max(1, -(-int(values.max()).bit_length() // 8))
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
+
+
+def _widen(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(n, -1)
+    return out.view("<u8").ravel()
+
+
+def _first(unit: int, units: int) -> int:
+    """The least context of a unit."""
+    return -(-(unit << UNIT_BITS) // units) << (BITS - UNIT_BITS)
+
+
+def _packed(held: list[tuple[np.ndarray, ...]], units: int) -> pa.RecordBatch:
+    """OCCURRENCES of (marks, contexts, words, texts) of some batches."""
+    starts = np.cumsum([0, *[len(x[0]) for x in held]])
+    marks, around, words = (np.concatenate([x[i] for x in held]) for i in range(3))
+    texts = np.concatenate([x[3] + at for x, at in zip(held, starts)])
+    order = np.argsort(around)
+    around, words, texts = around[order], words[order], texts[order]
+    firsts = np.array([_first(u, units) for u in range(units)], np.uint64)
+    cuts = np.append(np.searchsorted(around, firsts), len(around))
+    out = []
+    for u in np.flatnonzero(np.diff(cuts)).tolist():
+        part = slice(cuts[u], cuts[u + 1])
+        used, text = np.unique(texts[part], return_inverse=True)
+        steps = np.diff(around[part], prepend=firsts[u])
+        out.append((u, marks[used].tobytes(), _squeeze(steps), words[part].tobytes(), _squeeze(text)))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), K.arrow_schema(OCCURRENCES).types)], schema=K.arrow_schema(OCCURRENCES))
 
 
-def _backed_off(seen: DataFrame, memory: DataFrame, own: bool, cfg: LMConfig) -> DataFrame:
-    """(row, met, factor): for how many of a row's kept contexts its word was seen there elsewhere, and the sum of the log factors of all.
+def occurrences(rows: DataFrame, units: int, cfg: LMConfig) -> DataFrame:
+    """OCCURRENCES of every context, of those the memory has, of (doc_id, text, mark)."""
 
-    memory: (context, window) of the corpus; own: ``seen`` are those very rows, each of which is not elsewhere to itself.
+    def run(batches):
+        held, size = [], 0
+        for whole in batches:
+            for batch in K.chunks(whole):
+                spans = K.Words(*K.buffers(batch.column(1)))
+                h = spans.hashes()
+                around = _hashed(contexts(h, spans.bounds))
+                at = _remembered(around, cfg)
+                text = np.repeat(np.arange(batch.num_rows), spans.counts)
+                held.append((batch.column(2).to_numpy(), around[at] >> np.uint64(64 - BITS), (h[at] >> np.uint64(32)).astype(np.uint32), text[at]))
+                size += len(at)
+                if size >= cfg.block:
+                    yield _packed(held, units)
+                    held, size = [], 0
+        if size:
+            yield _packed(held, units)
+
+    return rows.select("doc_id", "text", "mark").mapInArrow(K.tidy(run), OCCURRENCES)
+
+
+def _runs(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows, given which equal the one before (all but the first): the run of each, and the runs' sizes."""
+    number = np.concatenate([[0], np.cumsum(~same)])
+    return number, np.bincount(number)
+
+
+def _factors(marks: np.ndarray, around: np.ndarray, words: np.ndarray, texts: np.ndarray, corpus: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(mark, met, factor) of a unit's contexts.  corpus: which of them count; asked: which are asked for; what is both does not count for itself."""
+    order = np.argsort(around)
+    same = np.diff(around[order]) == 0
+    if not same.any():
+        return marks[:0], np.zeros(0, np.int64), np.zeros(0)
+    order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]  # most contexts stand once
+    order = order[np.lexsort((words[order], around[order]))]
+    around, words, texts, corpus, asked = (x[order] for x in (around, words, texts, corpus, asked))
+    same = around[1:] == around[:-1]
+    of, _ = _runs(same)
+    by, _ = _runs(same & (words[1:] == words[:-1]))
+    own = (corpus & asked).astype(np.int64)
+    others, here = np.bincount(of, corpus).astype(np.int64)[of] - own, np.bincount(by, corpus).astype(np.int64)[by] - own
+    hit = asked & (others > 0)
+    texts, others, here = texts[hit], others[hit], here[hit]
+    n = np.bincount(texts, minlength=len(marks))
+    met = np.bincount(texts, here > 0, len(marks)).astype(np.int64)
+    factor = np.bincount(texts, np.log(np.maximum(here, 1)) - np.log(others + 1), len(marks))
+    some = n > 0
+    return marks[some], met[some], factor[some]
+
+
+def _backed_off(seen: DataFrame, asked: DataFrame | None, units: int) -> DataFrame:
+    """(mark, met, factor): at how many of a text's contexts its word was seen there elsewhere, and the sum of the log factors of all.
+
+    seen: OCCURRENCES of the corpus; asked: those of other texts, or None for the corpus's own, each of which is not elsewhere
+    to itself.  Rows of one mark are summed together.
     """
-    one = int(own)
-    words = [F.count("*").alias("total"), F.min("window").alias("low"), F.max("window").alias("high")]
-    known = memory.groupBy("context").agg(*words).where(F.col("total") > one)
-    if own:  # most contexts stand once in a corpus, so few rows are left to meet
-        known = Scratch(seen.sparkSession, "lm").keep(known, "known")
-        some = known.select("context")
-        seen = seen.join(F.broadcast(some) if some.count() <= cfg.broadcast else some, "context", "left_semi")
-        memory = seen
-    met = seen.join(known, "context")
-    # where a context has one word its count is the context's; only the others are counted word by word
-    mixed = known.where("low < high").select("context")
-    by_word = memory.join(mixed, "context", "left_semi").groupBy("context", "window").agg(F.count("*").alias("n"))
-    met = met.join(by_word, ["context", "window"], "left")
-    n = F.when(F.col("low") < F.col("high"), F.coalesce("n", F.lit(0))).when(F.col("low") == F.col("window"), F.col("total")).otherwise(0)
-    met = met.select("row", (n - one).alias("c"), F.log(F.col("total") - one + 1).alias("of"))
-    return met.groupBy("row").agg(F.count(F.when(F.col("c") > 0, 1)).alias("met"), F.sum(F.log(F.greatest("c", F.lit(1))) - F.col("of")).alias("factor"))
+    ddl = "mark long, met long, factor double"
+    flag = lambda df, corpus: df.withColumn("corpus", F.lit(corpus))
+    rows = flag(seen, True) if asked is None else flag(seen, True).union(flag(asked, False))
+    own = asked is None
+
+    def run(batches):
+        held, at = [], 0
+        for batch in batches:
+            for unit, marks, around, words, texts, corpus in zip(*(c.to_pylist() for c in batch.columns)):
+                marks, words = np.frombuffer(marks, np.int64), np.frombuffer(words, np.uint32)
+                n = len(words)
+                around = np.cumsum(_widen(around, n), dtype=np.uint64) + np.uint64(_first(unit, units))
+                held.append((marks, around, words, _widen(texts, n).astype(np.int64) + at, np.full(n, corpus), np.full(n, own or not corpus)))
+                at += len(marks)
+        if held:
+            got = _factors(*(np.concatenate([x[i] for x in held]) for i in range(6)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], schema=K.arrow_schema(ddl))
+
+    dealt = rows.repartitionById(units, F.col("unit").cast("int"))
+    made = dealt.mapInArrow(K.tidy(run), ddl)
+    return made.groupBy("mark").agg(F.sum("met").alias("met"), F.sum("factor").alias("factor"))
 
 
 SCORED = "doc_id long, n_tokens long, log_prob double, mean_log_prob double"
 
 
-def _score(encoded: DataFrame, model: Model, own: bool) -> DataFrame:
-    """SCORED of encoded rows.  own: they are those that the model was learned from, so each context's own occurrence is left out."""
-    ddl = "row long, doc_id long, n_tokens long, network double, kept int"
+def _score(encoded: DataFrame, model: Model, asked: DataFrame | None) -> DataFrame:
+    """SCORED of encoded rows.  asked: their occurrences; None: they are those that the model was learned from, so each context's own is left out."""
+    ddl = "row long, doc_id long, n_tokens long, network double, kept long, mark long"
     schema, side = K.arrow_schema(ddl), model.vocabulary.side
     shared = encoded.sparkSession.sparkContext.broadcast(model.parameters)
 
@@ -462,37 +563,43 @@ def _score(encoded: DataFrame, model: Model, own: bool) -> DataFrame:
         for batch in batches:
             ids, bounds = _ids(batch.column(4), side)
             each = log_probability(shared.value, contexts(ids, bounds), ids)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(_sums(each, bounds) + batch.column(3).to_numpy()), batch.column(5)], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(_sums(each, bounds) + batch.column(3).to_numpy()), *batch.columns[5:]], schema=schema)
 
     K.small_batches(encoded.sparkSession)
-    columns = encoded.select("row", "doc_id", "n_tokens", "fixed", "ids", F.size("context").alias("kept"))
+    columns = encoded.select("row", "doc_id", "n_tokens", "fixed", "ids", "kept", "mark")
     made = columns.mapInArrow(K.tidy(run), ddl)
     # words counted once, and those never seen, add a log count of 0
     words = encoded.select("row", F.explode("others").alias("word")).join(model.counted.where("n > 1"), "word").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
-    found = words.select("row", "more", F.lit(None).cast("long").alias("met"), F.lit(None).cast("double").alias("factor"))
+    made = made.join(words, "row", "left")
     if model.cfg.memory:
-        seen = model.seen if own else _seen(encoded)
-        found = found.union(_backed_off(seen, model.seen.drop("row"), own, model.cfg).select("row", F.lit(None).cast("double"), "met", "factor"))
-    sums = found.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more", "met", "factor")])
+        # rows of one id and text have one mark, and each its share of what they have together
+        rows = encoded.groupBy("mark").agg(F.count("*").alias("rows"))
+        found = _backed_off(model.seen, asked, model.units).join(rows, "mark").select("mark", (F.col("met") / F.col("rows")).alias("met"), (F.col("factor") / F.col("rows")).alias("factor"))
+        made = made.join(found, "mark", "left")
+    else:
+        made = made.withColumns({"met": F.lit(0.0), "factor": F.lit(0.0)})
     kept, value = F.greatest("kept", F.lit(1)), lambda c: F.coalesce(c, F.lit(0.0))
     both = (F.col("network") + value("more")) * (1 - value("met") / kept) + value("factor") * F.col("n_tokens") / kept
     # sums of doubles in any order agree to far more digits than these
-    out = made.join(sums, "row", "left").withColumn("log_prob", F.round(both, 6))
+    out = made.withColumn("log_prob", F.round(both, 6))
     return out.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
 
 
-def _fit(df: DataFrame, cfg: LMConfig, doc_id: str, text: str, scratch: Scratch) -> tuple[Model, DataFrame]:
+def _fit(df: DataFrame, cfg: LMConfig, doc_id: str, text: str, scratch: Scratch, keep: bool) -> tuple[Model, DataFrame]:
+    """keep: the occurrences are written; else they are made when they are met, once."""
     rows = _plain(df, doc_id, text)
     counted = scratch.keep(count_words(rows), "words")
     vocabulary = learn_words(counted, cfg)
     encoded = scratch.keep(encode(rows, vocabulary, cfg), "encoded")
     parameters = train(encoded, vocabulary, cfg)
-    return Model(cfg, vocabulary, parameters, counted, _seen(encoded)), encoded
+    units = max(1, -(-int(vocabulary.counts.sum()) // (cfg.part * max(1, cfg.memory))))
+    seen = occurrences(rows, units, cfg)
+    return Model(cfg, vocabulary, parameters, counted, scratch.keep(seen, "seen") if keep else seen, units), encoded
 
 
 def fit(df: DataFrame, cfg: LMConfig = LMConfig(), doc_id: str = "doc_id", text: str = "text") -> Model:
     """A model learned from all rows; its tables are in the shared folder."""
-    return _fit(df, cfg, doc_id, text, Scratch(df.sparkSession, "lm"))[0]
+    return _fit(df, cfg, doc_id, text, Scratch(df.sparkSession, "lm"), bool(cfg.memory))[0]
 
 
 def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -503,11 +610,13 @@ def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
     model was learned from is better scored by ``score_documents``, which leaves its own contexts out.
     """
     scratch = Scratch(df.sparkSession, "lm")
-    return _score(scratch.keep(encode(_plain(df, doc_id, text), model.vocabulary, model.cfg), "encoded"), model, False)
+    rows = _plain(df, doc_id, text)
+    encoded = scratch.keep(encode(rows, model.vocabulary, model.cfg), "encoded")
+    return _score(encoded, model, occurrences(rows, model.units, model.cfg))
 
 
 def score_documents(df: DataFrame, cfg: LMConfig = LMConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fit on all rows of ``df`` and score them, as ``score`` does, with each row's own contexts left out of the memory."""
     scratch = Scratch(df.sparkSession, "lm")
-    model, encoded = _fit(df, cfg, doc_id, text, scratch)
-    return _score(encoded, model, True)
+    model, encoded = _fit(df, cfg, doc_id, text, scratch, False)
+    return _score(encoded, model, None)

@@ -511,6 +511,27 @@ def test_lm_equals_loop(spark, docs, plain, held, memory, broadcast):
             assert r.mean_log_prob == (r.log_prob / n if n else None)
 
 
+@pytest.mark.parametrize("part,block", [(1 << 21, 1 << 20), (50, 64)])
+def test_lm_remembers_every_context(spark, part, block):
+    """Of long distinct words, one passage stands in two documents: by default every word of it is met, rows that repeat an id and text too."""
+    rng = np.random.default_rng(32)
+    texts = [" ".join(f"x{v}" for v in rng.integers(0, 1 << 40, 40)) for _ in range(20)]
+    rows = [*enumerate(texts), (20, texts[0] + " tail"), (3, texts[3]), (None, texts[4]), (None, None)]
+    cfg = lm_score.LMConfig(rounds=0, part=part, block=block)
+    assert lm_score.LMConfig().memory == 1
+    df = lm_score._plain(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text")
+    units = max(1, -(-900 // part))
+    found = {r.mark: (r.met, r.factor) for r in lm_score._backed_off(lm_score.occurrences(df, units, cfg), None, units).collect()}
+    got = {(r.doc_id, r.text): found.get(r.mark) for r in df.collect()}
+    half = np.log(0.5)
+    for key, met in (((0, texts[0]), 38), ((20, texts[0] + " tail"), 38), ((3, texts[3]), 80), ((4, texts[4]), 40), ((None, texts[4]), 40)):
+        assert got[key][0] == met and got[key][1] == pytest.approx(met * half)
+    assert got[1, texts[1]] is None and got[None, None] is None
+    scores = lm_score.score_documents(df.select("doc_id", "text"), cfg).collect()
+    assert len(scores) == len(rows) and len({r.log_prob for r in scores if r.doc_id == 3}) == 1
+    assert next(r.log_prob for r in scores if r.doc_id == 4) == pytest.approx(40 * half)
+
+
 def test_lm_counts_and_learns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     n = lm_score.count_words(lm_score._plain(docs, "doc_id", "text")).agg(F.sum("n")).first()[0]

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from quillon.llm import kernels as K
-from quillon.scratch import Scratch
+from quillon.scratch import Scratch, freed
 
 OFFSETS = (-2, -1, 1, 2)
 GAP = 2
@@ -381,7 +381,8 @@ def train(encoded: DataFrame, vocabulary: Vocabulary, cfg: LMConfig) -> dict[str
     words = int(vocabulary.counts.sum())
     groups = max(1, -(-words // (cfg.span * pack(p).size)))
     for turn in range(cfg.rounds if words else 0):
-        p = _train_round(encoded, groups, p, turn, cfg)
+        with freed(encoded.sparkSession):
+            p = _train_round(encoded, groups, p, turn, cfg)
     return p
 
 
@@ -572,9 +573,11 @@ def _score(encoded: DataFrame, model: Model, asked: DataFrame | None) -> DataFra
     words = encoded.select("row", F.explode("others").alias("word")).join(model.counted.where("n > 1"), "word").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
     made = made.join(words, "row", "left")
     if model.cfg.memory:
-        # rows of one id and text have one mark, and each its share of what they have together
+        # written, so that the packed contexts go before words are met; rows of one id and text have one mark, and each its share of what they have together
         rows = encoded.groupBy("mark").agg(F.count("*").alias("rows"))
-        found = _backed_off(model.seen, asked, model.units).join(rows, "mark").select("mark", (F.col("met") / F.col("rows")).alias("met"), (F.col("factor") / F.col("rows")).alias("factor"))
+        with freed(encoded.sparkSession):
+            met = Scratch(encoded.sparkSession, "lm").keep(_backed_off(model.seen, asked, model.units), "met")
+        found = met.join(rows, "mark").select("mark", (F.col("met") / F.col("rows")).alias("met"), (F.col("factor") / F.col("rows")).alias("factor"))
         made = made.join(found, "mark", "left")
     else:
         made = made.withColumns({"met": F.lit(0.0), "factor": F.lit(0.0)})

@@ -21,7 +21,8 @@ other word the network's probability times 1 / (N + 1).  The network's part of a
 its sum over all words times the share of words that were not seen elsewhere.  A caller may
 ask for fewer contexts (``memory``): one in so many, chosen by its hash, then stands for the rest.
 Contexts are dealt by their hash to units of about ``part`` words, as packed numbers in
-order, and each unit is one task that counts its contexts and those words' log factors.
+order, and each unit is one task that counts its contexts.  What it finds goes back packed to the block of
+texts that asked, where each text's log factors are summed.
 
 Everything is learned from all documents.  Words are counted over the corpus, and
 every text is written once as ids.  Texts are dealt to groups by a hash of id and text, in
@@ -36,6 +37,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -429,21 +431,25 @@ def _train_round(encoded: DataFrame, groups: int, p: dict[str, np.ndarray], turn
     return unpack(sum(np.frombuffer(r["sum"]) for r in summed) / sum(r["n"] for r in summed), p)
 
 
-#: One unit's contexts of some texts: the texts' marks; steps from one context to the next, in order; of each its word and the number of its text.
-OCCURRENCES = "unit long, marks binary, context binary, word binary, text binary"
+#: One unit's contexts of a block of texts, in order: steps from one context to the next, and of each its word and the number of its text in the
+#: block.  A block is known by the hash of its texts' marks; the marks are in its first row, and empty in the others.
+OCCURRENCES = "unit long, block long, marks binary, context binary, word binary, text binary"
+#: What a unit has found out for a block: of every context that stands elsewhere the number of its text, how often its word stands there elsewhere, and how often any does.
+ANSWERS = "unit long, block long, marks binary, n long, text binary, here binary, others binary"
 #: Bits of a context's hash that are kept, and those that its unit follows.
 BITS, UNIT_BITS = 56, 32
 
 
 def _squeeze(values: np.ndarray) -> bytes:
     """Numbers in as many bytes each as the largest needs."""
-    wide = max(1, -(-int(values.max()).bit_length() // 8))
+    wide = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
 
 
 def _widen(raw: bytes, n: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
-    out[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(n, -1)
+    if n:
+        out[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(n, -1)
     return out.view("<u8").ravel()
 
 
@@ -457,16 +463,16 @@ def _packed(held: list[tuple[np.ndarray, ...]], units: int) -> pa.RecordBatch:
     starts = np.cumsum([0, *[len(x[0]) for x in held]])
     marks, around, words = (np.concatenate([x[i] for x in held]) for i in range(3))
     texts = np.concatenate([x[3] + at for x, at in zip(held, starts)])
-    order = np.argsort(around)
+    block = int.from_bytes(blake2b(marks.tobytes(), digest_size=8).digest(), "little", signed=True)
+    order = np.argsort(around, kind="stable")
     around, words, texts = around[order], words[order], texts[order]
     firsts = np.array([_first(u, units) for u in range(units)], np.uint64)
     cuts = np.append(np.searchsorted(around, firsts), len(around))
     out = []
     for u in np.flatnonzero(np.diff(cuts)).tolist():
         part = slice(cuts[u], cuts[u + 1])
-        used, text = np.unique(texts[part], return_inverse=True)
         steps = np.diff(around[part], prepend=firsts[u])
-        out.append((u, marks[used].tobytes(), _squeeze(steps), words[part].tobytes(), _squeeze(text)))
+        out.append((u, block, b"" if out else marks.tobytes(), _squeeze(steps), words[part].tobytes(), _squeeze(texts[part])))
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), K.arrow_schema(OCCURRENCES).types)], schema=K.arrow_schema(OCCURRENCES))
 
 
@@ -499,66 +505,94 @@ def _runs(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return number, np.bincount(number)
 
 
-def _factors(marks: np.ndarray, around: np.ndarray, words: np.ndarray, texts: np.ndarray, corpus: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(mark, met, factor) of a unit's contexts.  corpus: which of them count; asked: which are asked for; what is both does not count for itself."""
+def _met(around: np.ndarray, words: np.ndarray, corpus: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Places, in order, of the contexts asked for that stand elsewhere; how often with their word, and with any.  corpus: which of a unit's
+    contexts count; asked: which are asked for; what is both does not count for itself."""
     order = np.argsort(around)
     same = np.diff(around[order]) == 0
     if not same.any():
-        return marks[:0], np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]  # most contexts stand once
     order = order[np.lexsort((words[order], around[order]))]
-    around, words, texts, corpus, asked = (x[order] for x in (around, words, texts, corpus, asked))
+    around, words, corpus, asked = (x[order] for x in (around, words, corpus, asked))
     same = around[1:] == around[:-1]
     of, _ = _runs(same)
     by, _ = _runs(same & (words[1:] == words[:-1]))
     own = (corpus & asked).astype(np.int64)
     others, here = np.bincount(of, corpus).astype(np.int64)[of] - own, np.bincount(by, corpus).astype(np.int64)[by] - own
-    hit = asked & (others > 0)
-    texts, others, here = texts[hit], others[hit], here[hit]
-    n = np.bincount(texts, minlength=len(marks))
-    met = np.bincount(texts, here > 0, len(marks)).astype(np.int64)
-    factor = np.bincount(texts, np.log(np.maximum(here, 1)) - np.log(others + 1), len(marks))
-    some = n > 0
-    return marks[some], met[some], factor[some]
+    hit = np.flatnonzero(asked & (others > 0))
+    hit = hit[np.argsort(order[hit])]
+    return order[hit], here[hit], others[hit]
 
 
-def _backed_off(seen: DataFrame, asked: DataFrame | None, units: int) -> DataFrame:
-    """(mark, met, factor): at how many of a text's contexts its word was seen there elsewhere, and the sum of the log factors of all.
-
-    seen: OCCURRENCES of the corpus; asked: those of other texts, or None for the corpus's own, each of which is not elsewhere
-    to itself.  Rows of one mark are summed together.
-    """
-    ddl = "mark long, met long, factor double"
+def _answers(seen: DataFrame, asked: DataFrame | None, units: int) -> DataFrame:
+    """ANSWERS, at most one for each of the OCCURRENCES asked for; the other arguments as in ``_backed_off``."""
     flag = lambda df, corpus: df.withColumn("corpus", F.lit(corpus))
     rows = flag(seen, True) if asked is None else flag(seen, True).union(flag(asked, False))
-    own = asked is None
+    own, schema = asked is None, K.arrow_schema(ANSWERS)
 
     def run(batches):
-        held, at = [], 0
+        held, rows = [], []
         for batch in batches:
-            for unit, marks, around, words, texts, corpus in zip(*(c.to_pylist() for c in batch.columns)):
-                marks, words = np.frombuffer(marks, np.int64), np.frombuffer(words, np.uint32)
+            for unit, block, marks, around, words, text, corpus in zip(*(c.to_pylist() for c in batch.columns)):
+                words = np.frombuffer(words, np.uint32)
                 n = len(words)
                 around = np.cumsum(_widen(around, n), dtype=np.uint64) + np.uint64(_first(unit, units))
-                held.append((marks, around, words, _widen(texts, n).astype(np.int64) + at, np.full(n, corpus), np.full(n, own or not corpus)))
-                at += len(marks)
-        if held:
-            got = _factors(*(np.concatenate([x[i] for x in held]) for i in range(6)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], schema=K.arrow_schema(ddl))
-
-    dealt = rows.repartitionById(units, F.col("unit").cast("int"))
-    made = dealt.mapInArrow(K.tidy(run), ddl)
+                held.append((around, words, np.full(n, corpus), np.full(n, own or not corpus)))
+                rows.append((unit, block, marks, text) if own or not corpus else None)
+        if not held:
+            return
+        starts = np.cumsum([0, *[len(x[0]) for x in held]])
+        at, here, others = _met(*(np.concatenate([x[i] for x in held]) for i in range(4)))
+        del held
+        cuts, out = np.searchsorted(at, starts), []
+        for i, row in enumerate(rows):
+            n = int(cuts[i + 1] - cuts[i])
+            if row and (n or row[2]):
+                part = slice(cuts[i], cuts[i + 1])
+                text = _widen(row[3], int(starts[i + 1] - starts[i]))[at[part] - starts[i]]
+                out.append((*row[:3], n, _squeeze(text), _squeeze(here[part]), _squeeze(others[part])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), schema.types)], schema=schema)
+
+    return rows.repartitionById(units, F.col("unit").cast("int")).mapInArrow(K.tidy(run), ANSWERS)
+
+
+def _backed_off(seen: DataFrame, asked: DataFrame | None, units: int) -> DataFrame:
+    """(mark, met, factor): at how many of a text's contexts its word was seen there elsewhere, and the sum of the log factors of all.
+
+    seen: OCCURRENCES of the corpus; asked: those of other texts, or None for the corpus's own, each of which is not elsewhere
+    to itself.  Rows of one mark are summed together.
+    """
+    ddl = "mark long, met long, factor double"
+    schema = K.arrow_schema(ddl)
+
+    def add(block: pa.Table) -> pa.Table:
+        # by unit, so in the order of the contexts: a text's sum is the same in any block
+        rows = sorted(block.to_pylist(), key=lambda r: r["unit"])
+        marks = next((r["marks"] for r in rows if r["marks"]), None)
+        if marks is None:
+            raise RuntimeError("a block's marks are missing: the input gave other rows, or another order of them, when a lost part was made again")
+        marks = np.frombuffer(marks, np.int64)
+        texts, here, others = (np.concatenate([_widen(r[k], r["n"]) for r in rows]).astype(np.int64) for k in ("text", "here", "others"))
+        met = np.bincount(texts, here > 0, len(marks)).astype(np.int64)
+        factor = np.bincount(texts, np.log(np.maximum(here, 1)) - np.log(others + 1), len(marks))
+        some = np.bincount(texts, minlength=len(marks)) > 0
+        return pa.Table.from_arrays([pa.array(x[some]) for x in (marks, met, factor)], schema=schema)
+
+    made = _answers(seen, asked, units).groupBy("block").applyInArrow(add, ddl)
     return made.groupBy("mark").agg(F.sum("met").alias("met"), F.sum("factor").alias("factor"))
 
 
 SCORED = "doc_id long, n_tokens long, log_prob double, mean_log_prob double"
 
 
-def _score(encoded: DataFrame, model: Model, asked: DataFrame | None) -> DataFrame:
-    """SCORED of encoded rows.  asked: their occurrences; None: they are those that the model was learned from, so each context's own is left out."""
+def _score(encoded: DataFrame, model: Model, asked: DataFrame | None, scratch: Scratch, spent: tuple[str, ...]) -> DataFrame:
+    """SCORED of encoded rows.  asked: their occurrences; None: they are those that the model was learned from, so each context's own is left out.
+    spent: tables of the scratch folder that go as soon as the network's part is written, before contexts meet."""
+    spark, side = encoded.sparkSession, model.vocabulary.side
     ddl = "row long, doc_id long, n_tokens long, network double, kept long, mark long"
-    schema, side = K.arrow_schema(ddl), model.vocabulary.side
-    shared = encoded.sparkSession.sparkContext.broadcast(model.parameters)
+    schema, shared = K.arrow_schema(ddl), spark.sparkContext.broadcast(model.parameters)
 
     def run(batches):
         for batch in batches:
@@ -566,23 +600,26 @@ def _score(encoded: DataFrame, model: Model, asked: DataFrame | None) -> DataFra
             each = log_probability(shared.value, contexts(ids, bounds), ids)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(_sums(each, bounds) + batch.column(3).to_numpy()), *batch.columns[5:]], schema=schema)
 
-    K.small_batches(encoded.sparkSession)
-    columns = encoded.select("row", "doc_id", "n_tokens", "fixed", "ids", "kept", "mark")
-    made = columns.mapInArrow(K.tidy(run), ddl)
-    # words counted once, and those never seen, add a log count of 0
-    words = encoded.select("row", F.explode("others").alias("word")).join(model.counted.where("n > 1"), "word").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
-    made = made.join(words, "row", "left")
+    K.small_batches(spark)
+    value = lambda c: F.coalesce(c, F.lit(0.0))
+    with freed(spark):
+        made = encoded.select("row", "doc_id", "n_tokens", "fixed", "ids", "kept", "mark").mapInArrow(K.tidy(run), ddl)
+        # words counted once, and those never seen, add a log count of 0
+        words = encoded.select("row", F.explode("others").alias("word")).join(model.counted.where("n > 1"), "word").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+        made = made.join(words, "row", "left").select("doc_id", "n_tokens", (F.col("network") + value("more")).alias("network"), "kept", "mark")
+        made = scratch.keep(made, "network")
+    scratch.drop(*spent)
     if model.cfg.memory:
-        # written, so that the packed contexts go before words are met; rows of one id and text have one mark, and each its share of what they have together
-        rows = encoded.groupBy("mark").agg(F.count("*").alias("rows"))
-        with freed(encoded.sparkSession):
-            met = Scratch(encoded.sparkSession, "lm").keep(_backed_off(model.seen, asked, model.units), "met")
+        # written, so that the packed contexts go; rows of one id and text have one mark, and each its share of what they have together
+        rows = made.groupBy("mark").agg(F.count("*").alias("rows"))
+        with freed(spark):
+            met = scratch.keep(_backed_off(model.seen, asked, model.units), "met")
         found = met.join(rows, "mark").select("mark", (F.col("met") / F.col("rows")).alias("met"), (F.col("factor") / F.col("rows")).alias("factor"))
         made = made.join(found, "mark", "left")
     else:
         made = made.withColumns({"met": F.lit(0.0), "factor": F.lit(0.0)})
-    kept, value = F.greatest("kept", F.lit(1)), lambda c: F.coalesce(c, F.lit(0.0))
-    both = (F.col("network") + value("more")) * (1 - value("met") / kept) + value("factor") * F.col("n_tokens") / kept
+    kept = F.greatest("kept", F.lit(1))
+    both = F.col("network") * (1 - value("met") / kept) + value("factor") * F.col("n_tokens") / kept
     # sums of doubles in any order agree to far more digits than these
     out = made.withColumn("log_prob", F.round(both, 6))
     return out.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
@@ -591,7 +628,8 @@ def _score(encoded: DataFrame, model: Model, asked: DataFrame | None) -> DataFra
 def _fit(df: DataFrame, cfg: LMConfig, doc_id: str, text: str, scratch: Scratch, keep: bool) -> tuple[Model, DataFrame]:
     """keep: the occurrences are written; else they are made when they are met, once."""
     rows = _plain(df, doc_id, text)
-    counted = scratch.keep(count_words(rows), "words")
+    with freed(df.sparkSession):
+        counted = scratch.keep(count_words(rows), "words")
     vocabulary = learn_words(counted, cfg)
     encoded = scratch.keep(encode(rows, vocabulary, cfg), "encoded")
     parameters = train(encoded, vocabulary, cfg)
@@ -615,11 +653,11 @@ def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
     scratch = Scratch(df.sparkSession, "lm")
     rows = _plain(df, doc_id, text)
     encoded = scratch.keep(encode(rows, model.vocabulary, model.cfg), "encoded")
-    return _score(encoded, model, occurrences(rows, model.units, model.cfg))
+    return _score(encoded, model, occurrences(rows, model.units, model.cfg), scratch, ("encoded",))
 
 
 def score_documents(df: DataFrame, cfg: LMConfig = LMConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fit on all rows of ``df`` and score them, as ``score`` does, with each row's own contexts left out of the memory."""
     scratch = Scratch(df.sparkSession, "lm")
     model, encoded = _fit(df, cfg, doc_id, text, scratch, False)
-    return _score(encoded, model, None)
+    return _score(encoded, model, None, scratch, ("encoded", "words"))

@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import re
 import zlib
 
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, fingerprints, kernels as K, license_scan, lm_score, minhash_dedup, mixing, quality_classifier, quality_rules, queries, secret_scan, sharding
+from quillon import scratch
 from quillon.llm.order_statistics import kth_largest
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -532,6 +534,55 @@ def test_lm_remembers_every_context(spark, part, block):
     assert next(r.log_prob for r in scores if r.doc_id == 4) == pytest.approx(40 * half)
 
 
+def plan_nodes(plan):
+    """The nodes of an executed plan, those of its stages too."""
+    yield plan
+    inner = [getattr(plan, f)() for name, f in (("AdaptiveSparkPlan", "executedPlan"), ("QueryStage", "plan")) if name in plan.getClass().getSimpleName()]
+    for child in inner or [plan.children().apply(i) for i in range(plan.children().size())]:
+        yield from plan_nodes(child)
+
+
+def test_lm_units_answer_blocks(spark):
+    """More units take no more bytes, and answer with a row for a block, not with one for each text."""
+    rng = np.random.default_rng(33)
+    shared = " ".join(f"s{v}" for v in range(60))
+    texts = [shared + "".join(f" x{v}" for v in rng.integers(0, 1 << 40, 60)) for _ in range(400)]
+    cfg = lm_score.LMConfig()
+    df = lm_score._plain(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2), "doc_id", "text")
+
+    def packed(units):
+        made = lm_score.occurrences(df, units, cfg)
+        return made.count(), sum(r[0] for r in made.select(sum(F.length(n) for n, t in made.dtypes if t == "binary")).collect())
+
+    (_, one), (blocks, many) = packed(1), packed(40)
+    assert many < 1.05 * one and blocks <= 2 * 40
+    met = lm_score._backed_off(lm_score.occurrences(df, 40, cfg), None, 40)
+    assert sorted(r.met for r in met.collect()) == [58] * 400
+    rows = [n.metrics().get("pythonNumRowsReceived").get().value() for n in plan_nodes(met._jdf.queryExecution().executedPlan()) if n.nodeName() == "MapInArrow"]
+    assert len(rows) == 2 and max(rows) <= blocks
+
+
+def test_lm_spent_tables_go_before_contexts_meet(spark, docs, monkeypatch):
+    """Neither the encoded texts nor the counts of words are on disk beside the packed contexts."""
+    there, before, real = [], len(scratch._open), lm_score._backed_off
+
+    def spy(*args):
+        there.extend(name for s in scratch._open[before:] for path in [s.root.removeprefix("file://")] if os.path.isdir(path) for name in os.listdir(path))
+        return real(*args)
+
+    monkeypatch.setattr(lm_score, "_backed_off", spy)
+    lm_score.score_documents(docs, lm_score.LMConfig(rounds=1))
+    assert [x for x in there if x[0] != "."] == ["network"]
+
+
+def test_lm_other_rows_when_made_again(spark):
+    """Answers to a block whose marks do not come are an error, not lost."""
+    df = lm_score._plain(spark.createDataFrame([(0, "a b c d e"), (1, "a b c d e")], "doc_id long, text string"), "doc_id", "text")
+    seen = lm_score.occurrences(df, 1, lm_score.LMConfig()).withColumn("marks", F.lit(b""))
+    with pytest.raises(Exception, match="marks are missing"):
+        lm_score._backed_off(seen, None, 1).collect()
+
+
 def test_lm_counts_and_learns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     n = lm_score.count_words(lm_score._plain(docs, "doc_id", "text")).agg(F.sum("n")).first()[0]
